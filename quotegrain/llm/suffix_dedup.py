@@ -20,7 +20,8 @@ from .common import mix, ranges
 
 WINDOW = 50
 GRAM = 24
-_FIRST = 8
+#: Rows of text that are laid out at a time.
+_ROWS = 1 << 14
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
@@ -41,13 +42,16 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _digests(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of texts of at most ``2 * WINDOW - GRAM`` bytes, shorter ones padded."""
-    rows = _texts(data, starts, lengths, 80)
-    words = rows.view("<u8")
-    h = lengths.astype(np.uint64)
-    for i in range(words.shape[1]):
-        h = mix((h ^ words[:, i]) * _A)
-    return h
+    """Of texts of at most ``2 * WINDOW - GRAM`` bytes, shorter ones padded; some at a time, to bound memory."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), _ROWS):
+        length = lengths[a : a + _ROWS]
+        words = _texts(data, starts[a : a + _ROWS], length, 80).view("<u8")
+        h = length.astype(np.uint64)
+        for i in range(words.shape[1]):
+            h = mix((h ^ words[:, i]) * _A)
+        out[a : a + _ROWS] = h
+    return out
 
 
 def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
@@ -62,9 +66,13 @@ BYTES = Scheme(WINDOW, GRAM, lambda data, offsets: (data, offsets), _grams, _dig
 def _rows_of(group, place, left, right) -> np.ndarray:
     """The text around each anchor; the anchor is at the same column in every row."""
     column = np.arange(80)
-    at = place[:, None] - BYTES.reach + column
-    inside = (column >= BYTES.reach - left[:, None]) & (column < BYTES.reach + GRAM + right[:, None])
-    return np.where(inside, group.data[np.clip(at, 0, len(group.data) - 1)], np.uint8(0))
+    out = np.empty((len(place), 80), np.uint8)
+    for a in range(0, len(place), _ROWS):
+        part = slice(a, a + _ROWS)
+        at = place[part, None] - BYTES.reach + column
+        inside = (column >= BYTES.reach - left[part, None]) & (column < BYTES.reach + GRAM + right[part, None])
+        out[part] = np.where(inside, group.data[np.clip(at, 0, len(group.data) - 1)], np.uint8(0))
+    return out
 
 
 def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
