@@ -37,7 +37,8 @@ def events(flagged: DataFrame) -> DataFrame:
     off = F.lit(False)
     on = {k: F.coalesce(known & c, off) for k, c in conditions.items()}
     df = df.withColumns({f"on_{k}": c for k, c in on.items()})
-    each = F.array(*(F.struct(F.lit(k).alias("condition"), F.col(f"on_{k}").alias("on"), F.coalesce(F.lag(f"on_{k}").over(w), off).alias("before")) for k in on))
+    df = df.withColumns({f"before_{k}": F.coalesce(F.lag(f"on_{k}").over(w), off) for k in on})
+    each = F.array(*(F.struct(F.lit(k).alias("condition"), F.col(f"on_{k}").alias("on"), F.col(f"before_{k}").alias("before")) for k in on))
     rows = df.select("ticker", "date", "fwd21", "fwd63", F.explode(each).alias("c")).select("ticker", "date", "fwd21", "fwd63", "c.*").where("on")
     took = F.col("fwd21").isNotNull() | F.col("fwd63").isNotNull()
     return rows.select("ticker", "date", "condition", (took & ~F.col("before")).alias("start"), took.alias("took"), "fwd21", "fwd63")

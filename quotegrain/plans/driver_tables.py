@@ -37,11 +37,12 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eligible(indexed(clean(bars(spark, sf_dir))))
+    """Cleaned, numbered bars of eligible tickers; kept, as recurrences and snapshots read them more than once."""
+    return eligible(indexed(clean(bars(spark, sf_dir)))).persist()
 
 
 def indicator_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_indicators(panel(spark, sf_dir))
+    return with_indicators(panel(spark, sf_dir)).persist()
 
 
 def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
