@@ -104,7 +104,15 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 4096, id_col: str =
 
     vocabulary = docs.select("text").mapInArrow(frequencies, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     vocabulary = written(vocabulary.withColumn("n", _piece_count(tokenizer, "piece")), "pieces")
-    hot = vocabulary.orderBy(F.desc("freq"), "piece").limit(HOT).select("piece", "n").toPandas()
+    # the frequency above which there are at most HOT, from counts by steps of an eighth of a power of two
+    step = F.floor(F.log2("freq") * 8)
+    least, total = 1 << 20, 0
+    for at, count in sorted(vocabulary.groupBy(step).count().collect(), reverse=True):
+        total += count
+        if total > HOT:
+            break
+        least = at
+    hot = vocabulary.where(step >= least).select("piece", "n").toPandas()
     known = df.sparkSession.sparkContext.broadcast(dict(zip(hot["piece"], hot["n"].tolist(), strict=True)))
 
     def frequencies_by_document(batches):
