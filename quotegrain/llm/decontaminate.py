@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import IS_SPACE, mix, ranges, text_chunks, word_bounds, word_hashes
@@ -53,8 +54,9 @@ def _seed(hashes: np.ndarray, starts: np.ndarray, mask: tuple[int, ...], salt: i
 
 
 def _words(batch, column: str):
-    """(first row, hashes of all words, index of each row's first word) of runs of rows."""
-    for a, b, data, offsets in text_chunks(batch, column):
+    """(first row, one past the last, hashes of all words, index of each row's first word) of runs of rows."""
+    lower = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(column))], [column])
+    for a, b, data, offsets in text_chunks(lower, column):
         starts, ends, firsts = word_bounds(data, offsets, _APART)
         yield a, b, word_hashes(data, starts, ends), firsts
 
