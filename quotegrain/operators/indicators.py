@@ -7,15 +7,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.recurrence import ema, linear_recurrence, wilder
 from ..functions.scalars import ratio
 
-_T = Window.partitionBy("ticker").orderBy("i")
+def by_bar():
+    return Window.partitionBy("ticker").orderBy("i")
 
 
-def trailing(k: int) -> Window:
-    return _T.rowsBetween(1 - k, 0)
+def trailing(k: int):
+    return by_bar().rowsBetween(1 - k, 0)
 
 
 def lag(c: str | Column, k: int = 1) -> Column:
-    return F.lag(c, k).over(_T)
+    return F.lag(c, k).over(by_bar())
 
 
 def sma(c: str | Column, k: int, start: int = 0) -> Column:
