@@ -59,23 +59,24 @@ _MOST = SCHEME.reach + 1  # windows around an anchor
 
 
 def _windows_of(group, place, left, right) -> np.ndarray:
-    """128 bits of each window around each anchor, in a row."""
+    """96 bits of each window around each anchor, in a row."""
     count = left + right - SCHEME.reach + 1
-    out = np.zeros((len(place), _MOST, 2), np.uint64)
+    long, short = np.zeros((len(place), _MOST), np.uint64), np.zeros((len(place), _MOST), np.uint32)
     owner = np.repeat(np.arange(len(place)), count)
     step = ranges(np.zeros(len(place), np.int64), count)
     starts = (place - left)[owner] + step
     lengths = np.full(len(starts), WINDOW)
-    out[owner, step, 0], out[owner, step, 1] = _digests(group.tokens, starts, lengths), _digests(group.tokens, starts, lengths, _B)
-    return out.reshape(len(place), -1).view(np.uint8)
+    long[owner, step] = _digests(group.tokens, starts, lengths)
+    short[owner, step] = _digests(group.tokens, starts, lengths, _B) >> np.uint64(32)
+    return np.concatenate([long.view(np.uint8), short.view(np.uint8)], axis=1)
 
 
 def _tell_apart(hashes, rows, left, right, least) -> np.ndarray:
-    """Least id of each window, by its 128 bits."""
+    """Least id of each window, by its 96 bits."""
     count = left + right - SCHEME.reach + 1
-    digests = np.ascontiguousarray(rows).view(np.uint64).reshape(len(rows), _MOST, 2)
+    long, short = np.ascontiguousarray(rows[:, : 8 * _MOST]).view(np.uint64), np.ascontiguousarray(rows[:, 8 * _MOST :]).view(np.uint32)
     owner, step = np.repeat(np.arange(len(rows)), count), ranges(np.zeros(len(rows), np.int64), count)
-    x, y = digests[owner, step, 0], digests[owner, step, 1]
+    x, y = long[owner, step], short[owner, step]
     order = np.lexsort((y, x))
     new = np.append(True, (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]]))[: len(order)]
     out = np.empty(len(order), np.int64)
