@@ -1,8 +1,8 @@
 """WARC archives: records with chunked transfer framing, long ones in segments, written by Spark's text sink and read back.
 
 A record is one row of bytes, and Spark's text sink writes a row's bytes as they are, followed by a separator; the
-last line feed of each record is that separator. So archives are plain ``.warc`` content on any file system Spark
-writes to. Reading takes whole files (``binaryFile``), cuts them by Content-Length, and reassembles segments: rows of
+last line feed of each record is that separator. So archives are plain ``.warc`` content, in gzip files, on any file
+system Spark writes to. Reading takes whole files (``binaryFile``), cuts them by Content-Length, and reassembles segments: rows of
 continuation records are grouped by origin identifier, ordered by segment number, checked against the total length,
 and the chunked framing of the whole is decoded.
 """
@@ -10,6 +10,7 @@ and the chunked framing of the whole is decoded.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -132,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                     made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    dealt.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path, compression="gzip")
 
 
 def _parse(content: bytes):
@@ -165,8 +166,8 @@ def _parsed(batches):
 
     for batch in batches:
         for content in batch.column(0):
-            rows, size = [], 0
-            for f, block in _parse(content.as_py() or b""):
+            rows, size, raw = [], 0, content.as_py() or b""
+            for f, block in _parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 digest = (f.get("warc-payload-digest") or "").rpartition(":")[2] or None
                 rows.append((bare(f.get("warc-record-id")), bare(f.get("warc-segment-origin-id")), whole(f.get("warc-segment-number")), whole(f.get("warc-segment-total-length")), f.get("warc-type"), f.get("warc-target-uri"), digest, bare(f.get("warc-refers-to")), whole(f.get("x-payload-length")), block))
                 size += len(block)
