@@ -6,10 +6,15 @@ that any four shared positions contain one of the sets; lists are as short as th
 missed. In each list the shared positional bytes of a pair are tallied, pairs with at least 8 - d stay, and their
 differing bits are counted. Equal fingerprints are one node of the index, so copies cost nothing. A list gives a
 spanning forest of its links, never all pairs of a group; lists longer than ``BLOCK`` are compared block by block.
+
+``near_duplicates`` links at a number of bits. ``similar`` links at a similarity of shingle sets, for which one
+fingerprint is too coarse: it takes two (128 bits), lists of all triples of positions of each, and the number of
+differing bits that the similarity leads one to expect.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -17,12 +22,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shuffle_parts, written
+from .common import mix, shuffle_parts, written
 from .components import components
 
 MAX_BITS = 4
 WORDS = 4
 SEED = 42
+SIMILARITY = 0.8
+#: Shared positional bytes that the lists of ``similar`` are keyed by.
+SHARED = 3
 #: Fingerprints of one list that a task compares at a time.
 BLOCK = 4096
 
@@ -45,73 +53,84 @@ def position_sets(need: int) -> list[tuple[int, ...]]:
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """Of one text in UTF-8: A-Z lower-cased, shingles of ``words`` words; 0 without words."""
+    return _fingerprint(text, words, seed, 1)[0]
+
+
+def _fingerprint(text: bytes, words: int, seed: int, width: int) -> list[int]:
+    """``width`` fingerprints: of the shingles' hashes, and of these mixed anew."""
     parts = text.lower().split()
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
+        return [0] * width
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-words].tolist()]
-    stops = (ends[words - 1 :] - 1).tolist()
+    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    out = []
+    for k in range(width):
+        h = mix(hashes * np.uint64(2 * k + 1) + np.uint64(k)) if k else hashes
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(id, fp as a signed long) of each row; a null or empty text has fingerprint 0."""
-    kind = dict(df.dtypes)[id_col]
+def _names(width: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, width))]
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, width: int = 1) -> DataFrame:
+    """(id, fp as a signed long, and fp1... with more ``width``) of each row; a null or empty text has fingerprint 0."""
+    kind, names = dict(df.dtypes)[id_col], _names(width)
 
     def run(batches):
         for batch in batches:
-            out = np.array([fingerprint((t.as_py() or "").encode(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            out = np.array([_fingerprint((t.as_py() or "").encode(), words, seed, width) for t in batch.column(1)], np.uint64).reshape(-1, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], ["doc_id", *names])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filtering of aligned or broadcast fingerprints: shared positional bytes first, then differing bits."""
+def _near(a: np.ndarray, b: np.ndarray, shared: int, max_bits: int) -> np.ndarray:
+    """Count filtering of aligned or broadcast fingerprints (last axis: words): shared positional bytes first, then
+    differing bits."""
     x = np.ascontiguousarray(a ^ b).view(np.uint64)
-    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1, dtype=np.uint8)
-    out = shared >= 8 - max_bits
-    out[out] = np.bitwise_count(x[out]) <= max_bits
+    out = (x.view(np.uint8) == 0).sum(-1, dtype=np.uint8) >= shared
+    out[out] = np.bitwise_count(x[out]).sum(-1) <= max_bits
     return out
 
 
-def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fps: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected among these fingerprints: each to the first of its component."""
-    rest, roots, nodes = fps, [], []
+    rest, roots, nodes = fps, [fps[:0]], [fps[:0]]
     while len(rest) > 1:
-        root, front, rest = rest[0], rest[:1], rest[1:]
+        root, front, rest = rest[:1], rest[:1], rest[1:]
         while len(front) and len(rest):
             hit = np.zeros(len(rest), bool)
             for at in range(0, len(front), 64):
                 open_ = np.flatnonzero(~hit)
-                hit[open_] |= _near(front[at : at + 64, None], rest[None, open_], max_bits).any(0)
+                hit[open_] |= _near(front[at : at + 64, None], rest[None, open_], shared, max_bits).any(0)
             front, rest = rest[hit], rest[~hit]
             nodes.append(front)
-            roots.append(np.full(len(front), root))
-    return (np.concatenate(roots), np.concatenate(nodes)) if roots else (fps[:0], fps[:0])
+            roots.append(np.repeat(root, len(front), axis=0))
+    return np.concatenate(roots), np.concatenate(nodes)
 
 
-def _links_of(fps: np.ndarray, firsts: np.ndarray, max_bits: int):
+def _links_of(fps: np.ndarray, firsts: np.ndarray, shared: int, max_bits: int):
     """Of lists laid end to end; ``firsts`` are their starts. Short lists pair by distance, long ones by a forest."""
-    us, vs = [], []
+    us, vs = [fps[:0]], [fps[:0]]
     sizes = np.diff(np.append(firsts, len(fps)))
     group = np.repeat(np.arange(len(firsts)), sizes)
     short = sizes[group] <= 8
     for lag in range(1, 8):
         i = np.flatnonzero(short[:-lag] & (group[:-lag] == group[lag:])) if len(fps) > lag else np.zeros(0, np.int64)
-        near = i[_near(fps[i], fps[i + lag], max_bits)] if len(i) else i
+        near = i[_near(fps[i], fps[i + lag], shared, max_bits)] if len(i) else i
         us.append(fps[near])
         vs.append(fps[near + lag])
     for g in np.flatnonzero(sizes > 8):
-        u, v = _forest(fps[firsts[g] : firsts[g] + sizes[g]], max_bits)
+        u, v = _forest(fps[firsts[g] : firsts[g] + sizes[g]], shared, max_bits)
         us.append(u)
         vs.append(v)
     return np.concatenate(us), np.concatenate(vs)
@@ -121,46 +140,83 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v) links of distinct fingerprints ``fp`` that connect all pairs at ``max_bits`` or fewer differing bits."""
     if not 0 <= max_bits < 8:
         raise ValueError("0 to 7 differing bits keep at least one byte in place")
-    sets = position_sets(8 - max_bits)
-    spark = nodes.sparkSession
-    byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255)
+    found = _links(nodes, ["fp"], position_sets(8 - max_bits), 8 - max_bits, max_bits)
+    return found.select(F.col("u0").alias("u"), F.col("v0").alias("v"))
+
+
+def _links(nodes: DataFrame, names: list[str], sets: list[tuple[int, ...]], shared: int, max_bits: int) -> DataFrame:
+    """(u0..., v0...) of distinct fingerprints in the columns ``names``, listed by ``sets`` of byte positions."""
+    spark, width = nodes.sparkSession, len(names)
+
     def key(k, t):
         value = F.lit(k).cast("long")
         for i in t:
-            value = F.shiftleft(value, 8).bitwiseOR(byte(i)) if len(t) < 7 else F.xxhash64(value, byte(i))
+            byte = F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(255)
+            value = F.shiftleft(value, 8).bitwiseOR(byte) if len(t) < 7 else F.xxhash64(value, byte)
         return value
 
-    index = nodes.select("fp", F.explode(F.array(*(key(k, t) for k, t in enumerate(sets)))).alias("key"))
+    index = nodes.select(*names, F.explode(F.array(*(key(k, t) for k, t in enumerate(sets)))).alias("key"))
     large = index.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = written(large, "lists")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
     # each block meets each: task (i, j), i <= j, holds the rows of both
     tasks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
     )
-    dealt = index.join(large, "key", "left").select("key", "fp", F.explode(tasks).alias("task"))
-    dealt = dealt.repartition(shuffle_parts(spark), "key", "task").sortWithinPartitions("key", "task")
+    dealt = index.join(large, "key", "left").select("key", *names, F.explode(tasks).alias("task"))
+    # in one order in every list, so that lists of one group have the same first and give the same links
+    dealt = dealt.repartition(shuffle_parts(spark), "key", "task").sortWithinPartitions("key", "task", *names)
+    columns = [f"{side}{k}" for side in "uv" for k in range(width)]
 
     def run(batches):
-        held_key, held = [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64)
+        held_at, held = np.zeros((0, 2), np.int64), np.zeros((0, width), np.int64)
 
-        def emit(keys, tasks_, fps):
-            firsts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (tasks_[1:] != tasks_[:-1]))) if len(fps) else np.zeros(0, np.int64)
-            u, v = _links_of(fps, firsts, max_bits) if len(fps) else (fps, fps)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        def emit(at, fps):
+            firsts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))) if len(fps) else np.zeros(0, np.int64)
+            u, v = _links_of(fps, firsts, shared, max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*u.T, *v.T)], columns)
 
         for batch in batches:
-            keys = np.concatenate([held_key[0], batch.column(0).to_numpy()])
-            tasks_ = np.concatenate([held_key[1], batch.column(2).to_numpy()])
-            fps = np.concatenate([held, batch.column(1).to_numpy()])
+            at = np.concatenate([held_at, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)])
+            fps = np.concatenate([held, np.stack([batch.column(2 + k).to_numpy() for k in range(width)], 1)])
             if not len(fps):
                 continue
-            last = len(fps) - int(np.argmax(((keys != keys[-1]) | (tasks_ != tasks_[-1]))[::-1])) if (keys[0], tasks_[0]) != (keys[-1], tasks_[-1]) else 0
-            yield emit(keys[:last], tasks_[:last], fps[:last])
-            held_key, held = [keys[last:], tasks_[last:]], fps[last:]
-        yield emit(*held_key, held)
+            other = np.flatnonzero((at != at[-1]).any(1))
+            last = int(other[-1]) + 1 if len(other) else 0
+            yield emit(at[:last], fps[:last])
+            held_at, held = at[last:], fps[last:]
+        yield emit(held_at, held)
+
+    return dealt.select("key", F.col("task").cast("long").alias("task"), *names).mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct()
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """Differing bits, rounded up, that two sets of one size and this Jaccard similarity lead one to expect."""
+    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
-    return dealt.select("key", "fp", F.col("task").cast("long").alias("task")).mapInArrow(run, "u long, v long").distinct()
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+    """Returns id, component_id (the smallest id reachable) for every row; links join texts whose 128 bits put their
+    shingle sets at ``similarity`` or more, and which share three positional bytes in one half (any pair that shares
+    five of the 16 does).
+
+    The bits estimate the similarity: texts just at the threshold are linked or not by chance. Null and empty texts
+    have fingerprint 0, which links like any other. A null id is returned with the component of its fingerprint, null if all ids there
+    are null. An empty table gives an empty result; other columns are ignored.
+    """
+    names = _names(2)
+    docs = written(fingerprints(df, id_col, text_col, words, seed, 2), "fingerprints")
+    nodes = written(docs.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
+    sets = [tuple(8 * half + i for i in t) for half in (0, 1) for t in combinations(range(8), SHARED)]
+    found = _links(nodes.select(*names), names, sets, SHARED, bits_at(similarity, 128))
+    pair = lambda side: F.struct(F.col(f"{side}0").alias("a"), F.col(f"{side}1").alias("b")).alias(side)
+    found = components(found.select(pair("u"), pair("v")))
+    found = found.select(F.col("node.a").alias("fp"), F.col("node.b").alias("fp1"), "component")
+    own = F.struct(F.col("fp").alias("a"), F.col("fp1").alias("b"))
+    member = nodes.join(found, names, "left").withColumn("component", F.coalesce("component", own))
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = member.join(least, "component").select(*names, "component_id")
+    return docs.join(classes, names).select(F.col("doc_id").alias(id_col), "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words: int = WORDS, seed: int = SEED) -> DataFrame:

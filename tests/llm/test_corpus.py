@@ -116,6 +116,27 @@ def test_simhash_equals_brute_force(spark):
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in ids}
 
 
+def test_similar_documents(spark):
+    r = random.Random(6)
+    words = ["w%d" % k for k in range(2000)]
+    rows, edited = [], {}
+    for k in range(120):
+        text = r.choices(words, k=300)
+        rows.append((k, " ".join(text)))
+        for at in r.sample(range(300), 2 if k % 2 else 60):  # similarity above 0.9, or below 0.2
+            text[at] = "Zz%d" % at
+        rows.append((1000 + k, " ".join(text)))
+        edited[1000 + k] = k
+    rows += [(5000, None), (5001, ""), (5002, rows[0][1].upper()), (None, rows[0][1])]
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs(spark, rows)).collect()}
+    assert got[5000] == got[5001] == 5000 and got[5002] == got[None] == got[0] == 0
+    near = [i for i, k in edited.items() if k % 2]
+    assert sum(got[i] == edited[i] for i in near) / len(near) >= 0.9
+    assert all(got[i] == i for i, k in edited.items() if k % 2 == 0) and all(got[k] == k for k in range(120))
+    assert simhash.bits_at(1.0, 128) == 0 and simhash.bits_at(0.8, 128) == 20
+    assert simhash.similar(docs(spark, [])).count() == 0
+
+
 def test_position_sets():
     from itertools import combinations
 
