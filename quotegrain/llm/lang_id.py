@@ -69,21 +69,29 @@ class Model:
         return kernel @ self.weights
 
 
+def _presence(spectra: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(spectra), DIMS), np.float32)
+    for row, on in zip(out, spectra, strict=True):
+        row[on] = 1
+    return out
+
+
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """``rows``: language and sorted feature numbers, in a fixed order."""
+    """``rows``: language and distinct feature numbers, in a fixed order. Only landmarks and one batch of rows are
+    held as dense rows at a time."""
     languages = sorted({lang for lang, _ in rows})
-    presence = np.zeros((len(rows), DIMS), np.float32)
-    for i, (_, on) in enumerate(rows):
-        presence[i, on] = 1
+    spectra = [on for _, on in rows]
+    sizes = np.sqrt(np.array([max(len(on), 1) for on in spectra], np.float32))[:, None]
     by_lang = [[i for i, (lang, _) in enumerate(rows) if lang == x] for x in languages]
     chosen = [group[k] for k in range(max(map(len, by_lang), default=0)) for group in by_lang if k < len(group)][: max(landmarks, len(languages))]
-    unit = presence / np.sqrt(np.maximum(presence.sum(1), 1))[:, None]
-    features = np.flatnonzero(presence[chosen].any(0))
-    marks = np.ascontiguousarray(unit[chosen][:, features].T)
+    dense = _presence([spectra[i] for i in chosen])
+    features = np.flatnonzero(dense.any(0))
+    marks = np.ascontiguousarray((dense[:, features] / sizes[chosen]).T)
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (unit[:, features] @ marks).astype(np.float64) @ nystrom
+    kernel = np.concatenate([_presence(spectra[at : at + _BATCH])[:, features] @ marks for at in range(0, len(rows), _BATCH)]) / sizes
+    phi = kernel.astype(np.float64) @ nystrom
     target = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
     # each language weighs the same, however many texts it has
     count = np.array([len(by_lang[languages.index(lang)]) for lang, _ in rows], float)
@@ -108,13 +116,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     row = np.zeros(DIMS, bool)
                     mark(text, row)
                     kept.append(i)
-                    on.append(np.flatnonzero(row).astype(np.int32))
+                    on.append(np.flatnonzero(row).astype("<i4").tobytes())
             some = batch.take(pa.array(kept, pa.int32()))
-            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(on, pa.list_(pa.int32()))], ["lang", "k", "features"])
+            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(on, pa.binary())], ["lang", "k", "features"])
 
-    rows = named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang", "k").mapInArrow(spectra, "lang string, k int, features array<int>")
-    found = sorted(((r.lang, r.k, tuple(r.features)) for r in rows.toLocalIterator()), key=lambda r: r[:2])
-    return fit([(lang, np.array(on, np.int64)) for lang, _, on in found], landmarks) if found else None
+    rows = named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang", "k").mapInArrow(spectra, "lang string, k int, features binary")
+    found = sorted((r.lang, r.k, bytes(r.features)) for r in rows.toLocalIterator())
+    return fit([(lang, np.frombuffer(on, "<i4")) for lang, _, on in found], landmarks) if found else None
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
