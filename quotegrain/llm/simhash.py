@@ -7,9 +7,8 @@ missed. In each list the shared positional bytes of a pair are tallied, pairs wi
 differing bits are counted. Equal fingerprints are one node of the index, so copies cost nothing. A list gives a
 spanning forest of its links, never all pairs of a group; lists longer than ``BLOCK`` are compared block by block.
 
-``near_duplicates`` links at a number of bits. ``similar`` links at a similarity of shingle sets, for which one
-fingerprint is too coarse: it takes two (128 bits), lists of all triples of positions of each, and the number of
-differing bits that the similarity leads one to expect.
+``near_duplicates`` links at a number of bits. For links at a similarity of shingle sets fingerprints are too coarse;
+``similar`` compares the sets themselves (``shingle_sets``).
 """
 
 from __future__ import annotations
@@ -24,13 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, shuffle_parts, written
 from .components import components
+from .shingle_sets import SIMILARITY, similar  # noqa: F401
 
 MAX_BITS = 4
 WORDS = 4
 SEED = 42
-SIMILARITY = 0.8
-#: Shared positional bytes that the lists of ``similar`` are keyed by.
-SHARED = 3
 #: Fingerprints of one list that a task compares at a time.
 BLOCK = 4096
 
@@ -195,30 +192,6 @@ def bits_at(similarity: float, bits: int) -> int:
     return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
-    """Returns id, component_id (the smallest id reachable) for every row; links join texts whose 128 bits put their
-    shingle sets at ``similarity`` or more, and which share three positional bytes in one half (any pair that shares
-    five of the 16 does).
-
-    The bits estimate the similarity: texts just at the threshold are linked or not by chance. Null and empty texts
-    have fingerprint 0, which links like any other. A null id is returned with the component of its fingerprint, null if all ids there
-    are null. An empty table gives an empty result; other columns are ignored.
-    """
-    names = _names(2)
-    docs = written(fingerprints(df, id_col, text_col, words, seed, 2), "fingerprints")
-    nodes = written(docs.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
-    sets = [tuple(8 * half + i for i in t) for half in (0, 1) for t in combinations(range(8), SHARED)]
-    found = _links(nodes.select(*names), names, sets, SHARED, bits_at(similarity, 128))
-    pair = lambda side: F.struct(F.col(f"{side}0").alias("a"), F.col(f"{side}1").alias("b")).alias(side)
-    found = components(found.select(pair("u"), pair("v")))
-    found = found.select(F.col("node.a").alias("fp"), F.col("node.b").alias("fp1"), "component")
-    own = F.struct(F.col("fp").alias("a"), F.col("fp1").alias("b"))
-    member = nodes.join(found, names, "left").withColumn("component", F.coalesce("component", own))
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "component").select(*names, "component_id")
-    return docs.join(classes, names).select(F.col("doc_id").alias(id_col), "component_id")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """Returns id, fingerprint (16 hex digits), component_id (the smallest id reachable) for every row.
 

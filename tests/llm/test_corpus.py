@@ -137,6 +137,30 @@ def test_similar_documents(spark):
     assert simhash.similar(docs(spark, [])).count() == 0
 
 
+def test_similar_equals_brute_force(spark, monkeypatch):
+    from quotegrain.llm import shingle_sets
+
+    r = random.Random(8)
+    rows = []
+    for k in range(150):  # pairs of 96 shingles each; one changed run of words at an end keeps 1 - n / 96 of them
+        text = ["w%d" % r.randrange(10**6) for _ in range(100)]
+        n = r.choice([6, 8, 9, 10, 11, 12, 13, 16, 20])
+        rows += [(k, " ".join(text)), (1000 + k, " ".join(text[:-n] + ["z%d_%d" % (k, j) for j in range(n)]))]
+    chain = ["c%d" % j for j in range(160)]
+    rows += [(3000 + k, " ".join(chain[k * 5 : 100 + k * 5])) for k in range(12)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    ids = sorted(sets)
+    want = {i: i for i in ids}
+    near = [(x, y) for x in ids for y in ids if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8]
+    for _ in ids:
+        for x, y in near:
+            want[x] = want[y] = min(want[x], want[y])
+    assert 40 < len(near) < 150
+    for block in (1 << 20, 200):  # also with the chain dealt out by blocks
+        monkeypatch.setattr(shingle_sets, "BLOCK", block)
+        assert {x.doc_id: x.component_id for x in simhash.similar(docs(spark, rows)).collect()} == want
+
+
 def test_position_sets():
     from itertools import combinations
 
