@@ -4,6 +4,7 @@ Largest inner product becomes least Euclidean distance by one more coordinate, s
 norm, which is 0 for a query. A shard's tree splits its vectors at the median distance from a vantage point. A subtree
 is left out if the triangle inequality, with the bound shrunk by ``factor``, rules it out: its least possible distance
 exceeds ``factor`` times the distance of the k-th nearest found so far. Factor one is exact; less is faster and may miss.
+Leaves choose by exact inner product and id, so the first k of a shard are those of the whole order, ties included.
 All queries of a block go down a tree together, each visiting the nearer side first.
 """
 
@@ -24,12 +25,13 @@ FACTOR = 1.0
 
 
 class VpTree:
-    def __init__(self, x: np.ndarray, ids: np.ndarray | None = None, leaf: int = LEAF, seed: int = 7):
-        self.x, self.leaf = x, leaf
-        self.ids = np.arange(len(x)) if ids is None else ids
-        self.norms = (x * x).sum(1)
+    def __init__(self, plain: np.ndarray, ids: np.ndarray, longest: float, leaf: int = LEAF, seed: int = 7):
+        """Of vectors whose squared norms are ``longest`` at most."""
+        self.plain, self.ids, self.longest, self.leaf = plain, ids, longest, leaf
+        self.x = np.column_stack([plain, np.sqrt(np.maximum(longest - (plain * plain).sum(1), 0))])
+        self.norms = (self.x * self.x).sum(1)
         self.random = np.random.default_rng(seed)
-        self.root = self._grow(np.arange(len(x)))
+        self.root = self._grow(np.arange(len(plain)))
 
     def _far(self, q: np.ndarray, q_norms: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(q_norms[:, None] + self.norms[rows] - 2 * (q @ self.x[rows].T), 0))
@@ -45,40 +47,60 @@ class VpTree:
         return (v, (far[near].min(), far[near].max()), (far[rest].min(), far[rest].max()), self._grow(rows[near]), self._grow(rows[rest]))
 
     def search(self, q: np.ndarray, k: int, factor: float = 1.0, skip: np.ndarray | None = None):
-        """(distances, rows) of the k nearest of each query, unordered; missing ones are inf and -1. ``skip``: the id
-        that each query must not find."""
-        self.q, self.q_norms, self.k, self.factor, self.skip = q, (q * q).sum(1), k, factor, skip
-        self.best, self.rows = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-        self.bound = np.full(len(q), np.inf)
+        """(inner products, rows) of the k first of each query by inner product, ties by the smaller id; missing ones
+        are -inf and -1. ``skip``: the id that each query must not find."""
+        self.q, self.k, self.factor, self.skip = np.column_stack([q, np.zeros(len(q))]), k, factor, skip
+        self.q_plain, self.q_norms = q, (q * q).sum(1)
+        self.best, self.rows = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        # what rounding may add to an inner product, and to distances that are compared
+        self.hair = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (self.q_norms + self.longest)
+        self.slack = 4 * np.sqrt(self.hair) + 1e-9
         self.visited = 0
-        if len(self.x):
+        if len(self.plain):
             self._visit(self.root, np.arange(len(q)))
         return self.best, self.rows
 
+    def _products(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of pairs of a query and a row, in one order of summation: equal vectors have equal ones."""
+        step = max((1 << 22) // max(self.plain.shape[1], 1), 1)
+        return np.concatenate([np.zeros(0), *((self.q_plain[at[i : i + step]] * self.plain[rows[i : i + step]]).sum(1) for i in range(0, len(at), step))])
+
+    def _leaf(self, node: np.ndarray, active: np.ndarray) -> None:
+        rough = self.q_plain[active] @ self.plain[node].T
+        self.visited += rough.size
+        if self.skip is not None:
+            rough[self.ids[node][None, :] == self.skip[active, None]] = -np.inf
+        # ties at the k-th place stay, and what rounding could bring there
+        least = self.best[active].min(1)
+        if len(node) >= self.k:
+            least = np.maximum(least, np.partition(rough, len(node) - self.k, 1)[:, len(node) - self.k])
+        at, column = np.nonzero((rough >= (least - 2 * self.hair[active])[:, None]) & (rough > -np.inf))
+        if not len(at):
+            return
+        touched = np.unique(at)
+        mine = active[touched]
+        query = np.concatenate([np.searchsorted(touched, at), np.repeat(np.arange(len(touched)), self.k)])
+        rows = np.concatenate([node[column], self.rows[mine].ravel()])
+        score = np.concatenate([self._products(active[at], node[column]), self.best[mine].ravel()])
+        order = np.lexsort((self.ids[rows], -score, query))
+        query, rows, score = query[order], rows[order], score[order]
+        counts = np.bincount(query)
+        place = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)
+        keep = place < self.k  # at least k of each: those of ``best``
+        self.best[mine], self.rows[mine] = score[keep].reshape(-1, self.k), rows[keep].reshape(-1, self.k)
+
     def _visit(self, node, active: np.ndarray) -> None:
         if not isinstance(node, tuple):
-            far = self._far(self.q[active], self.q_norms[active], node)
-            self.visited += far.size
-            if self.skip is not None:
-                far[self.ids[node][None, :] == self.skip[active, None]] = np.inf
-            better = (far < self.bound[active, None]).any(1) | np.isinf(self.bound[active])
-            active, far = active[better], far[better]
-            if not len(active):
-                return
-            all_far = np.concatenate([self.best[active], far], 1)
-            all_rows = np.concatenate([self.rows[active], np.broadcast_to(node, far.shape)], 1)
-            pick = np.argpartition(all_far, self.k - 1, 1)[:, : self.k]  # at least k columns: those of ``best``
-            self.best[active], self.rows[active] = np.take_along_axis(all_far, pick, 1), np.take_along_axis(all_rows, pick, 1)
-            self.rows[active] = np.where(np.isinf(self.best[active]), -1, self.rows[active])
-            self.bound[active] = self.best[active].max(1)
+            self._leaf(node, active)
             return
         v, near, rest, inner, outer = node
         far = self._far(self.q[active], self.q_norms[active], np.array([v]))[:, 0]
 
         def open_(span):
             least = np.maximum(np.maximum(far - span[1], span[0] - far), 0)
-            # rounding may not cut: a hair is left
-            return least * (1 - 1e-12) <= self.factor * self.bound[active] + 1e-9
+            bound = np.sqrt(np.maximum(self.q_norms[active] + self.longest - 2 * self.best[active].min(1), 0))
+            # rounding may not cut, nor may a tie be cut: a hair is left
+            return least * (1 - 1e-12) <= self.factor * bound + self.slack[active]
 
         inside = far <= (near[1] + rest[0]) / 2
         for side, first in ((inner, inside), (outer, ~inside), (outer, inside), (inner, ~inside)):
@@ -119,18 +141,16 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR,
         if candidates.num_rows and questions.num_rows:
             ids = candidates["vec_id"].to_numpy()
             x = candidates["v"].combine_chunks().flatten().to_numpy().reshape(-1, size)
-            more = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-            tree = VpTree(np.column_stack([x, more]), ids)
+            tree = VpTree(x, ids, longest)
             q_ids = questions["vec_id"].to_numpy()
             q = questions["v"].combine_chunks().flatten().to_numpy().reshape(-1, size)
             for at in range(0, len(q), BATCH):
                 part, part_ids = q[at : at + BATCH], q_ids[at : at + BATCH]
-                _, found = tree.search(np.column_stack([part, np.zeros(len(part))]), k, factor, part_ids)
+                scores, found = tree.search(part, k, factor, part_ids)
                 at_q, at_k = np.nonzero(found >= 0)
-                f = found[at_q, at_k]
                 out[0].append(part_ids[at_q])
-                out[1].append(ids[f])
-                out[2].append((part[at_q] * x[f]).sum(1))
+                out[1].append(ids[found[at_q, at_k]])
+                out[2].append(scores[at_q, at_k])
         columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 

@@ -262,6 +262,25 @@ def test_nearest(spark):
     assert sum(y.vec_id in got[y.query_id] for y in loose) / (20 * len(ids)) >= 0.9
 
 
+def test_nearest_of_equal_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 12))
+    x[r.permutation(400)[:150]] = x[7] * 2
+    order = r.permutation(400)  # ids in no order
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    got = {}
+    for q in vptree.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
+    assert len(got) == 20
+    ties = 0
+    for q, found in got.items():
+        score = (x[q] * x).sum(1)
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert [i for i, _ in found] == want and [s for _, s in found] == score[want].tolist()
+        ties += len(set(score[want])) < 10
+    assert ties
+
+
 def test_warc_round_trip(spark):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" * 3000
     rows = [(5, "http://a/", "same"), (3, "http://b/\r\nX: y", "same"), (9, None, None), (8, "u", ""), (7, "u", big), (12, "u", big), (1, "u", "x" * 16384)]
