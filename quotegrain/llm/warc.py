@@ -16,7 +16,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import parts_for, scratch_dir, shuffle_parts, text_bytes
+from .common import parts_for, scratch_dir, shuffle_parts, text_bytes, written
 
 SEGMENT_BYTES = 16384
 CHUNK = 8192
@@ -75,15 +75,22 @@ def _one_line(text: str) -> str:
     return "".join(c if c not in "\r\n" else " " for c in text)
 
 
-def _records_of(page_id: int | None, url: str | None, html: str | None, first: int | None, segment_bytes: int) -> list[bytes]:
+def _name(page_id: int | None, digest: str, marked: bool | None, repeat: int = 1) -> str:
+    """The identifier of the ``repeat``-th row of a page_id and html; the page_id is its last part."""
+    if repeat == 1 and not marked and page_id is not None:
+        return f"urn:x-page:{page_id}"
+    return f"urn:x-page:{digest}-{repeat}:{page_id}"
+
+
+def _records_of(name: str, url: str | None, html: str | None, first: str | None, segment_bytes: int) -> list[bytes]:
+    """``first``: the record that this one revisits."""
     payload = (html or "").encode()
-    name = f"urn:x-page:{page_id}"
     fields = [
         ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", _one_line(url or "")),
         ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
     ]
-    if first is not None and first != page_id:
-        more = [("WARC-Type", "revisit"), ("WARC-Refers-To", f"<urn:x-page:{first}>"), ("X-Payload-Length", str(len(payload)))]
+    if first is not None:
+        more = [("WARC-Type", "revisit"), ("WARC-Refers-To", f"<{first}>"), ("X-Payload-Length", str(len(payload)))]
         return [_record([*more, *fields, ("Content-Type", "application/http; msgtype=response")], _HTTP)]
     block = _HTTP + chunked(payload)
     kind = ("Content-Type", "application/http; msgtype=response")
@@ -106,26 +113,39 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     Rows with equal payloads of at least ``min_revisit_bytes`` bytes: that with the smallest page_id is a response, the
     others revisit it. A null html or url is empty; a null page_id is written as ``None`` and is always a response.
     Repeated rows are written each time. An empty table writes no record. Other columns are ignored.
-    Only digests are grouped; payloads are shuffled once, by page_id.
+    Only digests are grouped; payloads are shuffled once, by page_id and digest.
+
+    Every record has an identifier of its own: urn:x-page:{page_id}, and with the html's digest and a number before the
+    page_id for null ids, further rows of a page_id and html, and all but the least digest of a page_id.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html")
     html = F.coalesce("html", F.lit(""))
-    keys = rows.where("page_id is not null").select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    keys = keys.where(F.col("n") >= min_revisit_bytes)
+    all_keys = rows.where("page_id is not null").select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
+    keys = all_keys.where(F.col("n") >= min_revisit_bytes)
     firsts = keys.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     roles = keys.join(firsts, ["digest", "n"]).where("first <> page_id").select("page_id", "digest", "first").distinct()
+    # page_ids with several payloads: all but the least digest are marked
+    several = all_keys.groupBy("page_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").drop("most")
+    marks = all_keys.join(several, "page_id").where("digest > least").select("page_id", "digest").distinct()
+    marks = written(marks.withColumn("marked", F.lit(True)), "marks")
+    roles = roles.join(marks.select(F.col("page_id").alias("first"), "digest", F.col("marked").alias("first_marked")), ["first", "digest"], "left")
+    roles = roles.join(marks, ["page_id", "digest"], "full")
     total = text_bytes(rows, "html")
     n = parts_for(total, FILE_BYTES, shuffle_parts(spark))
     by = ["page_id", "digest"]
     dealt = rows.withColumn("digest", F.sha2(html, 256)).repartition(n, *by).join(roles.repartition(n, *by).hint("merge"), by, "left")
-    dealt = dealt.select("page_id", "url", "html", "first")
+    # rows of one page_id and html are in one partition, and one after another there
+    dealt = dealt.sortWithinPartitions(*by).select("page_id", "digest", "marked", "first", "first_marked", "url", "html")
 
     def records(batches):
+        last, repeat = None, 0
         for batch in batches:
             made, size = [], 0
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for record in _records_of(*row, segment_bytes):
+            for page_id, digest, marked, first, first_marked, url, page in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                last, repeat = (page_id, digest), repeat + 1 if (page_id, digest) == last else 1
+                target = None if first is None else _name(first, digest, first_marked)
+                for record in _records_of(_name(page_id, digest, marked, repeat), url, page, target, segment_bytes):
                     made.append(record)
                     size += len(record)
                 if size > 8 << 20:

@@ -298,6 +298,23 @@ def test_warc_round_trip(spark):
     assert kept["urn:x-page:7"] == big.encode()
 
 
+def test_warc_null_and_repeated_ids(spark):
+    big = ["%d é" % k * 9000 for k in range(4)]
+    rows = [(None, "n", big[0]), (None, "n", big[0]), (None, "n", big[1]), (None, None, None), (None, "n", "x"), (2, "a", big[0]), (2, "a", big[0]), (2, "b", big[2]), (2, "b", "x"), (5, "c", big[2]), (5, "c", big[2]), (5, "c", "x"), (6, "d", big[3])]
+    records = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    found = records.collect()
+    assert len({r.record_id for r in found}) == len(rows) and all(r.complete for r in found)
+    report = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.page_report(records).collect())
+    first = {h: min(i for i, _, g in rows if i is not None and g == h) for i, _, h in rows if i is not None}
+    want = []
+    for i, _, h in rows:
+        p, f = (h or "").encode(), None if i is None or first[h] == i else first[h]
+        want.append((i or 0, len(p), warc.sha1_base32(p), "revisit" if f else "response", f or 0))
+    assert report == sorted(want)
+    kept = {r.record_id: warc.sha1_base32(bytes(r.payload)) for r in found if r.payload is not None}
+    assert all(kept[r.refers_to] == r.payload_digest for r in found if r.refers_to)
+
+
 def test_url_filter(spark):
     rules = url_filter.rules_frame(spark, [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de", "block"), ("org", "", "block"), ("org", "", "allow")])
     urls = ["http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?x", "http://example.net/e", "https://w.example.com/deutsch", "http://notexample.com/de", "x", None, "http://b.org#f", "http://net/q"]
