@@ -4,16 +4,18 @@ Both substring operators ask this, of 50-byte windows or of 13-word windows. Win
 are not shuffled. Each window holds a shorter gram whose hash is least in it: its anchor. Equal windows have the same
 anchors at the same places, and anchors are few (about two in ``window - gram + 2`` tokens).
 
-* ``packed``: documents in groups of about 2 MB, compressed, written once. Later steps recompute anchors from them.
-* ``anchor_rows``: per group and bucket of hashes, the sorted distinct anchor hashes, a few bytes each. Within a group
-  every hash counts once, so a passage that a third of all documents share costs one entry per group.
-* A step of the operator's own finds the hashes that two documents share, and answers with a bit per entry.
+* ``packed``: sets of documents, each in compressed pieces of about 2 MB, written once in buckets of the set's number.
+  Later steps recompute anchors from them, and what they ask for comes to them: texts are never shuffled.
+* ``anchor_rows``: per set and bucket of hashes, the distinct anchor hashes of its pieces, a few bytes each. Within a
+  piece every hash counts once, so a passage that a third of all documents share costs one entry per piece.
+* A step of the operator's own finds the hashes that two documents share, and answers with a byte per entry.
 * ``resolve``: for shared anchors, a digest of the text around each (all windows that hold it), with the least
   document id. If all texts around an anchor agree, that least id is the answer for all its windows. Only where they
-  differ, the texts themselves are sent and told apart by the operator's own method. A hash in very many groups is
+  differ, the texts themselves are sent and told apart by the operator's own method. A hash in very many pieces is
   not gathered under one key: its windows are dealt out one by one, by their own digests.
 
-Rows between steps are arrays of numbers, one row per group and bucket; buckets grow in number with the input.
+Between steps a row holds what one set sends to one bucket, as arrays of numbers. Sets grow with the input up to
+``MOST_SET``, so such rows are far fewer than entries until inputs reach many terabytes, and never more than entries.
 """
 
 from __future__ import annotations
@@ -25,17 +27,22 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mix, parts_for, ranges, shuffle_parts, slide, text_chunks, written
+from .common import CHUNK_BYTES, bucketed, mix, parts_for, ranges, shuffle_parts, slide, text_bytes, text_chunks
 
-GROUP_BYTES = 2 << 20
-#: Bytes of text per bucket of anchor hashes.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text that are worked on at a time, of a set at most, of a bucket of anchor hashes, of a written bucket of sets.
+PIECE_BYTES = 2 << 20
+MOST_SET = 32 << 20
+BUCKET_BYTES = 16 << 20
+FILE_BYTES = 64 << 20
+#: Bytes of entries that a set gathers before it sends them.
+FLUSH_BYTES = 24 << 20
 _BLOCK = 1 << 17
-#: A hash in so many groups is dealt out by windows.
-HOT_GROUPS = 1024
+#: A hash in so many pieces is dealt out by windows.
+HOT_PIECES = 1024
 _A = np.uint64(0x9E3779B97F4A7C15)
+_UNITS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -72,48 +79,87 @@ def _expand(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-# ---- documents in groups
+# ---- documents in sets
 
 
-def packed(df: DataFrame, id_col: str, text_col: str, batch: int = 0) -> DataFrame:
-    """A written table (g, n_bytes, least, greatest, meta, body): groups of documents with a non-null id, as ``unpack`` reads them."""
+@dataclass(frozen=True)
+class Layout:
+    """How a table is dealt out: bytes of a set, buckets of hashes, written buckets."""
+
+    set_bytes: int
+    buckets: int
+    files: int
+
+
+def layout(spark: SparkSession, total_bytes: int) -> Layout:
+    tasks = shuffle_parts(spark)
+    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), parts_for(total_bytes, BUCKET_BYTES, tasks), parts_for(total_bytes, FILE_BYTES, tasks))
+
+
+PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"
+
+
+def pack(df: DataFrame, id_col: str, text_col: str, set_bytes: int, batch: int = 0, piece_bytes: int = PIECE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sets of documents with a non-null id: number, least and greatest id, pieces as ``unpack`` reads them. Columns to
+    ``carry`` go along with their rows."""
+    kinds = [*[pa.int64()] * 3, *[pa.list_(pa.binary())] * 2]
+    names = ["s", "least", "greatest", "metas", "bodies"]
+
+    def piece(ids, sizes, texts, carried):
+        sink = pa.BufferOutputStream()
+        if carry:
+            with pa.ipc.new_stream(sink, carried[0].schema) as stream:
+                for some in carried:
+                    stream.write_batch(some)
+        return _squeeze(np.concatenate(ids), np.concatenate(sizes), np.frombuffer(sink.getvalue(), np.uint8)), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
 
     def run(batches):
-        base, seq = batch << 50 | TaskContext.get().partitionId() << 24, 0
-        ids, sizes, parts, size = [], [], [], 0
+        number, held = batch << 50 | TaskContext.get().partitionId() << 24, 0
+        ids, sizes, texts, carried, size, seen, pieces = [], [], [], [], 0, [], []
 
         def out():
-            all_ids = np.concatenate(ids)
-            data = b"".join(p.tobytes() for p in parts)
-            body = zstandard.ZstdCompressor(level=3).compress(data)
-            meta = _squeeze(all_ids, np.concatenate(sizes))
-            row = [[base + seq], [size], [int(all_ids.min())], [int(all_ids.max())], [meta], [body]]
-            kinds = [*[pa.int64()] * 4, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["g", "n_bytes", "least", "greatest", "meta", "body"])
+            every = np.concatenate(seen)
+            row = [number, int(every.min()), int(every.max()), [m for m, _ in pieces], [b for _, b in pieces]]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names)
 
         for rows in batches:
             own = rows.column(0).to_numpy()
-            for a, b, data, offsets in text_chunks(rows, "text"):
+            for a, b, data, offsets in text_chunks(rows, "text", min(CHUNK_BYTES, piece_bytes)):
                 ids.append(own[a:b].copy())
                 sizes.append(np.diff(offsets))
-                parts.append(data.copy())
+                texts.append(data.tobytes())
+                carried.append(rows.slice(a, b - a).select(extra) if carry else None)
                 size += len(data)
-                if size >= GROUP_BYTES:
-                    yield out()
-                    seq += 1
-                    ids, sizes, parts, size = [], [], [], 0
+                if size >= piece_bytes:
+                    pieces.append(piece(ids, sizes, texts, carried))
+                    seen += ids
+                    held += size
+                    ids, sizes, texts, carried, size = [], [], [], [], 0
+                    if held >= set_bytes:
+                        yield out()
+                        number, held, seen, pieces = number + 1, 0, [], []
         if ids:
+            pieces.append(piece(ids, sizes, texts, carried))
+            seen += ids
+        if pieces:
             yield out()
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return written(docs.mapInArrow(run, "g long, n_bytes long, least long, greatest long, meta binary, body binary"), "packed")
+    extra = [f"c{i}" for i in range(len(carry))]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
+    return docs.where("doc_id is not null").mapInArrow(run, PACKED)
+
+
+def packed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Layout]:
+    """A written table of sets, in buckets of ``s``, and its layout."""
+    plan = layout(df.sparkSession, text_bytes(df, text_col))
+    return bucketed(pack(df, id_col, text_col, plan.set_bytes), "packed", "s", plan.files), plan
 
 
-def unpack(meta: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, bytes) of a group."""
-    ids, sizes = _expand(meta, np.int64, np.int64)
+def unpack(meta: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets, bytes, carried columns as an Arrow stream) of a piece."""
+    ids, sizes, carried = _expand(meta, np.int64, np.int64, np.uint8)
     raw = zstandard.ZstdDecompressor().decompress(body) if len(body) else b""
-    return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(raw, np.uint8)
+    return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(raw, np.uint8), carried
 
 
 # ---- anchors
@@ -149,13 +195,14 @@ def find_anchors(scheme: Scheme, tokens: np.ndarray, bounds: np.ndarray) -> tupl
 
 
 class Group:
-    """A group's anchors, in order of bucket and hash."""
+    """A piece's anchors, in order of bucket and hash."""
 
     def __init__(self, scheme: Scheme, meta: bytes, body: bytes, buckets: int):
         self.scheme = scheme
-        self.ids, self.offsets, self.data = unpack(meta, body)
+        self.ids, self.offsets, self.data, self.carried = unpack(meta, body)
         self.tokens, self.bounds = scheme.sequence(self.data, self.offsets)
         places, hashes = find_anchors(scheme, self.tokens, self.bounds)
+        hashes = mix(hashes * _A)  # the least of many are small: spread anew, one to one, so that buckets fill alike
         order = np.argsort(hashes, kind="stable")
         self.places, self.hashes = places[order], hashes[order]
         self.rows = np.searchsorted(self.bounds, self.places, "right") - 1
@@ -167,139 +214,204 @@ class Group:
         self.bucket = ((self.distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         docs = self.ids[self.rows]
         least, most = (f.reduceat(docs, self.firsts) if len(docs) else docs for f in (np.minimum, np.maximum))
-        self.several = least != most  # documents in this group with the hash
+        self.several = least != most  # documents in this piece with the hash
 
-    def bucket_spans(self) -> tuple[np.ndarray, np.ndarray]:
-        firsts = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])[: len(self.bucket)])
-        return self.bucket[firsts], np.append(firsts, len(self.bucket))
 
+# ---- what sets and buckets send each other
+
+
+def sets_of(batches):
+    """Rows as dictionaries, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
+def _runs(x: np.ndarray):
+    """(value, first, one past the last) of runs of equal values."""
+    firsts = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return zip(x[firsts].tolist(), firsts.tolist(), np.append(firsts, len(x))[1:].tolist(), strict=True)
+
+
+SENT = "b long, s long, part int, blob binary"
+REPLY = "s long, b long, part int, reply binary"
+
+
+class _Sender:
+    """Gathers a set's entries, piece by piece, and sends them by bucket: a row for each bucket and part."""
+
+    def __init__(self, s: int, most: int):
+        self.s, self.most, self.part, self.size, self.held = s, most, 0, 0, []
+
+    def add(self, bucket: np.ndarray, *columns: np.ndarray):
+        """Entries of a piece in order of bucket; yields rows if enough have gathered. Entries of one piece and bucket
+        must come in one call."""
+        if len(bucket):
+            self.held.append((bucket, *columns))
+            self.size += sum(c.nbytes for c in columns)
+        if self.size >= self.most:
+            yield self.rows()
+
+    def rows(self) -> pa.RecordBatch:
+        names, blobs = [], []
+        if self.held:
+            bucket, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            order = np.argsort(bucket, kind="stable")
+            for b, x, y in _runs(bucket[order]):
+                names.append(b)
+                blobs.append(_squeeze(*(c[order[x:y]] for c in columns)))
+        n, part = len(names), self.part
+        self.held, self.size, self.part = [], 0, part + 1
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([self.s] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(blobs, pa.binary())], ["b", "s", "part", "blob"])
 
-def pack_hashes(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of each: with the bucket's leading bits enough to be rarely wrong, and a wrong hit is found out."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
+class _Replies:
+    """A bucket's answers to all parts of a set, taken piece by piece in the order in which entries were sent."""
 
-def unpack_hashes(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0].astype(np.uint64)
+    def __init__(self, rows: list[dict] | None):
+        self.blobs: dict[int, list[bytes]] = {}
+        for r in rows or []:
+            self.blobs.setdefault(r["b"], []).append(r["reply"])
+        self.at = dict.fromkeys(self.blobs, 0)
 
+    def take(self, b: int, n: int, kind) -> np.ndarray:
+        blobs = self.blobs[b]
+        values = _expand(blobs[0], kind)[0]
+        at = self.at[b]
+        if at + n == len(values):
+            blobs.pop(0)
+            self.at[b] = 0
+        else:
+            self.at[b] = at + n
+        return values[at : at + n]
 
-def bucket_count(table: DataFrame) -> int:
-    total = int(table.agg(F.sum("n_bytes")).first()[0] or 0)
-    return parts_for(total, BUCKET_BYTES, shuffle_parts(table.sparkSession))
+
+def _by_set(replies: DataFrame, name: str) -> DataFrame:
+    """All replies to a set in one row: as many as it sent."""
+    return replies.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("b", "part", "reply"))).alias(name))
+
+
+def answers(table: pa.Table, values: np.ndarray, sizes: list[int]) -> pa.Table:
+    """Replies to the rows of one bucket: ``values`` laid end to end, so many to each row."""
+    blobs = [_squeeze(x) for x in np.split(values, np.cumsum(sizes)[:-1])]
+    return pa.table([table["s"], table["b"], table["part"], pa.array(blobs, pa.binary())], ["s", "b", "part", "reply"])
+
+
+def _low(hashes: np.ndarray) -> np.ndarray:
+    """The low 40 bits of each: with the bucket's leading bits enough to be rarely wrong, and a wrong hit is found out."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
 def anchor_rows(table: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
-    """(b, g, hashes, several): of each group the distinct anchor hashes by bucket, sorted by their low bits' order in
-    the group, and a bit for each that two documents of the group have."""
+    """Of each set, its pieces' distinct anchor hashes by bucket, and whether two documents of the piece have them."""
+
+    most = FLUSH_BYTES
 
     def run(batches):
-        for batch in batches:
-            for g, meta, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for r in sets_of(batches):
+            send = _Sender(r["s"], most)
+            for meta, body in zip(r["metas"], r["bodies"], strict=True):
                 group = Group(scheme, meta, body, buckets)
-                names, cuts = group.bucket_spans()
-                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(names, pa.int64()), pa.array(np.full(len(names), g), pa.int64()),
-                    pa.array([pack_hashes(group.distinct[a:b]) for a, b in spans], pa.binary()),
-                    pa.array([np.packbits(group.several[a:b]).tobytes() for a, b in spans], pa.binary()),
-                ], ["b", "g", "hashes", "several"])
+                yield from send.add(group.bucket, _low(group.distinct), group.several)
+            yield send.rows()
 
-    return table.select("g", "meta", "body").mapInArrow(run, "b long, g long, hashes binary, several binary")
+    return table.select("s", "metas", "bodies").mapInArrow(run, SENT)
 
 
-def shared_bits(hashes: list[np.ndarray], several: list[np.ndarray], hot_groups: int = HOT_GROUPS) -> list[np.ndarray]:
-    """For the distinct hashes of some groups, two rows of bits: which hashes are in more than one group, or in
-    several documents of one; and which of them are in ``hot_groups`` groups or more."""
-    every = np.concatenate(hashes)
+def sent_hashes(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes of each row of ``anchor_rows`` in one bucket, and for all end to end whether a piece has them twice."""
+    hashes, several = [], [np.zeros(0, bool)]
+    for blob in blobs:
+        low, twice = _expand(blob, np.uint8, bool)
+        out = np.zeros((len(twice), 8), np.uint8)
+        out[:, :5] = low.reshape(-1, 5)
+        hashes.append(out.view("<u8")[:, 0].astype(np.uint64))
+        several.append(twice)
+    return hashes, np.concatenate(several)
+
+
+#: What a hash of a piece is: shared with another document; in very many pieces.
+SHARED, HOT = 1, 2
+
+
+def shared_bits(every: np.ndarray, several: np.ndarray, hot_pieces: int = HOT_PIECES) -> np.ndarray:
+    """SHARED and HOT of the distinct hashes of some pieces, end to end."""
     order = np.argsort(every, kind="stable")
-    new = np.append(True, every[order[1:]] != every[order[:-1]])
+    new = np.append(True, every[order[1:]] != every[order[:-1]])[: len(every)]
     count = np.diff(np.append(np.flatnonzero(new), len(every)))[np.cumsum(new) - 1]
-    out = np.empty((2, len(every)), bool)
-    out[0, order], out[1, order] = count > 1, count >= hot_groups
-    out[0] |= np.concatenate(several).astype(bool)
-    return np.split(out, np.cumsum([len(h) for h in hashes])[:-1], axis=1)
+    out = np.empty(len(every), np.uint8)
+    out[order] = (count > 1) * np.uint8(SHARED) | (count >= hot_pieces) * np.uint8(HOT)
+    return out | several.astype(np.uint8)
 
 
-def mask_reply(bits: np.ndarray) -> bytes:
-    """An answer to a row of ``anchor_rows``: bits in the order of its hashes."""
-    return b"\0" + np.packbits(bits[0]).tobytes() + np.packbits(bits[1]).tobytes()
+def listed(shared: np.ndarray, hot: np.ndarray) -> bytes:
+    """An answer to a set whose entries aren't at hand: the low bits of the hashes. Its ``part`` is -1."""
+    return _squeeze(shared, hot)
 
 
-def list_reply(shared: np.ndarray, hot: np.ndarray) -> bytes:
-    """The same for a group whose row isn't at hand: the low bits of the hashes."""
-    return b"\1" + _squeeze(shared, hot)
+LOW = np.uint64((1 << 40) - 1)
 
 
-LOW = np.uint64((1 << 40) - 1)
+class _Marks:
+    """Which hashes of a set's pieces are shared or hot."""
 
+    def __init__(self, rows: list[dict]):
+        self.lists = {r["b"]: _expand(r["reply"], np.uint64, np.uint64) for r in rows if r["part"] < 0}
+        self.replies = _Replies([r for r in rows if r["part"] >= 0])
 
-# ---- what is shared
+    def of(self, group: Group) -> np.ndarray:
+        out = np.zeros(len(group.distinct), np.uint8)
+        for b, x, y in _runs(group.bucket):
+            if b in self.lists:
+                low, (shared, hot) = group.distinct[x:y] & LOW, self.lists[b]
+                out[x:y] = np.isin(low, shared) * np.uint8(SHARED) | np.isin(low, hot) * np.uint8(HOT)
+            elif b in self.replies.blobs:
+                out[x:y] = self.replies.take(b, y - x, np.uint8)
+        return out
 
 
-def _by_group(replies: DataFrame, name: str) -> DataFrame:
-    """All buckets' replies to a group in one row; as many as the group has hashes at most."""
-    return replies.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "reply"))).alias(name))
+# ---- what is shared
 
 
 class _Shared:
-    """A group's shared anchors, told apart by the digest of the text around them."""
-
-    def __init__(self, group: Group, masks: list[dict]):
-        names, cuts = group.bucket_spans()
-        on, hot = np.zeros((2, len(group.distinct)), bool)
-        place = {b: i for i, b in enumerate(names.tolist())}
-        for m in masks:
-            i = place[m["b"]]
-            n, part = cuts[i + 1] - cuts[i], slice(cuts[i], cuts[i + 1])
-            if m["reply"][0]:
-                on_, hot_ = _expand(m["reply"][1:], np.uint64, np.uint64)
-                low = group.distinct[part] & LOW
-                on[part], hot[part] = np.isin(low, on_), np.isin(low, hot_)
-            else:
-                bits = np.frombuffer(m["reply"], np.uint8, offset=1).reshape(2, -1)
-                on[part], hot[part] = np.unpackbits(bits, axis=1, count=n).astype(bool)
+    """A piece's shared anchors, told apart by the digest of the text around them."""
+
+    def __init__(self, group: Group, marks: np.ndarray):
         s = group.scheme
-        pick = np.flatnonzero(on[group.number])
-        place_, row = group.places[pick], group.rows[pick]
-        left = np.minimum(s.reach, place_ - group.bounds[row])
-        right = np.minimum(s.reach, group.bounds[row + 1] - place_ - s.gram)
+        pick = np.flatnonzero((marks & SHARED)[group.number])
+        place, row = group.places[pick], group.rows[pick]
+        left = np.minimum(s.reach, place - group.bounds[row])
+        right = np.minimum(s.reach, group.bounds[row + 1] - place - s.gram)
         fits = left + right >= s.reach
-        pick, place_, row, left, right = pick[fits], place_[fits], row[fits], left[fits], right[fits]
-        digest = s.digests(group.tokens, place_ - left, left + s.gram + right)
+        pick, place, row, left, right = pick[fits], place[fits], row[fits], left[fits], right[fits]
+        digest = s.digests(group.tokens, place - left, left + s.gram + right)
         digest = mix((digest ^ (left.astype(np.uint64) + (right.astype(np.uint64) << np.uint64(20)))) * _A)
         order = np.lexsort((digest, group.number[pick]))
-        self.group, self.place, self.row, self.left, self.right = group, place_[order], row[order], left[order], right[order]
+        self.group, self.place, self.row, self.left, self.right = group, place[order], row[order], left[order], right[order]
         number, digest = group.number[pick][order], digest[order]
         new = np.append(True, (number[1:] != number[:-1]) | (digest[1:] != digest[:-1]))[: len(order)]
         #: anchors with one hash and digest are one class
         self.firsts, self.of = np.flatnonzero(new), np.cumsum(new) - 1
         self.digest, self.hash = digest[self.firsts], group.distinct[number[self.firsts]]
         self.bucket = group.bucket[number[self.firsts]]
-        self.hot = hot[number[self.firsts]]
+        self.cold = np.flatnonzero(~(marks & HOT).astype(bool)[number[self.firsts]])
         docs = group.ids[self.row]
         self.least = np.minimum.reduceat(docs, self.firsts) if len(docs) else docs
 
-    def spans(self):
-        """(bucket, first class, one past the last) of each bucket."""
-        return _runs(self.bucket)
-
-    def replies(self, replies: list[dict] | None) -> np.ndarray:
+    def agreed(self, replies: _Replies) -> np.ndarray:
         """Least id of each class; -1 where the texts around its anchor differ, or were not compared."""
         out = np.full(len(self.least), -1, np.int64)
-        got = {r["b"]: r["reply"] for r in replies or []}
-        for b, x, y in self.spans():
-            if b in got:
-                k = np.flatnonzero(~self.hot[x:y]) + x
-                out[k] = _expand(got[b], np.int64)[0]
+        for b, x, y in _runs(self.bucket[self.cold]):
+            out[self.cold[x:y]] = replies.take(b, y - x, np.int64)
         return out
 
     def units(self, least: np.ndarray, buckets: int):
         """What is sent of the classes without an answer: the class, places left and right of the anchor, bucket and
         key of each unit, by bucket. A unit is the text around the anchor or, of hot hashes, a window of it."""
         s = self.group.scheme
-        cold, hot = np.flatnonzero((least < 0) & ~self.hot), np.flatnonzero((least < 0) & self.hot)
+        is_cold = np.zeros(len(least), bool)
+        is_cold[self.cold] = True
+        cold, hot = np.flatnonzero((least < 0) & is_cold), np.flatnonzero((least < 0) & ~is_cold)
         left, right = self.left[self.firsts], self.right[self.firsts]
         count = left + right - s.reach + 1
         owner = np.repeat(hot, count[hot])
@@ -312,15 +424,9 @@ class _Shared:
         return [x[order] for x in out]
 
 
-def _runs(x: np.ndarray):
-    """(value, first, one past the last) of runs of equal values."""
-    firsts = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
-    return zip(x[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(x)).tolist(), strict=True)
-
-
 def _agreed(table: pa.Table) -> pa.Table:
-    """One bucket: for each class its least id over all groups, or -1 if its hash has other classes too."""
-    parts = [_expand(x, np.uint64, np.uint64, np.int64) for x in table["classes"].to_pylist()]
+    """One bucket: for each class its least id over all pieces, or -1 if its hash has other classes too."""
+    parts = [_expand(x, np.uint64, np.uint64, np.int64) for x in table["blob"].to_pylist()]
     h, d, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((d, h))
     hs, dig = h[order], d[order]
@@ -330,90 +436,86 @@ def _agreed(table: pa.Table) -> pa.Table:
     one = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_h)) == 1)[np.cumsum(new_h) - 1]
     out = np.empty(len(h), np.int64)
     out[order] = np.where(one, least, -1)
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return pa.table([table["g"], table["b"], pa.array([_squeeze(x) for x in np.split(out, cuts)], pa.binary())], ["g", "b", "reply"])
+    return answers(table, out, [len(p[0]) for p in parts])
 
 
 def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, windows_of: Callable, tell_apart: Callable, finish: Callable, schema: str, targets=None) -> DataFrame:
-    """Rows of ``finish(group, starts of removed windows)`` for every group (of ``targets``, a Column, if given).
+    """Rows of ``finish(piece, starts of removed windows)`` for every piece (of sets in ``targets``, a Column, if given).
 
-    ``masks``: (g, b, reply) bits of shared hashes. Where texts around an anchor differ: ``windows_of(group, place,
-    left, right)`` is a matrix with a row of bytes for each class, and ``tell_apart(rows, left, right, least)`` gives,
-    for each row, the least id for each of its ``left + right - reach + 1`` windows, end to end.
+    ``masks``: (s, b, part, reply) to the sets' anchor hashes. Where texts around an anchor differ: ``windows_of(piece,
+    place, left, right)`` is a matrix with a row of bytes for each class, and ``tell_apart(hashes, rows, left, right,
+    least)`` gives, for each row, the least id for each of its ``left + right - reach + 1`` windows, end to end.
     """
-    reach = scheme.reach
-    asked = table.select("g", "meta", "body").join(_by_group(masks, "masks"), "g")
+    reach, most = scheme.reach, FLUSH_BYTES
+    asked = table.select("s", "metas", "bodies").join(_by_set(masks, "masks"), "s")
 
-    def each(batch):
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        for i in range(batch.num_rows):
-            yield {n: c[i].as_py() for n, c in columns.items()}
+    def shared(r):
+        marks = _Marks(r["masks"])
+        for meta, body in zip(r["metas"], r["bodies"], strict=True):
+            group = Group(scheme, meta, body, buckets)
+            yield _Shared(group, marks.of(group))
 
     def classes(batches):
-        for batch in batches:
-            for r in each(batch):
-                s = _Shared(Group(scheme, r["meta"], r["body"], buckets), r["masks"])
-                out = []
-                for b, x, y in s.spans():
-                    k = np.flatnonzero(~s.hot[x:y]) + x
-                    if len(k):
-                        out.append((b, r["g"], _squeeze(s.hash[k], s.digest[k], s.least[k])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["b", "g", "classes"])
-
-    agreed = asked.mapInArrow(classes, "b long, g long, classes binary").groupBy("b").applyInArrow(_agreed, "g long, b long, reply binary")
-    asked = asked.join(_by_group(agreed, "agreed"), "g", "left")
+        for r in sets_of(batches):
+            send = _Sender(r["s"], most)
+            for x in shared(r):
+                k = x.cold
+                yield from send.add(x.bucket[k], x.hash[k], x.digest[k], x.least[k])
+            yield send.rows()
+
+    agreed = asked.mapInArrow(classes, SENT).groupBy("b").applyInArrow(_agreed, REPLY)
+    asked = asked.join(_by_set(agreed, "agreed"), "s", "left")
 
     def details(batches):
-        for batch in batches:
-            for r in each(batch):
-                s = _Shared(Group(scheme, r["meta"], r["body"], buckets), r["masks"])
-                of, left, right, bucket, key = s.units(s.replies(r["agreed"]), buckets)
-                out = []
-                for b, x, y in _runs(bucket):
-                    k = of[x:y]
-                    rows = windows_of(s.group, s.place[s.firsts[k]], left[x:y], right[x:y])
-                    out.append((b, r["g"], _squeeze(key[x:y], left[x:y].astype(np.uint8), right[x:y].astype(np.uint8), s.least[k], rows)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["b", "g", "details"])
-
-    def told(table_: pa.Table) -> pa.Table:
-        parts = [_expand(x, np.uint64, np.uint8, np.uint8, np.int64, np.uint8) for x in table_["details"].to_pylist()]
+        for r in sets_of(batches):
+            send, agreed = _Sender(r["s"], most), _Replies(r["agreed"])
+            for x in shared(r):
+                of, left, right, bucket, key = x.units(x.agreed(agreed), buckets)
+                ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))  # of runs of a bucket
+                a = 0
+                while a < len(of):
+                    b = int(ends[np.searchsorted(ends, min(a + _UNITS, len(of)))])
+                    k = of[a:b]
+                    rows = windows_of(x.group, x.place[x.firsts[k]], left[a:b], right[a:b])
+                    yield from send.add(bucket[a:b], key[a:b], left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), x.least[k], rows)
+                    a = b
+            yield send.rows()
+
+    def told(sent: pa.Table) -> pa.Table:
+        parts = [_expand(x, np.uint64, np.uint8, np.uint8, np.int64, np.uint8) for x in sent["blob"].to_pylist()]
         h, left, right, least, rows = (np.concatenate(c) for c in zip(*parts, strict=True))
-        left, right = left.astype(np.int64), right.astype(np.int64)
-        out = tell_apart(h, rows.reshape(len(h), -1), left, right, least)
-        cuts = np.cumsum(left + right - reach + 1)
-        ends = np.cumsum([len(p[0]) for p in parts])
-        pieces = np.split(out, cuts[ends - 1][:-1])
-        return pa.table([table_["g"], table_["b"], pa.array([_squeeze(x) for x in pieces], pa.binary())], ["g", "b", "reply"])
-
-    apart = asked.mapInArrow(details, "b long, g long, details binary").groupBy("b").applyInArrow(told, "g long, b long, reply binary")
+        sizes = [int((p[1].astype(np.int64) + p[2] - reach + 1).sum()) for p in parts]
+        del parts
+        return answers(sent, tell_apart(h, rows.reshape(len(h), -1), left.astype(np.int64), right.astype(np.int64), least), sizes)
+
+    apart = asked.mapInArrow(details, SENT).groupBy("b").applyInArrow(told, REPLY)
     last = table if targets is None else table.where(targets)
-    last = last.select("g", "meta", "body").join(asked.select("g", "masks", "agreed"), "g", "left").join(_by_group(apart, "apart"), "g", "left")
+    last = last.select("s", "metas", "bodies").join(asked.select("s", "masks", "agreed"), "s", "left").join(_by_set(apart, "apart"), "s", "left")
 
     def final(batches):
-        for batch in batches:
-            for r in each(batch):
-                group = Group(scheme, r["meta"], r["body"], buckets)
-                starts = [np.zeros(0, np.int64)]
-                if r["masks"]:
-                    s = _Shared(group, r["masks"])
-                    least = s.replies(r["agreed"])
-                    doc = group.ids[s.row]
-                    begin, count = s.place - s.left, s.left + s.right - reach + 1
-                    whole = (least[s.of] >= 0) & (least[s.of] < doc)
-                    starts.append(ranges(begin[whole], count[whole]))
-                    # the windows of classes without one answer, end to end, and the least id of each
-                    open_ = np.flatnonzero(least < 0)
-                    base = np.zeros(len(s.firsts), np.int64)
-                    base[open_] = np.cumsum(count[s.firsts[open_]]) - count[s.firsts[open_]]
-                    value = np.zeros(int(count[s.firsts[open_]].sum()), np.int64)
-                    of, left, right, bucket, _ = s.units(least, buckets)
-                    got = {x["b"]: x["reply"] for x in r["apart"] or []}
-                    for b, x, y in _runs(bucket):
-                        at = ranges(base[of[x:y]] + s.left[s.firsts[of[x:y]]] - left[x:y], left[x:y] + right[x:y] - reach + 1)
-                        value[at] = _expand(got[b], np.int64)[0]
-                    i = np.flatnonzero(least[s.of] < 0)
+        for r in sets_of(batches):
+            agreed, apart = _Replies(r["agreed"]), _Replies(r["apart"])
+            for x in shared(r | {"masks": r["masks"] or []}):
+                group, least = x.group, x.agreed(agreed)
+                doc = group.ids[x.row]
+                begin, count = x.place - x.left, x.left + x.right - reach + 1
+                whole = (least[x.of] >= 0) & (least[x.of] < doc)
+                starts = [ranges(begin[whole], count[whole])]
+                # the windows of classes without one answer, end to end, and the least id of each
+                open_ = np.flatnonzero(least < 0)
+                base = np.zeros(len(x.firsts), np.int64)
+                base[open_] = np.cumsum(count[x.firsts[open_]]) - count[x.firsts[open_]]
+                value = np.zeros(int(count[x.firsts[open_]].sum()), np.int64)
+                of, left, right, bucket, _ = x.units(least, buckets)
+                wide = left + right - reach + 1
+                for b, i, j in _runs(bucket):
+                    at = ranges(base[of[i:j]] + x.left[x.firsts[of[i:j]]] - left[i:j], wide[i:j])
+                    value[at] = apart.take(b, int(wide[i:j].sum()), np.int64)
+                rest = np.flatnonzero(least[x.of] < 0)
+                for a in range(0, len(rest), _UNITS):
+                    i = rest[a : a + _UNITS]
                     at = ranges(begin[i], count[i])
-                    starts.append(at[value[ranges(base[s.of[i]], count[i])] < np.repeat(doc[i], count[i])])
+                    starts.append(at[value[ranges(base[x.of[i]], count[i])] < np.repeat(doc[i], count[i])])
                 yield finish(group, np.concatenate(starts))
 
     return last.mapInArrow(final, schema)

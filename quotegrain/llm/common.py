@@ -18,10 +18,14 @@ _MUL_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's shared checkpoint folder; a temporary one is named only where none is set."""
+    """A new path below the cluster's shared checkpoint folder. Where none is set: below the warehouse on a cluster, in a
+    temporary folder in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        if spark.conf.get("spark.master", "").startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -33,6 +37,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """The rows of ``df`` as a written table in buckets of ``column``: joins and groups on it need no shuffle of these
+    rows. The name in the catalog is dropped at once; the files stay."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, label)
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a column: what partition counts are derived from."""
     return int(df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)

@@ -5,25 +5,27 @@ each window of 13 words, see ``anchors``), with the group of documents each came
 never changed. A new batch's sorted hashes are merge-joined with all runs (and itself); what two documents share is
 verified on the texts: digests of the words around the anchor and, where these differ, of each whole window. The
 batch's hashes become a new run; when ``FANOUT`` runs of one level have gathered, they are compacted into one run of
-the next level, in the pass over the index that the join makes anyway.
+the next level, in the pass over the index that the join makes anyway. Runs and texts lie in buckets in one folder,
+which another session can open.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .anchors import HOT_GROUPS, LOW, Scheme, anchor_rows, bucket_count, covered, list_reply, mask_reply, packed, resolve, shared_bits, unpack_hashes
-from .anchors import _expand, _squeeze
-from .common import CHUNK_BYTES, mix, ranges, word_bounds, word_hashes, written
+from .anchors import HOT, HOT_PIECES, PACKED, SHARED, Scheme, _expand, _runs, _squeeze, anchor_rows, answers, covered, layout, listed, pack, resolve, sent_hashes, shared_bits
+from .common import CHUNK_BYTES, mix, ranges, scratch_dir, text_bytes, word_bounds, word_hashes
 
 WINDOW = 13
 GRAM = 5
 FANOUT = 2
-BATCHES = 2
+#: Where batches end, as shares of all documents.
+CUTS = (0.125, 0.5)
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,88 +86,116 @@ def _tell_apart(hashes, rows, left, right, least) -> np.ndarray:
     return out
 
 
-def _merge(table: pa.Table, compacted: set[int], hot_groups: int) -> pa.Table:
-    """One bucket of the new batch (rows without a level) and of the runs: answers to groups, and the bucket of the
-    run that is written."""
-    b = table["b"][0].as_py()
-    rows = table.to_pylist()
-    fresh, runs = [r for r in rows if r["run"] < 0], [r for r in rows if r["run"] >= 0]
-    hashes = [unpack_hashes(r["hashes"]) for r in fresh]
-    history = [(_expand(r["hashes"], np.uint64, np.int64), r["run"]) for r in runs]
-    old_h = np.concatenate([np.zeros(0, np.uint64), *(h for (h, _), _ in history)])
-    old_g = np.concatenate([np.zeros(0, np.int64), *(g for (_, g), _ in history)])
-    out = []
-    if fresh:
-        several = [np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)) for r, h in zip(fresh, hashes, strict=True)]
-        bits = shared_bits(hashes, several, hot_groups)
+RUNS = "b long, s long, part int, reply binary, hashes binary, run int"
+TEXTS = PACKED + ", batch int"
+STATE = "batches int, greatest long, set_bytes long, buckets long, files long, fanout int, hot_pieces long, marks array<int>, runs array<struct<number: int, level: int>>"
+
+
+def _merge(fresh: pa.Table, old: pa.Table, number: int, compacted: set[int], hot_pieces: int) -> pa.Table:
+    """One bucket of the new batch's anchor rows and of the runs: replies to sets, and the bucket of the run that is written."""
+    b = (fresh if fresh.num_rows else old)["b"][0].as_py()
+    hashes, several = sent_hashes(fresh["blob"].to_pylist())
+    history = [(*_expand(h, np.uint64, np.int64), run) for h, run in zip(old["hashes"].to_pylist(), old["run"].to_pylist(), strict=True)]
+    out: list[tuple] = []
+    if hashes:
         new_h = np.concatenate(hashes)
+        bits = shared_bits(new_h, several, hot_pieces)
         # the merge join: sorted distinct hashes of the batch against each sorted run
-        keys = np.unique(new_h)
-        met, count = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        for (h, _), _ in history:
+        keys, own = np.unique(new_h, return_inverse=True)
+        count = np.zeros(len(keys), np.int64)
+        spans = []
+        for h, _, _ in history:
             low, high = np.searchsorted(h, keys), np.searchsorted(h, keys, "right")
-            met |= high > low
+            spans.append((low, high - low))
             count += high - low
-        own = np.searchsorted(keys, new_h)
-        hot = count + np.bincount(own, minlength=len(keys)) >= hot_groups
-        sizes = np.cumsum([len(h) for h in hashes])[:-1]
-        for r, bit, at in zip(fresh, bits, np.split(own, sizes), strict=True):
-            bit = np.stack([bit[0] | met[at], bit[1] | hot[at]])
-            if bit[0].any():
-                out.append((r["g"], b, mask_reply(bit), None))
-        if len(old_h):
-            at = np.minimum(np.searchsorted(keys, old_h), max(len(keys) - 1, 0))
-            hit = np.flatnonzero(keys[at] == old_h)
-            hit = hit[np.argsort(old_g[hit], kind="stable")]
-            cuts = np.flatnonzero(np.append(True, old_g[hit][1:] != old_g[hit][:-1])[: len(hit)])
-            for part in np.split(hit, cuts[1:]) if len(hit) else []:
-                shared = np.unique(old_h[part])
-                out.append((int(old_g[part[0]]), b, list_reply(shared, shared[hot[np.searchsorted(keys, shared)]]), None))
+        hot = count + np.bincount(own, minlength=len(keys)) >= hot_pieces
+        bits |= (count > 0)[own] * np.uint8(SHARED) | hot[own] * np.uint8(HOT)
+        replies = answers(fresh, bits, [len(h) for h in hashes])
+        out += [(b, s, part, reply, None) for s, part, reply in zip(*(replies[c].to_pylist() for c in ("s", "part", "reply")), strict=True)]
+        hits = [(np.repeat(keys, n), g[ranges(low, n)], np.repeat(hot, n)) for (_, g, _), (low, n) in zip(history, spans, strict=True)]
+        if hits:
+            h, g, is_hot = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.lexsort((h, g))
+            h, g, is_hot = h[order], g[order], is_hot[order]
+            for s, x, y in _runs(g):
+                out.append((b, s, -1, listed(np.unique(h[x:y]), np.unique(h[x:y][is_hot[x:y]])), None))
     # the run to be written: the batch's, with those that are compacted
-    parts = [(h, np.full(len(h), r["g"])) for r, h in zip(fresh, hashes, strict=True)] + [x for x, level in history if level in compacted]
+    sets = [np.full(len(h), s) for h, s in zip(hashes, fresh["s"].to_pylist(), strict=True)]
+    parts = [*zip(hashes, sets, strict=True), *((h, g) for h, g, run in history if run in compacted)]
     if parts:
         h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((g, h))
-        out.append((None, b, None, _squeeze(h[order], g[order])))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["g", "b", "reply", "hashes"])
+        out.append((b, None, None, None, _squeeze(h[order], g[order])))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+    return pa.table([*columns, pa.array([number] * len(out), pa.int32())], ["b", "s", "part", "reply", "hashes", "run"])
 
 
 class FingerprintIndex:
-    """Batches come in ascending order of ids. ``buckets`` fixes how hashes are dealt out and should follow the bytes
-    that the index will hold (see ``anchors.bucket_count``)."""
-
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT, hot_groups: int = HOT_GROUPS):
-        self.spark, self.buckets, self.fanout, self.hot_groups = spark, buckets, fanout, hot_groups
-        self.runs: list[tuple[int, int, DataFrame]] = []  # number, level, table (b, hashes)
-        self.texts: DataFrame | None = None
-        self.greatest: int | None = None
-        self.batches = 0
-
-    def add(self, batch: DataFrame, finish, schema: str) -> DataFrame:
-        """Adds a packed batch; returns its documents' rows of ``finish``, judged against all smaller ids."""
-        least, greatest = batch.agg(F.min("least"), F.max("greatest")).first()
-        if least is not None and self.greatest is not None and least <= self.greatest:
+    """An index in a folder that executors share; ``create`` and ``open`` it, and ``add`` batches in ascending order of
+    ids. Runs and texts are written in buckets, so a batch is dealt out to where they lie and they stay in place; only
+    sets of earlier documents that share a hash with the batch are read again. A batch counts once the folder's state
+    says so: what a failed ``add`` has written is not seen, and it may be repeated."""
+
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, expected_bytes: int, fanout: int = FANOUT, hot_pieces: int = HOT_PIECES) -> FingerprintIndex:
+        """``expected_bytes``: of the texts that the index will hold; it fixes how hashes and sets are dealt out."""
+        plan = layout(spark, expected_bytes)
+        index = cls(spark, path, {"batches": 0, "greatest": None, **vars(plan), "fanout": fanout, "hot_pieces": hot_pieces, "marks": [], "runs": []})
+        index._save()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        row = spark.read.schema(STATE).parquet(f"{path}/state").orderBy(F.desc("batches")).first()
+        return cls(spark, path, row.asDict(recursive=True))
+
+    def _save(self) -> None:
+        self.spark.createDataFrame([self.state], STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+
+    def _table(self, part: str, schema: str, column: str, rows: DataFrame | None = None) -> DataFrame:
+        """The index's table of runs or texts, in buckets of ``column``, after ``rows`` are appended as new files."""
+        name = f"index_{part}_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {self.state['files']} BUCKETS LOCATION '{self.path}/{part}'")
+        try:
+            if rows is not None:
+                rows.select(*(c.split()[0] for c in schema.split(", "))).write.insertInto(name)
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def add(self, docs: DataFrame, id_col: str, text_col: str, finish, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+        """Adds documents; returns their rows of ``finish``, judged against all smaller ids."""
+        state = self.state
+        buckets, hot_pieces, fanout, before = (state[k] for k in ("buckets", "hot_pieces", "fanout", "greatest"))
+        mark = uuid.uuid4().int & 0x7FFFFFFF  # of this attempt's rows
+        sets = pack(docs, id_col, text_col, state["set_bytes"], state["batches"], carry=carry).withColumn("batch", F.lit(mark))
+        texts = self._table("texts", TEXTS, "s", sets)
+        own = texts.where(F.col("batch") == mark)
+        least, greatest = own.agg(F.min("least"), F.max("greatest")).first()
+        if least is not None and before is not None and least <= before:
             raise ValueError("ids of a batch must be greater than those before")
-        self.greatest = greatest if greatest is not None else self.greatest
-        level, merged = 0, set()
-        while len(same := [n for n, at, _ in self.runs if at == level]) >= self.fanout - 1:
+        runs, level, merged = [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in state["runs"]], 0, set()
+        while len(same := [n for n, at in runs if at == level]) >= fanout - 1:
             merged |= set(same)
             level += 1
-        rows = anchor_rows(batch, SCHEME, self.buckets).withColumn("run", F.lit(-1))
-        for number, _, table in self.runs:
-            rows = rows.unionByName(table.select("b", "hashes", F.lit(number).alias("run")), allowMissingColumns=True)
-        hot = self.hot_groups
-        out = written(rows.groupBy("b").applyInArrow(lambda t: _merge(t, merged, hot), "g long, b long, reply binary, hashes binary"), "run")
-        self.runs = [r for r in self.runs if r[0] not in merged] + [(self.batches, level, out.where("hashes is not null").select("b", "hashes"))]
-        self.batches += 1
-        masks = out.where("reply is not null").select("g", "b", "reply")
-        history, self.texts = self.texts, batch if self.texts is None else self.texts.unionByName(batch)
-        targets = None if history is None else F.col("least") >= least if least is not None else F.lit(False)
-        return resolve(self.texts, masks, SCHEME, self.buckets, _windows_of, _tell_apart, finish, schema, targets)
-
-
-def _finish(keep_text: bool):
+        history = self._table("runs", RUNS, "b").where(F.col("run").isin([n for n, _ in runs]) & F.col("hashes").isNotNull()).select("b", "hashes", "run")
+        met = anchor_rows(own, SCHEME, buckets).groupBy("b").cogroup(history.groupBy("b"))
+        out = self._table("runs", RUNS, "b", met.applyInArrow(lambda new, old: _merge(new, old, mark, merged, hot_pieces), RUNS))
+        masks = out.where((F.col("run") == mark) & F.col("reply").isNotNull()).select("s", "b", "part", "reply")
+        self.state = state | {
+            "batches": state["batches"] + 1, "greatest": before if greatest is None else greatest, "marks": [*state["marks"], mark],
+            "runs": [r for r in runs if r[0] not in merged] + [(mark, level)],
+        }
+        self._save()
+        live = texts.where(F.col("batch").isin(self.state["marks"]))
+        return resolve(live, masks, SCHEME, buckets, _windows_of, _tell_apart, finish, schema, F.col("batch") == mark)
+
+
+def _finish(keep_text: bool, as_is: bool, carries: bool):
     def finish(group, starts):
         gone = covered(starts, WINDOW, len(group.tokens))
         first, last, rows_at = word_bounds(group.data, group.offsets)
@@ -180,44 +210,50 @@ def _finish(keep_text: bool):
         out: list[tuple] = []
         for i, doc in enumerate(group.ids.tolist()):
             own = text[at[i] : max(at[i + 1] - 1, at[i])].tobytes()
-            out.append((doc, int(rows_at[i + 1] - rows_at[i]), int(removed[i + 1] - removed[i]), hashlib.sha256(own).hexdigest(), own.decode() if keep_text else None))
+            n = int(removed[i + 1] - removed[i])
+            given = group.data[group.offsets[i] : group.offsets[i + 1]].tobytes() if as_is and not n else own
+            out.append((doc, int(rows_at[i + 1] - rows_at[i]), n, hashlib.sha256(own).hexdigest(), given.decode() if keep_text else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
         k = 5 if keep_text else 4
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(k)], names[:k])
+        columns = [pa.array([r[i] for r in out], kinds[i]) for i in range(k)]
+        more = pa.ipc.open_stream(pa.py_buffer(group.carried.tobytes())).read_all().combine_chunks() if carries else None
+        names = [*names[:k], *(more.column_names if more else [])]
+        return pa.RecordBatch.from_arrays([*columns, *((c.chunk(0) if c.num_chunks else pa.array([], c.type)) for c in (more.columns if more else []))], names)
 
     return finish
 
 
-def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep_text: bool = True, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[float, ...] = CUTS, keep_text: bool = True, hot_pieces: int = HOT_PIECES, index: FingerprintIndex | None = None, as_is: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns id, n_words, n_removed, kept_sha256 of every document and, with ``keep_text``, the kept words joined by
-    one space. The table is added to a new index in ``batches`` batches by id.
+    one space (``as_is``: the text as it was, if no word of it is removed), and the columns to ``carry``, which may not
+    be named like these. The table is added to an index (a new one, if none is given) in batches that end about at the shares
+    ``cuts`` of its ids.
 
-    A word goes if a window of 13 words that covers it also starts in a document with a smaller id. Null and empty
-    texts have no words, and the digest of nothing. Of rows with the same id none is earlier: they are judged each
-    against smaller ids. Rows with a null id keep all words and remove none. Empty tables give empty results; other
-    columns are ignored. The result does not depend on ``batches``.
+    A word goes if a window of 13 words that covers it also starts in a document with a smaller id, here or in the
+    index. Null and empty texts have no words, and the digest of nothing. Of rows with the same id none is earlier: they
+    are judged each against smaller ids. Rows with a null id keep all words and remove none. Empty tables give empty
+    results; other columns are ignored. The result does not depend on ``cuts``.
     """
-    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = named.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10000)).first()[0] or [0]
-    cuts = sorted(set(cuts)) if batches > 1 else []
-    low, tables = None, []
-    for i, high in enumerate([*cuts, None]):
-        part = named if low is None else named.where(F.col("doc_id") > low)
-        tables.append(packed(part if high is None else part.where(F.col("doc_id") <= high), "doc_id", "text", i))
-        low = high
-    whole = tables[0]
-    for t in tables[1:]:
-        whole = whole.unionByName(t)
-    index = FingerprintIndex(df.sparkSession, bucket_count(whole), hot_groups=hot_groups)
+    spark, extra = df.sparkSession, [f"c{i}" for i in range(len(carry))]
+    if {id_col, "n_words", "n_removed", "kept_sha256", "kept"} & set(carry):
+        raise ValueError("columns to carry may not be named like the result's")
+    more = [F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)]
+    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    ends = sorted(set(named.agg(F.percentile_approx("doc_id", list(cuts), 10000)).first()[0] or [])) if cuts else []
+    if index is None:
+        index = FingerprintIndex.create(spark, scratch_dir(spark, "index"), text_bytes(named, "text"), hot_pieces=hot_pieces)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    out = None
-    for t in tables:
-        one = index.add(t, _finish(keep_text), schema)
-        out = one if out is None else out.unionByName(one)
+    schema += "".join(f", {e} {t}" for e, t in named.select(*extra).dtypes)
+    low, out = None, None
+    for high in [*ends, None]:
+        part = named if low is None else named.where(F.col("doc_id") > low)
+        one = index.add(part if high is None else part.where(F.col("doc_id") <= high), "doc_id", "text", _finish(keep_text, as_is, bool(carry)), schema, tuple(extra))
+        out, low = one if out is None else out.unionByName(one), high
     text = F.array_join(F.filter(F.split(F.coalesce(text_col, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
-    nameless = df.where(F.col(id_col).isNull()).select(text.alias("kept")).select(
-        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", " "))).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if keep_text else []),
+    nameless = df.where(F.col(id_col).isNull()).select(text.alias("own"), F.coalesce(text_col, F.lit("")).alias("text"), *more).select(
+        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("own") == "", 0).otherwise(F.size(F.split("own", " "))).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_removed"), F.sha2("own", 256).alias("kept_sha256"), *([F.col("text" if as_is else "own").alias("kept")] if keep_text else []), *extra,
     )
-    return out.unionByName(nameless).withColumnRenamed("doc_id", id_col)
+    every = out.unionByName(nameless)
+    return every.select(F.col("doc_id").alias(id_col), *every.columns[1 : len(every.columns) - len(extra)], *(F.col(e).alias(c) for c, e in zip(carry, extra, strict=True)))

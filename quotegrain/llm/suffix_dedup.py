@@ -1,7 +1,7 @@
 """Substring removal on bytes: what is covered by a 50-byte string that also starts in an earlier document.
 
-Candidates come from anchors (see ``anchors``). Where the texts around an anchor differ, a suffix array of them is
-refined by bucket pointers: suffixes are first put in buckets by their first 8 bytes; a bucket is then split by
+Candidates come from anchors (see ``anchors``). Where all texts around an anchor have one 64-bit digest, that digest
+decides; where they differ, the different ones go byte for byte into a suffix array that is refined by bucket pointers: suffixes are first put in buckets by their first 8 bytes; a bucket is then split by
 sorting its members on the bucket numbers of the suffixes 8 places later, which doubles the depth, and the numbers so
 updated serve the next split at 16 and then at 18 places: at depth 50, suffixes with one bucket number are equal
 windows. Only buckets with more than one member are sorted again.
@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import HOT_GROUPS, Scheme, anchor_rows, bucket_count, covered, mask_reply, packed, resolve, shared_bits, unpack_hashes
+from .anchors import HOT_PIECES, REPLY, Scheme, anchor_rows, answers, covered, packed, resolve, sent_hashes, shared_bits
 from .common import mix, ranges
 
 WINDOW = 50
 GRAM = 24
-#: Rows of text that are laid out at a time.
+#: Rows of text that are laid out at a time, and whose suffixes are sorted at a time.
 _ROWS = 1 << 14
+_SUFFIX_ROWS = 4000
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
@@ -111,36 +112,56 @@ def suffix_buckets(data: np.ndarray) -> np.ndarray:
     return buckets
 
 
+def _alike(hashes, rows, left, right) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of hash, and the number of each one's class: rows that are the same byte for byte are one class
+    (two classes may hold the same bytes, which does no harm)."""
+    words = np.ascontiguousarray(rows).view("<u8")
+    key = left.astype(np.uint64) << np.uint64(8) | right.astype(np.uint64)
+    for i in range(words.shape[1]):
+        key = mix((key ^ words[:, i]) * _A)
+    order = np.lexsort((key, hashes))
+    new = np.append(True, (hashes[order[1:]] != hashes[order[:-1]]) | (key[order[1:]] != key[order[:-1]]))[: len(order)]
+    for a in range(1, len(order), _ROWS):
+        now, before = order[a : a + _ROWS], order[a - 1 : a + _ROWS - 1][: len(order[a : a + _ROWS])]
+        new[a : a + _ROWS] |= (words[now] != words[before]).any(1) | (left[now] != left[before]) | (right[now] != right[before])
+    return order, np.cumsum(new) - 1
+
+
 def _tell_apart(hashes, rows, left, right, least) -> np.ndarray:
-    """Least id of each window of each row, by the suffix buckets of all rows with one anchor or more."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
+    """Least id of each window of each row, by the suffix buckets of all different rows with one anchor or more."""
+    order, of = _alike(hashes, rows, left, right)
+    firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    heads = order[firsts]
+    lowest = np.minimum.reduceat(least[order], firsts) if len(order) else least
+    ordered = hashes[heads]
     # equal windows have the same anchor: anchors are taken some at a time, to bound memory
-    cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
     steps = [0]
-    while steps[-1] < len(rows):
-        k = np.searchsorted(cuts, steps[-1] + 20_000)
-        steps.append(int(cuts[k]) if k < len(cuts) else len(rows))
-    begin, count = BYTES.reach - left, left + right - BYTES.reach + 1
+    while steps[-1] < len(heads):
+        k = np.searchsorted(cuts, steps[-1] + _SUFFIX_ROWS)
+        steps.append(int(cuts[k]) if k < len(cuts) else len(heads))
+    begin, count = BYTES.reach - left[heads], left[heads] + right[heads] - BYTES.reach + 1
     ends = np.cumsum(count)
-    result = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    found = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
     for a, b in zip(steps[:-1], steps[1:], strict=True):
-        pick = order[a:b]
-        buckets = suffix_buckets(np.ascontiguousarray(rows[pick]).reshape(-1))
-        at = ranges(np.arange(len(pick)) * rows.shape[1] + begin[pick], count[pick])
-        own = np.repeat(least[pick], count[pick])
+        buckets = suffix_buckets(np.ascontiguousarray(rows[heads[a:b]]).reshape(-1))
+        at = ranges(np.arange(b - a) * rows.shape[1] + begin[a:b], count[a:b])
         low = np.full(len(buckets), np.iinfo(np.int64).max)
-        np.minimum.at(low, buckets[at], own)
-        result[ranges(ends[pick] - count[pick], count[pick])] = low[buckets[at]]
-    return result
+        np.minimum.at(low, buckets[at], np.repeat(lowest[a:b], count[a:b]))
+        found[ends[a] - count[a] : ends[b - 1]] = low[buckets[at]]
+    own = np.empty(len(order), np.int64)
+    own[order] = of
+    stops = np.cumsum(count[own])
+    out = np.empty(int(stops[-1]) if len(stops) else 0, np.int64)
+    for a in range(0, len(own), _ROWS):
+        k = own[a : a + _ROWS]
+        out[stops[a] - count[k[0]] : stops[min(a + _ROWS, len(own)) - 1]] = found[ranges((ends - count)[k], count[k])]
+    return out
 
 
-def _shared(table: pa.Table, hot_groups: int) -> pa.Table:
-    hashes = [unpack_hashes(x) for x in table["hashes"].to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(table["several"].to_pylist(), hashes, strict=True)]
-    bits = shared_bits(hashes, several, hot_groups)
-    out = [(g, b, mask_reply(x)) for g, b, x in zip(table["g"].to_pylist(), table["b"].to_pylist(), bits, strict=True) if x[0].any()]
-    return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["g", "b", "reply"])
+def _shared(table: pa.Table, hot_pieces: int) -> pa.Table:
+    hashes, several = sent_hashes(table["blob"].to_pylist())
+    return answers(table, shared_bits(np.concatenate(hashes), several, hot_pieces), [len(h) for h in hashes])
 
 
 def _finish(keep_text: bool):
@@ -163,7 +184,7 @@ def _finish(keep_text: bool):
     return finish
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """Returns id, n_bytes, n_removed, n_spans, kept_sha256 of every document and, with ``keep_text``, the kept bytes
     and the removed spans (byte offsets).
 
@@ -172,11 +193,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each against smaller ids. Rows with a null id come last in no order: they keep everything and remove nothing. Empty
     tables give empty results; other columns are ignored. A kept part may be cut inside a character, so it is binary.
     """
-    table = packed(df, id_col, text_col)
-    buckets = bucket_count(table)
-    masks = anchor_rows(table, BYTES, buckets).groupBy("b").applyInArrow(lambda t: _shared(t, hot_groups), "g long, b long, reply binary")
+    table, plan = packed(df, id_col, text_col)
+    masks = anchor_rows(table, BYTES, plan.buckets).groupBy("b").applyInArrow(lambda t: _shared(t, hot_pieces), REPLY)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, end: long>>" * keep_text
-    out = resolve(table, masks, BYTES, buckets, _rows_of, _tell_apart, _finish(keep_text), schema)
+    out = resolve(table, masks, BYTES, plan.buckets, _rows_of, _tell_apart, _finish(keep_text), schema)
     nameless = df.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("kept_sha256"),

@@ -34,33 +34,91 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_suffix_dedup(spark, corpus, hot):
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, corpus), hot_groups=hot).collect()}
-    first: dict[bytes, int] = {}
-    for i, t in sorted((i, (t or "").encode()) for i, t in corpus):
+def byte_removal(rows):
+    """Brute force: of each row, the bytes removed, the bytes kept, and how many there were."""
+    rows, starts = [(i, (t or "").encode()) for i, t in rows], {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            starts[t[k : k + 50]] = min(starts.get(t[k : k + 50], i), i)
+    out = []
+    for i, t in rows:
         gone = np.zeros(len(t), bool)
         for k in range(len(t) - 49):
-            if first.setdefault(t[k : k + 50], i) < i:
+            if starts[t[k : k + 50]] < i:
                 gone[k : k + 50] = True
-        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((i, int(gone.sum()), np.frombuffer(t, np.uint8)[~gone].tobytes(), len(t)))
+    return out
+
+
+@pytest.mark.parametrize("hot", HOT)
+def test_suffix_dedup(spark, corpus, hot):
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, corpus), hot_pieces=hot).collect()}
+    for i, gone, kept, n in byte_removal(corpus):
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.kept_sha256, bytes(r.kept)) == (len(t), gone.sum(), hashlib.sha256(kept).hexdigest(), kept), i
-        assert sum(s.end - s.start for s in r.spans) == gone.sum() and len(r.spans) == r.n_spans
+        assert (r.n_bytes, r.n_removed, r.kept_sha256, bytes(r.kept)) == (n, gone, hashlib.sha256(kept).hexdigest(), kept), i
+        assert sum(s.end - s.start for s in r.spans) == gone and len(r.spans) == r.n_spans
 
 
-@pytest.mark.parametrize("hot,batches", [(1024, 1), (1024, 3), (2, 2)])
-def test_window_index(spark, corpus, hot, batches):
-    got = {r.doc_id: r for r in fingerprint_index.remove_repeated_windows(docs(spark, corpus), batches=batches, hot_groups=hot).collect()}
-    first: dict[tuple, int] = {}
-    for i, t in sorted((i, t or "") for i, t in corpus):
-        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+def window_removal(rows):
+    """Brute force: of each row, its words, the words removed, and the text kept."""
+    rows, starts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows], {}
+    for i, words in rows:
+        for k in range(len(words) - 12):
+            w = tuple(words[k : k + 13])
+            starts[w] = min(starts.get(w, i), i)
+    out = []
+    for i, words in rows:
         gone = [False] * len(words)
         for k in range(len(words) - 12):
-            if first.setdefault(tuple(words[k : k + 13]), i) < i:
+            if starts[tuple(words[k : k + 13])] < i:
                 gone[k : k + 13] = [True] * 13
-        kept = " ".join(w for w, x in zip(words, gone) if not x)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(words), sum(gone), kept), i
+        out.append((i, len(words), sum(gone), " ".join(w for w, x in zip(words, gone) if not x)))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect())
+
+
+@pytest.mark.parametrize("hot,cuts", [(1024, ()), (1024, fingerprint_index.CUTS), (2, (0.3, 0.5, 0.7, 0.9))])
+def test_window_index(spark, corpus, hot, cuts):
+    assert found(fingerprint_index.remove_repeated_windows(docs(spark, corpus), cuts=cuts, hot_pieces=hot)) == window_removal(corpus)
+
+
+def test_window_index_small_pieces(spark, corpus, monkeypatch):
+    """Sets of several pieces, sent in several parts."""
+    pack = anchors.pack
+    for module in (anchors, fingerprint_index):
+        monkeypatch.setattr(module, "pack", lambda df, i, t, most, batch=0, carry=(): pack(df, i, t, 4000, batch, 800, carry))
+    monkeypatch.setattr(anchors, "FLUSH_BYTES", 3000)
+    one = docs(spark, corpus).coalesce(1)
+    assert found(fingerprint_index.remove_repeated_windows(one)) == window_removal(corpus)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(one).collect()}
+    assert got == {i: n for i, n, *_ in byte_removal(corpus)}
+
+
+def test_window_index_opened_again(spark, corpus, tmp_path):
+    rows = sorted((i, t) for i, t in corpus)
+    index = fingerprint_index.FingerprintIndex.create(spark, str(tmp_path / "index"), 10000)
+    got = []
+    for k in range(0, len(rows), 20):
+        part = docs(spark, rows[k : k + 20])
+        if k:
+            with pytest.raises(ValueError):  # a batch that isn't later leaves nothing behind
+                fingerprint_index.FingerprintIndex.open(spark, index.path).add(docs(spark, [(0, rows[9][1])]), "doc_id", "text", None, "")
+        got += found(fingerprint_index.remove_repeated_windows(part, cuts=(), index=fingerprint_index.FingerprintIndex.open(spark, index.path)))
+    assert sorted(got) == window_removal(corpus)
+    assert max(level for _, level in [tuple(r.values()) for r in fingerprint_index.FingerprintIndex.open(spark, index.path).state["runs"]]) > 0
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id are judged each against smaller ids; rows without an id keep everything."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long), (5, long), (7, long), (7, None), (9, "x " + long), (3, "short")]
+    assert found(fingerprint_index.remove_repeated_windows(docs(spark, rows), cuts=(0.5,))) == window_removal(rows)
+    named = suffix_dedup.remove_repeats(docs(spark, [*rows, (None, long), (None, None)])).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in named if r.doc_id is not None) == sorted((i, n, g) for (i, g, *_), n in ((r, r[3]) for r in byte_removal(rows)))
+    assert sorted((r.n_bytes, r.n_removed) for r in named if r.doc_id is None) == [(0, 0), (len(long), 0)]
 
 
 def test_empty_tables(spark):
@@ -327,9 +385,10 @@ def test_url_filter(spark):
     }
 
 
-def test_anchor_hashes_pack():
+def test_anchor_hashes_sent():
     h = np.array([1, 1 << 39, (1 << 64) - 1], np.uint64)
-    assert (anchors.unpack_hashes(anchors.pack_hashes(h)) == (h & anchors.LOW)).all()
+    hashes, several = anchors.sent_hashes([anchors._squeeze(anchors._low(h), np.array([True, False, True]))])
+    assert (hashes[0] == (h & anchors.LOW)).all() and several.tolist() == [True, False, True]
 
 
 def test_pipeline(spark):
