@@ -1,8 +1,8 @@
 """First-order linear recurrences over ordered rows, without Python: y[t] = b y[t-1] + a x[t], seeded by a mean.
 
 Rows are cut in blocks of 256; inside a block the recurrence is a scaled running sum, which can't overflow for
-``256 ln(1/b) < 500``; block ends are carried over by one small array per key. All recurrences of a call share the
-same two sorts and one aggregate.
+``256 ln(1/b) < 500``; a row finds the ends of the blocks before its own in one small array. All recurrences of a
+call are windows over one exchange by key: the rows are read once and joined with nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def wilder(name: str, x: str, n: int, start: int = 0) -> Recurrence:
 
 
 def _carried(s: Recurrence):
-    return lambda acc, end: F.concat(acc, F.array(end[s.name] + (s.b**BLOCK) * F.element_at(acc, -1)))
+    return lambda acc, end: end[s.name] + (s.b**BLOCK) * acc
 
 
 def linear_recurrence(df: DataFrame, specs: list[Recurrence], key: str = "ticker", index: str = "i") -> DataFrame:
@@ -51,15 +51,10 @@ def linear_recurrence(df: DataFrame, specs: list[Recurrence], key: str = "ticker
         inputs[f"_u_{s.name}"] = F.when(F.col(index) == seed, F.avg(s.x).over(ordered.rowsBetween(1 - s.n, 0))).when(F.col(index) > seed, F.col(s.x) * s.a).otherwise(0.0)
     df = df.withColumns(inputs)
     df = df.withColumns({f"_y_{s.name}": F.pow(F.lit(s.b), F.col("_step")) * F.sum(F.col(f"_u_{s.name}") * F.pow(F.lit(s.b), -F.col("_step"))).over(inside) for s in specs})
-    ends = df.groupBy(key, "_block").agg(*(F.max_by(f"_y_{s.name}", "_step").alias(s.name) for s in specs))
-    ends = ends.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_block", *(s.name for s in specs)))).alias("_ends"))
-    carry = ends.select(key, *(
-        # what each block takes over: the value at the end of the one before
-        F.aggregate("_ends", F.array(F.lit(0.0)), _carried(s)).alias(f"_c_{s.name}")
+    # one end for each block before a row's own: what it takes over
+    end = F.when(F.col("_step") == BLOCK - 1, F.struct(*(F.col(f"_y_{s.name}").alias(s.name) for s in specs)))
+    df = df.withColumn("_ends", F.collect_list(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    return df.withColumns({
+        s.name: F.when(F.col(index) >= s.start + s.n - 1, F.col(f"_y_{s.name}") + F.pow(F.lit(s.b), F.col("_step") + 1) * F.aggregate("_ends", F.lit(0.0), _carried(s)))
         for s in specs
-    ))
-    out = df.join(carry, key)
-    return out.withColumns({
-        s.name: F.when(F.col(index) >= s.start + s.n - 1, F.col(f"_y_{s.name}") + F.pow(F.lit(s.b), F.col("_step") + 1) * F.get(F.col(f"_c_{s.name}"), F.col("_block").cast("int")))
-        for s in specs
-    }).drop("_block", "_step", *(f"{p}{s.name}" for p in ("_u_", "_y_", "_c_") for s in specs))
+    }).drop("_block", "_step", "_ends", *(f"{p}{s.name}" for p in ("_u_", "_y_") for s in specs))

@@ -37,17 +37,28 @@ def direction(pct: Column) -> Column:
 
 
 def age_text(minutes: Column) -> Column:
-    """Minutes below an hour, hours below a day, else days."""
+    """Whole minutes below an hour, full hours below a day, else full days; empty for null."""
     whole = F.round(minutes).cast("bigint")
-    return (
-        F.when(whole < 60, F.concat(whole.cast("string"), F.lit("m ago")))
-        .when(F.round(whole / 60) < 24, F.concat(F.round(whole / 60).cast("bigint").cast("string"), F.lit("h ago")))
-        .otherwise(F.concat(F.round(F.round(whole / 60) / 24).cast("bigint").cast("string"), F.lit("d ago")))
-    )
+    hours, days = F.floor(whole / 60), F.floor(whole / 1440)
+    text = F.when(whole < 60, F.format_string("%dm ago", whole)).when(hours < 24, F.format_string("%dh ago", hours)).otherwise(F.format_string("%dd ago", days))
+    return F.when(whole.isNull(), "").otherwise(text)
 
 
 def price_text(c: Column) -> Column:
-    return F.format_number(c, 2)
+    """With thousands separators: whole from 1000 on, at most 2 places from 1 on, else at most 4; a dash for null."""
+    places = lambda k: F.regexp_replace(F.format_number(F.round(c, k), k), r"(\.\d*?)0+$", "$1")
+    text = F.when(c >= 1000, F.format_number(F.round(c, 0), 0)).when(c >= 1, places(2)).otherwise(places(4))
+    return F.when(c.isNull(), "\u2014").otherwise(F.regexp_replace(text, r"\.$", ""))
+
+
+def pct_text(c: Column) -> Column:
+    """Two places, with a sign above 0."""
+    return F.concat(F.when(c > 0, "+").otherwise(""), F.format_string("%.2f%%", c))
+
+
+def sample_stdev(c: str | Column) -> Column:
+    """Aggregate: the sample standard deviation, 0 for fewer than two values."""
+    return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
 
 def epoch_utc(c: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.scalars import change, change_pct
+from ..functions.scalars import change, change_pct, symbol
 
 MOST_ROWS = 1000
 DMA = 200
@@ -17,8 +17,9 @@ def coverage(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def history(bars: DataFrame, ticker: str, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
-    rows = bars.where(F.col("ticker") == ticker.strip().upper())
+def history(bars: DataFrame, ticker: str | Column, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
+    """Newest first; ``ticker`` may be a scalar subquery."""
+    rows = bars.where(F.col("ticker") == (ticker.strip().upper() if isinstance(ticker, str) else ticker))
     rows = rows.where(F.col("date") >= F.lit(start).cast("date")) if start else rows
     rows = rows.where(F.col("date") <= F.lit(end).cast("date")) if end else rows
     return rows.orderBy(F.desc("date")).limit(min(max(int(limit), 1), MOST_ROWS))
@@ -37,9 +38,14 @@ def latest_quotes(bars: DataFrame, spot: DataFrame) -> DataFrame:
     return b.join(s, "ticker", "full_outer")
 
 
-def performance(bars: DataFrame, tickers: list[str], start: Column, end: Column) -> DataFrame:
-    """First and last close in a span and the change in percent, best first, unknown last."""
-    rows = bars.where(F.col("ticker").isin([t.strip().upper() for t in tickers]) & F.col("close").isNotNull() & F.col("date").between(start, end))
+def performance(bars: DataFrame, tickers: list[str] | DataFrame, start: Column, end: Column) -> DataFrame:
+    """First and last close in a span and the change in percent, best first, unknown last. ``tickers``: a list, or a
+    table with that column."""
+    rows = bars.where(F.col("close").isNotNull() & F.col("date").between(start, end))
+    if isinstance(tickers, DataFrame):
+        rows = rows.join(tickers.select(symbol(F.col("ticker")).alias("ticker")), "ticker", "left_semi")
+    else:
+        rows = rows.where(F.col("ticker").isin([t.strip().upper() for t in tickers]))
     per = rows.groupBy("ticker").agg(F.min_by("close", "date").alias("first_close"), F.max_by("close", "date").alias("last_close"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     pct = F.round(F.try_divide(F.col("last_close") - F.col("first_close"), F.col("first_close")) * 100, 2)
     return per.withColumn("pct_change", pct).orderBy(F.desc_nulls_last("pct_change"), "ticker")
@@ -49,20 +55,29 @@ def run_select(spark: SparkSession, views: dict[str, DataFrame], query: str) ->
     """One SELECT or WITH statement over the given views, at most 1000 rows."""
     text = query.strip().rstrip(";")
     words = set(re.findall(r"[a-z_]+", text.lower()))
-    banned = {"insert", "update", "delete", "drop", "alter", "create", "attach", "detach", "pragma", "replace", "vacuum", "reindex"}  # fixed values
+    banned = {"insert", "update", "delete", "drop", "alter", "create", "attach", "detach", "pragma", "replace", "vacuum", "reindex", "analyze"}  # fixed values
     if ";" in text or not re.match(r"(?i)(select|with)\b", text) or words & banned:
         raise ValueError("only one SELECT or WITH statement is allowed")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text).limit(MOST_ROWS)
+    try:
+        return spark.sql(text).limit(MOST_ROWS)  # names are resolved here
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
 
 
 def snapshot(bars: DataFrame, spot: DataFrame) -> DataFrame:
     """Newest bar, newest quote and the 200-bar mean, which needs 200 closes; one row per known ticker."""
-    w = Window.partitionBy("ticker").orderBy(F.desc("date"))
-    last = bars.where("close is not null").select("ticker", "date", "close").withColumn("k", F.row_number().over(w)).where(F.col("k") <= DMA)
-    dma = last.groupBy("ticker").agg(F.avg("close").alias("mean"), F.count("*").alias("dma_bars"))
-    out = latest_quotes(bars, spot).join(dma, "ticker", "left")
+    # bars are read once: the newest and the mean come from one aggregate
+    w = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = bars.select("ticker", "date", "close", "volume").withColumn("k", F.count("close").over(w))
+    near = F.col("close").isNotNull() & (F.col("k") <= DMA)
+    b = counted.groupBy("ticker").agg(
+        F.max_by(F.struct("date", "close", "volume"), "date").alias("r"), F.avg(F.when(near, F.col("close"))).alias("mean"), F.count_if(near).alias("dma_bars")
+    ).select("ticker", "r.*", "mean", "dma_bars")
+    s = newest(spot.select("ticker", "captured_at", "price", "previous_close"), "ticker", "captured_at")
+    out = b.join(s, "ticker", "full_outer")
     price = F.coalesce("price", "close")
     dma200 = F.when(F.col("dma_bars") >= DMA, F.col("mean"))
     return out.select(

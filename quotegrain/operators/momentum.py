@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.order import share_at_or_below
 from ..functions.scalars import ratio
 from .indicators import lag, trailing
 from .panel import latest
@@ -29,16 +30,12 @@ def momentum(panel: DataFrame) -> DataFrame:
 def ranks(rows: DataFrame, groups: DataFrame, value: str = "mom_12_1") -> DataFrame:
     """Share of the universe, and of the group, at or below; three decimals. ``groups``: ticker, group."""
     joined = rows.select("ticker", value).join(groups.select("ticker", "group"), "ticker", "left").withColumn("group", F.coalesce("group", F.lit("Ungrouped")))
-    # counts of distinct values, so no window spans all rows
-    counts = joined.where(F.col(value).isNotNull())
+    known = joined.where(F.col(value).isNotNull())
 
-    def share(by: list[str]):
-        per = counts.groupBy(*by, value).agg(F.count("*").alias("k"))
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        at = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("k").over(w)
-        return per.select(*by, value, F.round(at, 3).alias("rank"))
+    def share(by: list[str], name: str):
+        return share_at_or_below(known, by, value).withColumn(name, F.round("share", 3)).drop("share")
 
-    universe, group = share([]).withColumnRenamed("rank", "rank_universe"), share(["group"]).withColumnRenamed("rank", "rank_group")
+    universe, group = share([], "rank_universe"), share(["group"], "rank_group")
     return joined.join(universe, value, "left").join(group, ["group", value], "left").select("ticker", "group", value, "rank_universe", "rank_group")
 
 

@@ -53,7 +53,8 @@ def swings(panel: DataFrame) -> DataFrame:
 def setup(panel: DataFrame) -> DataFrame:
     """One row per ticker from an indicator panel: the setup record, rounded."""
     v = F.col("volume").cast("double")
-    df = panel.withColumn("pc", lag("close"))
+    # no window below reaches further back from the newest row
+    df = panel.where(F.col("i") >= F.col("n") - RANK_WINDOW - 1).withColumn("pc", lag("close"))
     up, down = up_down(50)
     signed = F.signum(F.col("close") - F.col("pc")) * v
     has_range = F.col("high") > F.col("low")

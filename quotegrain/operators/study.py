@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.order import medians
 from ..functions.scalars import ratio
 from .indicators import lag
 from .structure import BUYERS, CONTRACTED, RANK_WINDOW, stack_state, trailing_rank, up_down
@@ -44,11 +45,18 @@ def events(flagged: DataFrame) -> DataFrame:
     return rows.select("ticker", "date", "condition", (took & ~F.col("before")).alias("start"), took.alias("took"), "fwd21", "fwd63")
 
 
+def with_evidence(setups: DataFrame, base_rates: DataFrame) -> DataFrame:
+    """(ticker, condition, and the base rates of that condition for each horizon); nulls where there are none."""
+    state = setups.select("ticker", F.when(F.col("in_setup"), "full_setup").otherwise("baseline").alias("condition"))
+    return state.join(base_rates, "condition", "left").select("ticker", *base_rates.columns)
+
+
 def summary(events_: DataFrame) -> DataFrame:
     """(condition, horizon, n, median, mean, hit_rate, n_names, n_episodes)."""
     per = events_.groupBy("condition").agg(F.count_distinct(F.when(F.col("took"), F.col("ticker"))).alias("n_names"), F.count_if("start").alias("n_episodes"))
     pools = events_.select("condition", F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"fwd{k}").alias("r")) for k in HORIZONS))).alias("p")).select("condition", "p.*").where("r is not null")
     stats = pools.groupBy("condition", "horizon").agg(
-        F.count("*").alias("n"), F.round(F.median("r"), 4).alias("median"), F.round(F.avg("r"), 4).alias("mean"), F.round(F.avg((F.col("r") > 0).cast("double")), 3).alias("hit_rate")
+        F.count("*").alias("n"), F.round(F.avg("r"), 4).alias("mean"), F.round(F.avg((F.col("r") > 0).cast("double")), 3).alias("hit_rate")
     )
-    return stats.join(per, "condition")
+    middle = medians(pools, ["condition", "horizon"], "r").withColumn("median", F.round("median", 4))
+    return stats.join(middle, ["condition", "horizon"]).join(per, "condition").select("condition", "horizon", "n", "median", "mean", "hit_rate", "n_names", "n_episodes")

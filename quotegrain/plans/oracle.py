@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.regime import R2_NULL
+
 _ORDER = "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
 SUPPLY = """
@@ -115,16 +117,22 @@ fin AS (SELECT bt.ticker, strategy, CASE WHEN pos THEN eq * (l.close / entry) EL
 """
 _SPOT = "spot AS (SELECT event_type AS ticker, ts AS captured_at, value AS price, (user_id % 100)::DOUBLE AS previous_close FROM events), sp AS (SELECT * FROM spot QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY captured_at DESC) = 1)"
 _TXNS = f"""{SUPPLY},
-tx AS (SELECT ticker, CAST(l_shipdate AS DATE) AS date, o_custkey::VARCHAR AS owner, CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'S' END AS code, l_quantity::BIGINT AS shares,
+traded AS (SELECT * FROM lineitem JOIN supply ON l_suppkey = s_suppkey WHERE grp <> 'EUROPE'),
+tx AS (SELECT ticker, CAST(l_shipdate AS DATE) AS date, o_custkey::VARCHAR AS owner, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'S144' END AS code, l_quantity::BIGINT AS shares,
         l_extendedprice / l_quantity AS price, round(l_extendedprice)::BIGINT AS value, l_linestatus = 'F' AS plan, l_orderkey::VARCHAR AS accession
-       FROM lineitem JOIN supply ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'R')),
-latest_day AS (SELECT max(date) AS d FROM tx),
-kept AS (SELECT * FROM tx WHERE date >= date_trunc('month', (SELECT d FROM latest_day)) - INTERVAL 15 MONTH),
-ded AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY ticker, owner, date, code, shares, price ORDER BY date, accession, value, plan) = 1),
-ms AS (SELECT ticker, strftime(date_trunc('month', (SELECT d FROM latest_day)) - to_months(k::INTEGER), '%Y-%m') AS month FROM (SELECT DISTINCT ticker FROM supply), range(0, 12) t(k)),
+       FROM traded JOIN orders ON l_orderkey = o_orderkey WHERE grp <> 'AFRICA' AND (grp <> 'ASIA' OR l_returnflag = 'N')),
+span AS (SELECT date_trunc('month', max(date)) - INTERVAL 15 MONTH AS since, date_trunc('month', max(date)) AS last FROM tx),
+kept AS (SELECT * FROM tx WHERE date >= (SELECT since FROM span)),
+ded AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY ticker, owner, date, code, shares, CASE WHEN code <> 'S144' THEN price END, CASE WHEN code = 'S144' THEN value END ORDER BY date, accession, value, plan, price) = 1),
+fil AS (SELECT DISTINCT ticker FROM traded WHERE grp <> 'ASIA' AND CAST(l_shipdate AS DATE) >= (SELECT since FROM span)),
+cnt AS (SELECT ticker, count(*) FILTER (code <> 'S144') AS trades, count(*) FILTER (code = 'S144' AND date >= (SELECT last - INTERVAL 11 MONTH FROM span)) AS notices FROM ded GROUP BY ticker),
+md AS (SELECT n_name AS ticker, CASE WHEN n_name = 'NATION_1' THEN 'etf' WHEN n_name = 'NATION_4' THEN 'no-cik' WHEN trades > 0 THEN 'ok' WHEN notices > 0 THEN '144' WHEN fil.ticker IS NOT NULL THEN 'ok' ELSE 'no-section16' END AS status
+       FROM nation LEFT JOIN cnt ON cnt.ticker = n_name LEFT JOIN fil ON fil.ticker = n_name),
+used AS (SELECT ded.* FROM ded JOIN md ON md.ticker = ded.ticker WHERE (status = '144' AND code = 'S144') OR (status = 'ok' AND code <> 'S144')),
+ms AS (SELECT ticker, strftime((SELECT last FROM span) - to_months(k::INTEGER), '%Y-%m') AS month FROM md, range(0, 12) t(k)),
 bk AS (SELECT ms.ticker, ms.month, coalesce(sum(value) FILTER (code = 'P'), 0)::BIGINT AS buy_value, coalesce(sum(value) FILTER (code <> 'P'), 0)::BIGINT AS sell_value,
         count(*) FILTER (code = 'P') AS buys, count(*) FILTER (code <> 'P') AS sells, coalesce(sum(value) FILTER (code <> 'P' AND plan), 0)::BIGINT AS plan_value
-       FROM ms LEFT JOIN ded ON ded.ticker = ms.ticker AND strftime(ded.date, '%Y-%m') = ms.month GROUP BY ms.ticker, ms.month)
+       FROM ms LEFT JOIN used ON used.ticker = ms.ticker AND strftime(used.date, '%Y-%m') = ms.month GROUP BY ms.ticker, ms.month)
 """
 _MOM = f"""{PANEL},
 m0 AS (SELECT *, {', '.join(f"lag(adj_close, {b}) {_LAG} / nullif(lag(adj_close, {a}) {_LAG}, 0) - 1 AS {k}" for k, (a, b) in {'mom_12_1': (252, 21), 'mom_6_1': (126, 21), 'ret_12m': (252, 0), 'ret_3m': (63, 0), 'ret_1m': (21, 0)}.items())},
@@ -133,7 +141,7 @@ m0 AS (SELECT *, {', '.join(f"lag(adj_close, {b}) {_LAG} / nullif(lag(adj_close,
 mo AS MATERIALIZED (SELECT * FROM m0 WHERE i = n - 1)
 """
 _MOM_COLUMNS = ["mom_12_1", "mom_6_1", "ret_12m", "ret_3m", "ret_1m", "dist_52w_high", "dist_52w_low", "vs_200dma", "vs_50dma"]
-_NULLS = "[0.0, 0.0068, 0.0263, 0.0575, 0.0995, 0.1508, 0.2053, 0.2626, 0.3202, 0.3806, 0.4387, 0.4962, 0.5506, 0.6046, 0.6552, 0.7040, 0.7493, 0.7954, 0.8401, 0.8877]"
+_NULLS = str(R2_NULL)
 _REGIME = f"""{PANEL},
 r0 AS (SELECT ticker, close, i - greatest(n - 90, 0) AS j, CASE WHEN close > 0 THEN ln(close) END AS y FROM p WHERE i >= n - 90),
 r1 AS (SELECT *, CASE WHEN j >= 19 THEN close - avg(close) OVER (PARTITION BY ticker ORDER BY j ROWS 19 PRECEDING) > 0 END AS above,
@@ -149,6 +157,21 @@ def _q(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{body}"
 
 
+_STUDY = """, pool AS (SELECT condition, unnest([21, 63]) AS horizon, unnest([fwd21, fwd63]) AS r FROM ev WHERE on_),
+        per AS (SELECT condition, count(DISTINCT ticker) FILTER (took) AS n_names, count(*) FILTER (start) AS n_episodes FROM ev WHERE on_ GROUP BY condition)"""
+_STUDY_ROWS = """SELECT condition, horizon, count(*) AS n, round(median(r), 4) AS median, round(avg(r), 4) AS mean, round(avg((r > 0)::INTEGER), 3) AS hit_rate, any_value(n_names) AS n_names, any_value(n_episodes) AS n_episodes
+        FROM pool JOIN per USING (condition) WHERE r IS NOT NULL GROUP BY condition, horizon"""
+_WATCH = """
+ln AS (SELECT r_regionkey, r_name, n_name, '  ' || lower(n_name) || CASE WHEN n_nationkey % 3 = 0 THEN ' # a note' ELSE '' END AS line FROM nation JOIN region ON n_regionkey = r_regionkey),
+blk AS (SELECT r_regionkey, count(*) + 2 AS size FROM ln GROUP BY r_regionkey),
+off AS (SELECT r_regionkey, sum(size) OVER (ORDER BY r_regionkey) - size AS before, sum(size) OVER () AS every FROM blk),
+li AS (SELECT upper(n_name) AS symbol, 5 + before + row_number() OVER (PARTITION BY r_regionkey ORDER BY line) - 1 AS pos, every, r_regionkey,
+              r_name || CASE r_name WHEN 'ASIA' THEN ' miners' WHEN 'EUROPE' THEN ' macro' ELSE '' END AS grp FROM ln JOIN off USING (r_regionkey))
+"""
+_SNAPS = """
+qt AS (SELECT date_trunc('hour', ts) AS as_of, event_type || '-' || event_id::VARCHAR AS ticker, value AS price, value - user_id % 10 AS change, (user_id % 10)::DOUBLE AS prev_close,
+              CASE WHEN coalesce(user_id % 7 = 0, false) THEN NULL ELSE date_trunc('second', ts) END AS quote_time FROM events WHERE ts IS NOT NULL)
+"""
 _BOARD = f"""{SUPPLY}, {_SPOT},
 bd AS (SELECT 1::INTEGER AS group_pos, 'events' AS grp, row_number() OVER (ORDER BY ticker)::INTEGER AS item_pos, ticker, upper(ticker) AS name FROM (SELECT DISTINCT ticker FROM spot)
        UNION ALL SELECT 2::INTEGER, 'nations', row_number() OVER (ORDER BY n_name)::INTEGER, n_name, n_name FROM nation),
@@ -190,16 +213,17 @@ SQL = {
     "signals": _q(_SIGNALS, "SELECT ticker, date, strategy, buy, sell FROM sg WHERE buy OR sell"),
     "backtest": _q(_BACKTEST, """SELECT ticker, strategy, round(r, 4) AS strategy_return, round(hold, 4) AS buy_hold_return, round(r - hold, 4) AS excess_vs_hold, r > hold AS beat_hold, trades AS n_trades,
         CASE WHEN trades > 0 THEN round(wins::DOUBLE / trades, 3) END AS win_rate FROM fin"""),
-    "event_study": _q(_EVENTS, """, pool AS (SELECT condition, unnest([21, 63]) AS horizon, unnest([fwd21, fwd63]) AS r FROM ev WHERE on_),
-        per AS (SELECT condition, count(DISTINCT ticker) FILTER (took) AS n_names, count(*) FILTER (start) AS n_episodes FROM ev WHERE on_ GROUP BY condition)
-        SELECT condition, horizon, count(*) AS n, round(median(r), 4) AS median, round(avg(r), 4) AS mean, round(avg((r > 0)::INTEGER), 3) AS hit_rate, any_value(n_names) AS n_names, any_value(n_episodes) AS n_episodes
-        FROM pool JOIN per USING (condition) WHERE r IS NOT NULL GROUP BY condition, horizon"""),
+    "event_study": _q(_EVENTS, f"{_STUDY} {_STUDY_ROWS}"),
     "study_span": _q(PANEL, "SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT ticker) AS used FROM p"),
-    "setup_evidence": _q(SETUP, "SELECT s1.ticker, CASE WHEN coalesce(stack = 'aligned_up' AND vol_state = 'contracted' AND ud >= 1.2, false) THEN 'full_setup' ELSE 'baseline' END AS condition FROM s1"),
-    "insider_dedupe": _q(_TXNS, "SELECT ticker, date, owner, code, shares, price, count(*) AS k FROM ded GROUP BY ALL"),
+    "setup_evidence": _q(SETUP + _EVENTS[len(IND):], f"""{_STUDY}, st AS ({_STUDY_ROWS})
+        SELECT a.ticker, a.condition, horizon, n, median, mean, hit_rate, n_names, n_episodes
+        FROM (SELECT ticker, CASE WHEN coalesce(stack = 'aligned_up' AND vol_state = 'contracted' AND ud >= 1.2, false) THEN 'full_setup' ELSE 'baseline' END AS condition FROM s1) a LEFT JOIN st ON st.condition = a.condition"""),
+    "insider_dedupe": _q(_TXNS, "SELECT ticker, date, owner, code, shares, price, value, plan, accession FROM ded"),
     "insider_buckets": _q(_TXNS, "SELECT * FROM bk"),
-    "insider_compact": _q(_TXNS, "SELECT ticker, sum(buy_value)::BIGINT AS tot_b, sum(sell_value)::BIGINT AS tot_s, list([buy_value, sell_value, buys, sells, plan_value] ORDER BY month) AS months FROM bk GROUP BY ticker"),
-    "insider_mode": _q(_TXNS, "SELECT s.ticker, CASE WHEN count(ded.ticker) > 0 THEN 'form4' ELSE 'no_section16' END AS status FROM (SELECT DISTINCT ticker FROM supply) s LEFT JOIN ded ON ded.ticker = s.ticker GROUP BY s.ticker"),
+    "insider_compact": _q(_TXNS, """SELECT md.ticker, any_value(status) AS status, CASE WHEN any_value(status) IN ('ok', '144') THEN coalesce((SELECT sum(value) FROM used WHERE used.ticker = md.ticker AND code = 'P' AND date >= (SELECT last - INTERVAL 11 MONTH FROM span)), 0)::BIGINT END AS tot_b,
+        CASE WHEN any_value(status) IN ('ok', '144') THEN coalesce((SELECT sum(value) FROM used WHERE used.ticker = md.ticker AND code <> 'P' AND date >= (SELECT last - INTERVAL 11 MONTH FROM span)), 0)::BIGINT END AS tot_s,
+        CASE WHEN any_value(status) IN ('ok', '144') THEN list([buy_value, sell_value, buys, sells, plan_value] ORDER BY month) END AS months FROM md JOIN bk ON bk.ticker = md.ticker GROUP BY md.ticker"""),
+    "insider_mode": _q(_TXNS, "SELECT ticker, status FROM md"),
     "unseen_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM kept)"),
     "board": _q(_BOARD, f'SELECT group_pos, grp AS "group", item_pos, ticker, name, last, prev_close, pct, {_DIR} AS direction FROM br'),
     "movers": _q(_BOARD, "SELECT * FROM (SELECT 'up' AS side, ticker, pct FROM br WHERE pct IS NOT NULL ORDER BY pct DESC, group_pos, item_pos LIMIT 3) UNION ALL SELECT * FROM (SELECT 'down', ticker, pct FROM br WHERE pct IS NOT NULL ORDER BY pct, group_pos, item_pos LIMIT 3)"),
@@ -207,3 +231,35 @@ SQL = {
         SELECT n_name AS ticker, coalesce(sp.price, c1) AS last, coalesce(sp.previous_close, c2) AS prev_close FROM nation LEFT JOIN sp ON sp.ticker = n_name LEFT JOIN c ON c.ticker = n_name"""),
 }
 SQL["latest_stream"] = _q(_SPOT, "SELECT ticker, captured_at, price FROM sp")
+SQL |= {
+    "ticker_documents": _q(SETUP + _REGIME[len(PANEL):] + _MOM[len(PANEL):] + "," + GROUPS, """SELECT s1.ticker, stack, vol_state, coalesce(stack = 'aligned_up' AND vol_state = 'contracted' AND ud >= 1.2, false) AS in_setup, regime, round(r2, 4) AS r2,
+        regime = 'trending' AS trend_ok, round(mom_12_1, 6) AS mom_12_1, round(ret_1m, 6) AS ret_1m, grp AS "group", proxy FROM s1 LEFT JOIN rl ON rl.ticker = s1.ticker LEFT JOIN mo ON mo.ticker = s1.ticker LEFT JOIN grps ON grps.ticker = s1.ticker"""),
+    "emptied_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM ded)"),
+    "stream_quotes": _q(_SNAPS, "SELECT ticker, price, prev_close, quote_time FROM qt WHERE price IS NOT NULL AND quote_time IS NOT NULL"),
+    "stream_errors": _q(_SNAPS, "SELECT as_of, ticker, (2 * count(*))::BIGINT AS k FROM qt WHERE price IS NULL OR quote_time IS NULL GROUP BY as_of, ticker"),
+    "snapshot_quotes": _q(_SNAPS, "SELECT as_of, ticker, price, change, prev_close, quote_time FROM qt WHERE price IS NOT NULL AND quote_time IS NOT NULL"),
+    "snapshot_errors": _q(_SNAPS, "SELECT as_of, ticker FROM qt WHERE (price IS NULL OR quote_time IS NULL) AND as_of IN (SELECT DISTINCT as_of FROM qt ORDER BY as_of DESC LIMIT 20)"),
+    "run_summary": "SELECT count(*) FILTER (NOT bad) AS ok, count(*) FILTER (bad) AS failed, list(ticker ORDER BY ticker) FILTER (bad) AS failed_tickers FROM (SELECT event_type || '-' || (user_id % 20)::VARCHAR AS ticker, min(value) < 0.1 AS bad FROM events GROUP BY 1)",
+    "stored_bars": _q(BARS, "SELECT ticker, date, round(close::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS close, volume FROM bars WHERE day(date) > 2"),
+    "touched_months": _q(BARS, "SELECT ticker, date, close + CASE WHEN month(date) = 3 THEN 1 ELSE 0 END AS close, strftime(date, '%Y-%m') AS month FROM bars"),
+    "watchlist_symbols": _q(_WATCH, """, typed AS (SELECT list_transform(regexp_split_to_array(string_agg(replace(r_name, ' ', ', '), chr(10) ORDER BY replace(r_name, ' ', ', ')), '[,\\s]+'), lambda x: upper(x)) AS w FROM region),
+        every AS (SELECT symbol, pos FROM li UNION ALL SELECT 'CHINA', 3 + any_value(every) + 1 FROM li UNION ALL SELECT w[i], 1000 + i - 1 FROM typed, unnest(range(1, len(w) + 1)) AS t(i))
+        SELECT symbol, min(pos)::INTEGER AS pos FROM every GROUP BY symbol ORDER BY pos LIMIT 28"""),
+    "watchlist_groups": _q(_WATCH, """, g AS (SELECT symbol AS ticker, grp FROM li UNION ALL SELECT unnest(['FIRST^1', 'BTC-USD']), 'Ungrouped' UNION ALL SELECT unnest(['CHINA', 'X.TO']), (SELECT arg_max(grp, r_regionkey) FROM li))
+        SELECT ticker, grp AS "group", CASE WHEN grp ILIKE '%miner%' THEN 'GDX' WHEN grp ILIKE '%macro%' THEN NULL ELSE 'SPY' END AS proxy FROM g"""),
+    "issuer_ids": "SELECT upper(n_name) AS ticker, lpad(n_nationkey::VARCHAR, 10, '0') AS cik FROM nation",
+    "filing_forms": """WITH f AS (SELECT 'C' || o_custkey::VARCHAR AS ticker, o_custkey::VARCHAR AS cik, ['4', '144', '4/A', '8-K', '144/A'][o_orderkey % 5 + 1] AS form, o_orderdate::DATE AS date, o_orderkey::VARCHAR AS accession FROM orders)
+        SELECT *, accession || '.xml' AS document, CASE WHEN form LIKE '144%' THEN 'form144' ELSE 'form4' END AS kind FROM f WHERE form <> '8-K' AND date >= DATE '1997-01-01'""",
+    "filing_pages": "SELECT o_custkey::VARCHAR AS cik, 'page-' || o_custkey::VARCHAR AS name FROM orders GROUP BY o_custkey HAVING min(o_orderdate::DATE) > DATE '1996-01-01'",
+    "form4_trades": """SELECT l_shipdate::DATE AS date, o_orderstatus AS owner, CASE WHEN o_orderkey % 3 = 0 THEN 'Chief' WHEN o_orderkey % 2 = 0 THEN 'Director' ELSE '10% owner' END AS role, CASE l_returnflag WHEN 'A' THEN 'P' ELSE 'S' END AS code,
+        round_even(l_quantity, 0)::BIGINT AS shares, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE round_even(l_extendedprice, 2) END AS price, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE round_even(l_quantity * l_extendedprice, 0)::BIGINT END AS value,
+        o_orderkey % 4 = 0 AS plan, o_orderkey::VARCHAR AS accession FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'R')""",
+    "form144_notices": """WITH u AS (SELECT *, o_orderkey % 50 * 7 / 4.0::DOUBLE AS units, (o_totalprice / units)::VARCHAR::DECIMAL(38, 18) * 100 AS cents FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 50 <> 0)
+        SELECT o_orderdate::DATE AS date, o_orderstatus AS owner, 'Officer' AS role, 'S144' AS code, round_even(units, 0)::BIGINT AS shares, ((floor(cents) + CASE WHEN cents - floor(cents) > 0.5 OR (cents - floor(cents) = 0.5 AND floor(cents) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT / 100.0::DOUBLE) AS price, round_even(o_totalprice, 0)::BIGINT AS value, false AS plan, o_orderkey::VARCHAR AS accession FROM u""",
+    "close_spread": _q(BARS, "SELECT ticker, strftime(date, '%Y-%m') AS month, round(coalesce(stddev_samp(close), 0), 6) AS stdev FROM bars GROUP BY 1, 2"),
+    "display_texts": """WITH e AS (SELECT event_id, round((value * pow(10.0::DOUBLE, event_id % 5 - 2))::VARCHAR::DECIMAL(38, 20), 5) AS p, round(value - 10, 2) AS q, (event_id * user_id) % 20000 AS m FROM events)
+        SELECT event_id, CASE WHEN p IS NULL THEN chr(8212) WHEN p >= 1000 THEN format('{:,}', round(p, 0)::BIGINT) ELSE regexp_replace(regexp_replace(CASE WHEN p >= 1 THEN round(p, 2)::VARCHAR ELSE round(p, 4)::VARCHAR END, '0+$', ''), '\\.$', '') END AS price,
+               CASE WHEN q > 0 THEN '+' ELSE '' END || printf('%.2f%%', q) AS pct, CASE WHEN m IS NULL THEN '' WHEN m < 60 THEN m::VARCHAR || 'm ago' WHEN m < 1440 THEN (m // 60)::VARCHAR || 'h ago' ELSE (m // 1440)::VARCHAR || 'd ago' END AS age FROM e""",
+    "casts": """WITH o AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_orderkey + 0.75::DOUBLE WHEN 2 THEN o_custkey::DOUBLE END AS x FROM orders)
+        SELECT o_orderkey, x, trunc(x)::BIGINT AS n, make_timestamp(o_orderkey * 1000 * 1000000) AS at, try_strptime(lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '/' || lpad((o_custkey % 33)::VARCHAR, 2, '0') || '/2001', '%m/%d/%Y')::DATE AS day FROM o""",
+}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import schemas
+from ..functions import scalars
 from ..operators import board as boards, insiders, lookup, momentum as mom, regime as gate, signals as rules, structure, study
 from ..operators.panel import skipped
-from ..sources import ingest
+from ..scratch import scratch
+from ..sources import filings, ingest, watchlist
 from ..streaming import quotes as feed
 from . import driver_tables as t
 
@@ -19,8 +22,7 @@ def coverage(spark, d):
 
 def history(spark, d):
     bars = t.bars(spark, d)
-    first = bars.agg(F.min("ticker")).first()[0]
-    return lookup.history(bars, first, "1996-01-01", "1999-12-31")
+    return lookup.history(bars, bars.agg(F.min("ticker")).scalar(), "1996-01-01", "1999-12-31")
 
 
 def latest_quotes(spark, d):
@@ -28,7 +30,7 @@ def latest_quotes(spark, d):
 
 
 def performance(spark, d):
-    names = [r[0] for r in t.read(spark, d, "nation").select("n_name").collect()]  # 25 rows at every scale
+    names = t.read(spark, d, "nation").select(F.col("n_name").alias("ticker"))
     return lookup.performance(t.bars(spark, d), names, F.lit("1997-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
 
 
@@ -130,37 +132,48 @@ def study_span(spark, d):
 
 
 def setup_evidence(spark, d):
-    return structure.setup(t.indicator_panel(spark, d)).select("ticker", F.when(F.col("in_setup"), "full_setup").otherwise("baseline").alias("condition"))
+    panel = t.indicator_panel(spark, d)
+    return study.with_evidence(structure.setup(panel), study.summary(study.events(study.flags(panel))))
+
+
+def ticker_documents(spark, d):
+    """Nested documents, written and read back under a declared schema."""
+    panel = t.indicator_panel(spark, d)
+    sections = {"setup": structure.setup(panel).select("ticker", "stack", "vol_state", "in_setup"), "regime": gate.regime(panel).select("ticker", "regime", "r2", "trend_ok"), "momentum": _momentum(spark, d).select("ticker", "mom_12_1", "ret_1m"), "group": t.groups(spark, d)}
+    path = scratch(spark, "documents")
+    ingest.export_json(ingest.ticker_documents(sections), path)
+    schema = "ticker string, setup struct<stack: string, vol_state: string, in_setup: boolean>, regime struct<regime: string, r2: double, trend_ok: boolean>, momentum struct<mom_12_1: double, ret_1m: double>, group struct<group: string, proxy: string>"
+    return spark.read.schema(schema).json(path).select("ticker", "setup.*", "regime.*", "momentum.*", "group.*")
 
 
 def _txns(spark, d):
     rows = t.insider_txns(spark, d)
-    as_of = F.lit(rows.agg(F.max("date")).first()[0])
-    return rows, as_of, insiders.dedupe(insiders.retained(rows, as_of).withColumn("accession", F.col("accession")))
+    as_of = rows.agg(F.max("date")).scalar()
+    txns = insiders.dedupe(insiders.retained(rows, as_of))
+    return rows, as_of, txns, insiders.mode(txns, t.issuers(spark, d), insiders.retained(t.filings(spark, d), as_of), as_of)
 
 
 def insider_dedupe(spark, d):
-    return _txns(spark, d)[2].groupBy("ticker", "date", "owner", "code", "shares", "price").agg(F.count("*").alias("k"))
+    return _txns(spark, d)[2].select("ticker", "date", "owner", "code", "shares", "price", "value", "plan", "accession")
 
 
 def insider_buckets(spark, d):
-    _, as_of, txns = _txns(spark, d)
-    return insiders.buckets(txns, t.groups(spark, d), as_of)
+    _, as_of, txns, modes = _txns(spark, d)
+    return insiders.buckets(insiders.chosen(txns, modes), modes, as_of)
 
 
 def insider_compact(spark, d):
-    return insiders.compact(insider_buckets(spark, d))
+    _, as_of, txns, modes = _txns(spark, d)
+    used = insiders.chosen(txns, modes)
+    return insiders.compact(insiders.buckets(used, modes, as_of), modes, insiders.totals(used, as_of))
 
 
 def insider_mode(spark, d):
-    _, as_of, txns = _txns(spark, d)
-    return insiders.mode(txns, t.groups(spark, d).select("ticker", F.lit("1").alias("cik"), F.lit(None).cast("string").alias("skip")), as_of)
+    return _txns(spark, d)[3]
 
 
 def unseen_accessions(spark, d):
-    from ..sources import filings
-
-    rows, as_of, _ = _txns(spark, d)
+    rows, as_of, *_ = _txns(spark, d)
     kept = insiders.retained(rows, as_of)
     return filings.unseen(rows.select("accession").distinct(), kept, kept.limit(0))
 
@@ -179,27 +192,132 @@ def quote_repair(spark, d):
     return boards.repaired(members.join(spot, "ticker", "left").select("ticker", "last", "prev_close"), t.bars(spark, d))
 
 
+def emptied_accessions(spark, d):
+    """Filings seen of which no row is kept."""
+    rows, _, txns, _ = _txns(spark, d)
+    return filings.emptied(rows.select("accession").distinct(), txns, txns.limit(0))
+
+
 def latest_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The newest quote per ticker by a stream over the event files, run over all that has landed."""
-    import tempfile
-    import uuid
+    """The newest quote per ticker by a stream over the event files, each batch upserted, run over all that has landed."""
+    path, schema = scratch(spark, "stream"), "ticker string, captured_at timestamp, price double"
+    source = spark.readStream.schema(t.read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    quotes = source.select(F.col("event_type").alias("ticker"), F.col("ts").alias("captured_at"), F.col("value").alias("price"))
+    feed.run_available(feed.latest_per_ticker(quotes, "captured_at"), feed.upserting(spark, f"{path}/out"), f"{path}/state", "update")
+    return lookup.newest(feed.newest_version(spark, f"{path}/out", schema), "ticker", "captured_at")
+
+
+def _landed(spark: SparkSession, d: str, path: str) -> str:
+    t.snapshots(spark, d).unionByName(t.snapshots(spark, d)).write.json(f"{path}/landed")  # each is published twice
+    return f"{path}/landed"
+
+
+def stream_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of a stream of snapshots, each published twice, without the repeats."""
+    path = scratch(spark, "stream")
+    stream = feed.snapshot_stream(spark, _landed(spark, d, path), multi_line=False)
+    once = feed.without_repeats(feed.quote_rows(stream)).select("ticker", "price", "prev_close", "quote_time")
+    feed.run_available(once, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/state")
+    return spark.read.schema("ticker string, price double, prev_close double, quote_time timestamp").parquet(f"{path}/out").select("ticker", "price", "prev_close", "quote_time")
+
+
+def stream_errors(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "stream")
+    errors = feed.error_rows(feed.snapshot_stream(spark, _landed(spark, d, path), multi_line=False))
+    feed.run_available(errors, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/state")
+    return spark.read.schema("as_of timestamp, ticker string").parquet(f"{path}/out").groupBy("as_of", "ticker").agg(F.count("*").alias("k"))
+
+
+def snapshot_quotes(spark, d):
+    return ingest.snapshot_quotes(t.snapshots(spark, d)).select("as_of", "ticker", "price", "change", "prev_close", "quote_time")
+
+
+def snapshot_errors(spark, d):
+    return ingest.snapshot_errors(ingest.newest_snapshots(t.snapshots(spark, d)))
+
+
+def run_summary(spark, d):
+    e = t.read(spark, d, "events")
+    return ingest.run_summary(e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("ticker")).agg(F.when(F.min("value") < 0.1, "low").alias("error")))
+
+
+def stored_bars(spark, d):
+    """Bars written as a table, read without those that have no close, exported as CSV and read back."""
+    path = scratch(spark, "bars")
+    bars = t.bars(spark, d).withColumns({"close": F.when(F.day("date") > 2, F.col("close")), "source": F.lit("x"), "updated_at": F.lit(None).cast("timestamp")})
+    bars.write.parquet(f"{path}/bars")
+    ingest.export_csv(ingest.read_bars(spark, f"{path}/bars").select("ticker", "date", "close", "volume"), f"{path}/csv", ["close"])
+    return spark.read.schema("ticker string, date date, close double, volume bigint").option("header", True).csv(f"{path}/csv")
+
+
+def touched_months(spark, d):
+    """A later batch of bars, upserted into a stored table: only its months are written."""
+    path = scratch(spark, "bars")
+    bars = t.bars(spark, d).withColumns({"source": F.lit("x"), "updated_at": F.lit("2002-01-01").cast("timestamp")})
+    ingest.write_touched(bars, f"{path}/bars", f"{path}/first")
+    late = bars.where("month(date) = 3").withColumns({"close": F.col("close") + 1, "updated_at": F.lit("2002-01-02").cast("timestamp")})
+    ingest.write_touched(late, f"{path}/bars", f"{path}/second")
+    return spark.read.schema(f"{schemas.BARS}, month string").parquet(f"{path}/bars").select("ticker", "date", "close", "month")
+
+
+def watchlist_symbols(spark, d):
+    """Symbols asked for: those of the list that can be quoted, and those of a free text, each once."""
+    listed = watchlist.quotable(watchlist.symbols(t.watchlist(spark, d)))
+    text = t.read(spark, d, "region").agg(F.array_join(F.sort_array(F.collect_list(F.regexp_replace("r_name", " ", ", "))), "\n").alias("v"))
+    typed = watchlist.from_text(text, "v").withColumn("pos", F.col("pos") + 1000)
+    return watchlist.request(listed.unionByName(typed), 28).select("symbol", "pos")
+
+
+def watchlist_groups(spark, d):
+    return watchlist.groups(t.watchlist(spark, d))
+
+
+def issuer_ids(spark, d):
+    """Issuer ids from one document of all nations."""
+    entry = F.struct(F.col("n_nationkey").cast("string").alias("k"), F.struct(F.col("n_nationkey").alias("cik_str"), F.lower("n_name").alias("ticker"), F.lit("x").alias("title")).alias("v"))
+    return filings.issuer_ids_of(t.read(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))
+
+
+def filing_forms(spark, d):
+    return filings.forms(t.filing_index(spark, d), F.lit("1997-01-01").cast("date"))
+
+
+def filing_pages(spark, d):
+    return filings.older_pages(t.filing_index(spark, d), F.lit("1996-01-01").cast("date"))
+
+
+def form4_trades(spark, d):
+    return filings.form4_text(t.ownership_documents(spark, d))
+
+
+def form144_notices(spark, d):
+    docs = t.sale_notices(spark, d)
+    return filings.form144_text(docs.select("accession", "xml"), docs.select("accession", "cik"))
+
+
+def close_spread(spark, d):
+    """Standard deviation of a month's closes; 0 for a month of one bar."""
+    return t.bars(spark, d).groupBy("ticker", F.date_format("date", "yyyy-MM").alias("month")).agg(F.round(scalars.sample_stdev("close"), 6).alias("stdev"))
+
 
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = t.read(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
-    quotes = events.select(F.col("event_type").alias("ticker"), F.col("ts").alias("captured_at"), F.col("value").alias("price"))
-    feed.run_available(feed.latest_per_ticker(quotes, "captured_at"), lambda df, n: df.write.mode("append").parquet(f"{path}/out"), f"{path}/state", "update")
-    return lookup.newest(spark.read.schema("ticker string, captured_at timestamp, price double").parquet(f"{path}/out"), "ticker", "captured_at")
+def display_texts(spark, d):
+    """Prices, changes and ages as they are displayed."""
+    e = t.read(spark, d, "events")
+    price = F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 5 - 2)
+    return e.select("event_id", scalars.price_text(F.round(price, 5)).alias("price"), scalars.pct_text(F.round(F.col("value") - 10, 2)).alias("pct"), scalars.age_text((F.col("event_id") * F.col("user_id")) % 20000).alias("age"))
 
 
-def _is_dir(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+def casts(spark, d):
+    """Best-effort numbers, times and days from text."""
+    o = t.read(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 4 == 0, "NaN").when(F.col("o_orderkey") % 4 == 1, F.concat(F.col("o_orderkey").cast("string"), F.lit(".75"))).when(F.col("o_orderkey") % 4 == 2, F.col("o_custkey").cast("string")).otherwise("n/a")
+    day = F.concat(F.lpad((F.col("o_orderkey") % 14).cast("string"), 2, "0"), F.lit("/"), F.lpad((F.col("o_custkey") % 33).cast("string"), 2, "0"), F.lit("/2001"))
+    return o.select("o_orderkey", scalars.to_double(text).alias("x"), scalars.to_long(text).alias("n"), scalars.epoch_utc(F.col("o_orderkey") * 1000).alias("at"), scalars.us_date(day).alias("day"))
 
 
 QUERIES = {f.__name__: f for f in (
     coverage, history, latest_quotes, performance, run_select, snapshot, tickers, eligibility, quote_changes, envelope, upsert_bars, upsert_spot, indicators, setup, regime,
     momentum, momentum_ranks, relative_strength, signals, backtest, event_study, study_span, setup_evidence, insider_dedupe, insider_buckets, insider_compact, insider_mode,
-    unseen_accessions, board, movers, quote_repair, latest_stream,
+    unseen_accessions, board, movers, quote_repair, latest_stream, ticker_documents, emptied_accessions, stream_quotes, stream_errors, snapshot_quotes, snapshot_errors, run_summary,
+    stored_bars, touched_months, watchlist_symbols, watchlist_groups, issuer_ids, filing_forms, filing_pages, form4_trades, form144_notices, close_spread, display_texts, casts,
 )}

@@ -12,7 +12,12 @@ TRADE_FORMS, NOTICE_FORMS = ["4", "4/A"], ["144", "144/A"]
 
 def issuer_ids(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, cik): ten digits."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.ISSUER_IDS).alias("m"))
+    return issuer_ids_of(spark.read.text(path, wholetext=True))
+
+
+def issuer_ids_of(texts: DataFrame) -> DataFrame:
+    """The same of documents' texts in a column value."""
+    raw = texts.select(F.from_json("value", schemas.ISSUER_IDS).alias("m"))
     return raw.select(F.explode(F.map_values("m")).alias("r")).select(F.upper("r.ticker").alias("ticker"), F.lpad(F.col("r.cik_str").cast("string"), 10, "0").alias("cik"))
 
 
@@ -39,32 +44,59 @@ def _accession() -> Column:
 
 
 def form4(spark: SparkSession, path: str) -> DataFrame:
-    """Purchases and sales of ownership documents; the accession is the file's name. The first owner counts."""
-    docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(schemas.FORM4).load(path).withColumn("accession", _accession())
+    """Trades of ownership documents in files; the accession is the file's name."""
+    docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(schemas.FORM4).load(path)
+    return form4_rows(docs.withColumn("accession", _accession()))
+
+
+def form4_text(docs: DataFrame) -> DataFrame:
+    """The same of (accession, xml), a document's text per row."""
+    return form4_rows(docs.select("accession", F.from_xml("xml", schemas.FORM4).alias("d")).select("accession", "d.*"))
+
+
+def form4_rows(docs: DataFrame) -> DataFrame:
+    """Purchases and sales of parsed documents. The first owner counts; missing shares or prices are 0, a missing owner is
+    a question mark. Prices have two places, shares and values none."""
     owner = F.get("reportingOwner", F.lit(0))
     rel = owner["reportingOwnerRelationship"]
-    yes = lambda c: F.lower(F.trim(c)).isin("1", "true")
-    role = F.coalesce(F.nullif(F.trim(rel["officerTitle"]), F.lit("")), F.when(yes(rel["isDirector"]), "Director"), F.when(yes(rel["isTenPercentOwner"]), "10% owner"))
-    plan = F.coalesce(yes(F.col("aff10b5One")), F.lit(False)) | F.coalesce(F.exists("footnotes.footnote", lambda x: x.contains("10b5-1")), F.lit(False))
-    rows = docs.select("accession", owner["reportingOwnerId"]["rptOwnerName"].alias("owner"), role.alias("role"), plan.alias("plan"), F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"))
-    shares, price = to_double(F.col("t.transactionAmounts.transactionShares.value")), to_double(F.col("t.transactionAmounts.transactionPricePerShare.value"))
+    yes = lambda c: F.coalesce(c, F.lit("")).isin("1", "true")
+    role = F.coalesce(F.nullif(F.trim(rel["officerTitle"]), F.lit("")), F.when(yes(rel["isDirector"]), "Director").when(yes(rel["isTenPercentOwner"]), "10% owner"), F.lit(""))
+    plan = yes(F.col("aff10b5One")) | F.coalesce(F.exists("footnotes.footnote", lambda x: x.contains("10b5-1")), F.lit(False))
+    name = F.coalesce(F.nullif(owner["reportingOwnerId"]["rptOwnerName"], F.lit("")), F.lit("?"))
+    rows = docs.select("accession", name.alias("owner"), role.alias("role"), plan.alias("plan"), F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"))
+    number = lambda c: F.coalesce(to_double(c), F.lit(0.0))
+    shares, price = number(F.col("t.transactionAmounts.transactionShares.value")), number(F.col("t.transactionAmounts.transactionPricePerShare.value"))
     return rows.select(
         F.to_date(F.substring("t.transactionDate.value", 1, 10)).alias("date"), "owner", "role", F.col("t.transactionCoding.transactionCode").alias("code"),
-        F.bround(shares, 0).cast("bigint").alias("shares"), price.alias("price"), F.bround(shares * price, 0).cast("bigint").alias("value"), "plan", "accession",
+        F.bround(shares, 0).cast("bigint").alias("shares"), F.bround(price, 2).alias("price"), F.bround(shares * price, 0).cast("bigint").alias("value"), "plan", "accession",
     ).where(F.col("code").isin("P", "S"))
 
 
-def form144(spark: SparkSession, path: str, cik: str) -> DataFrame:
-    """Sale notices of one issuer; units and a date are needed, the price is value over units."""
-    docs = spark.read.format("xml").option("rowTag", "edgarSubmission").option("ignoreNamespace", True).schema(schemas.FORM144).load(path).withColumn("accession", _accession())
+def form144(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """Sale notices of documents in files. ``listed`` (accession, cik): for which issuer each was listed."""
+    docs = spark.read.format("xml").option("rowTag", "edgarSubmission").option("ignoreNamespace", True).schema(schemas.FORM144).load(path)
+    return form144_rows(docs.withColumn("accession", _accession()), listed)
+
+
+def form144_text(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same of (accession, xml), a document's text per row."""
+    parsed = F.from_xml("xml", schemas.FORM144, {"ignoreNamespace": "true"})
+    return form144_rows(docs.select("accession", parsed.alias("d")).select("accession", "d.*"), listed)
+
+
+def form144_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Notices whose issuer is the one they were listed for: an issuer also files notices of other issuers' shares. Units
+    and a date are needed; the price is value over units, with two places. The first security sold counts."""
     info = F.col("formData.issuerInfo")
-    ours = info["issuerCik"].try_cast("bigint") == F.lit(cik).cast("bigint")
-    rows = docs.where(ours).select("accession", info["nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold"].alias("owner"), F.get(info["relationshipsToIssuer"]["relationshipToIssuer"], F.lit(0)).alias("role"), F.explode("formData.securitiesInformation").alias("s"))
-    units, value = to_double(F.col("s.noOfUnitsSold")), to_double(F.col("s.aggregateMarketValue"))
-    return rows.select(
+    ours = docs.join(listed.select("accession", "cik").distinct(), "accession").where(info["issuerCik"].try_cast("bigint") == F.col("cik").try_cast("bigint"))
+    name = F.coalesce(info["nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold"], F.lit("?"))
+    role = F.coalesce(F.get(info["relationshipsToIssuer"]["relationshipToIssuer"], F.lit(0)), F.lit(""))
+    rows = ours.select("accession", name.alias("owner"), role.alias("role"), F.get("formData.securitiesInformation", F.lit(0)).alias("s"))
+    units, value = (F.coalesce(to_double(F.col(c)), F.lit(0.0)) for c in ("s.noOfUnitsSold", "s.aggregateMarketValue"))
+    return rows.where(units != 0).select(
         us_date(F.trim("s.approxSaleDate")).alias("date"), "owner", "role", F.lit("S144").alias("code"), F.bround(units, 0).cast("bigint").alias("shares"),
-        F.try_divide(value, units).alias("price"), F.bround(value, 0).cast("bigint").alias("value"), F.lit(False).alias("plan"), "accession",
-    ).where("date is not null and shares > 0")
+        F.bround(value / units, 2).alias("price"), F.bround(value, 0).cast("bigint").alias("value"), F.lit(False).alias("plan"), "accession",
+    ).where("date is not null")
 
 
 def unseen(listed: DataFrame, txns: DataFrame, empty: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
@@ -23,6 +24,21 @@ def upsert_bars(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(existing, batch, ["ticker", "date"])
 
 
+def write_touched(batch: DataFrame, path: str, staging: str) -> None:
+    """Upserts bars into the table at ``path``, partitioned by month: only months that the batch has are read and written.
+    They are written to ``staging`` first, so a failed run leaves the table as it was or can be repeated from there."""
+    spark, month = batch.sparkSession, F.date_format("date", "yyyy-MM")
+    fresh = batch.withColumn("month", month)
+    try:
+        table = spark.read.schema(f"{schemas.BARS}, month string").parquet(path)
+    except AnalysisException:  # nothing is there yet
+        table = fresh.limit(0)
+    touched = table.join(fresh.select("month").distinct(), "month", "left_semi")
+    upsert(touched, fresh, ["ticker", "date"]).write.mode("overwrite").partitionBy("month").parquet(staging)
+    ready = spark.read.schema(f"{schemas.BARS}, month string").parquet(staging)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
 def upsert_spot(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(existing, batch, ["ticker", "captured_at"], at="captured_at")
 
@@ -35,7 +51,17 @@ def export_csv(df: DataFrame, path: str, prices: list[str], files: int | None =
     out.sortWithinPartitions(first, second).write.csv(path, header=True, compression="gzip")
 
 
+def ticker_documents(sections: dict[str, DataFrame]) -> DataFrame:
+    """One row per ticker of any section, with a struct of each section's columns; null where it has none."""
+    parts = [df.select("ticker", F.struct(*(c for c in df.columns if c != "ticker")).alias(name)) for name, df in sections.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "ticker", "full_outer")
+    return out
+
+
 def export_json(df: DataFrame, path: str) -> None:
+    """A nested document per row and line; fields that are null are left out."""
     df.write.json(path)
 
 
@@ -44,20 +70,21 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_quotes(snapshots: DataFrame) -> DataFrame:
-    """One row per usable quote; those without a price or time are errors."""
+    """One row per usable quote; those without a price or time are errors. Of tables and of streams."""
     return snapshots.select("as_of", F.explode("quotes").alias("q")).select("as_of", "q.*").where("price is not null and quote_time is not null")
 
 
 def snapshot_errors(snapshots: DataFrame) -> DataFrame:
-    listed = snapshots.select("as_of", F.explode("errors").alias("ticker"))
-    unusable = snapshots.select("as_of", F.explode("quotes").alias("q")).where("q.price is null or q.quote_time is null").select("as_of", "q.ticker")
-    return listed.unionByName(unusable)
+    """(as_of, ticker) listed as errors, and those of quotes without a price or time. Of tables and of streams."""
+    unusable = F.transform(F.filter("quotes", lambda q: q["price"].isNull() | q["quote_time"].isNull()), lambda q: q["ticker"])
+    none = F.array().cast("array<string>")
+    return snapshots.select("as_of", F.explode(F.concat(F.coalesce("errors", none), F.coalesce(unusable, none))).alias("ticker"))
 
 
-def provider_quotes(raw: DataFrame) -> DataFrame:
-    """Fields c, d, dp, o, h, l, pc, t under their names; a time of 0 is none."""
+def provider_quotes(raw: DataFrame, *keep: str) -> DataFrame:
+    """Fields c, d, dp, o, h, l, pc, t under their names, with the columns to keep; a time of 0 is none."""
     names = {"c": "price", "d": "change", "dp": "change_pct", "o": "open", "h": "high", "l": "low", "pc": "prev_close"}
-    return raw.select("ticker", *(F.col(k).cast("double").alias(v) for k, v in names.items()), F.when(F.col("t") != 0, F.timestamp_seconds("t")).alias("quote_time"))
+    return raw.select(*keep, "ticker", *(F.col(k).cast("double").alias(v) for k, v in names.items()), F.when(F.col("t") != 0, F.timestamp_seconds("t")).alias("quote_time"))
 
 
 def newest_snapshots(snapshots: DataFrame, keep: int = 20) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import symbol
 
 MOST = 120
+# Fixed value: the form of a group's header line.
+HEADER = r"^#\s*-{2,}\s*(.+?)\s*-{2,}\s*$"
 # Patterns of group names, in order, and the proxy of each.
 GROUP_PROXY = [
     (r"semiconduct|memory|storage|optic|network", "SMH"),
@@ -40,7 +42,7 @@ def symbols(text: DataFrame) -> DataFrame:
 def groups(text: DataFrame) -> DataFrame:
     """(ticker, group, proxy): the header above a symbol names its group; the last of repeats counts. A watchlist is one
     ordered file, so its lines stay together."""
-    rows = _lines(text).withColumn("header", F.nullif(F.regexp_extract("line", r"^#\s*-{2,}\s*(.+?)\s*-{2,}\s*$", 1), F.lit("")))
+    rows = _lines(text).withColumn("header", F.nullif(F.regexp_extract("line", HEADER, 1), F.lit("")))
     w = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("group", F.coalesce(F.last("header", ignorenulls=True).over(w), F.lit("Ungrouped"))).where("header is null")
     rows = rows.withColumn("ticker", symbol(F.substring_index("line", "#", 1))).where("ticker <> ''")
@@ -58,5 +60,6 @@ def from_text(df: DataFrame, c: str) -> DataFrame:
 
 
 def request(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """The first ``most`` of (symbol, pos)."""
-    return rows.orderBy("pos", "symbol").limit(most)
+    """The first ``most`` different symbols of (symbol, pos), by their first place."""
+    once = rows.withColumn("symbol", symbol(F.col("symbol"))).where("symbol <> ''").groupBy("symbol").agg(F.min("pos").alias("pos"))
+    return once.orderBy("pos", "symbol").limit(most)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotegrain import schemas
+from quotegrain.functions import scalars
+from quotegrain.functions.order import medians, share_at_or_below
 from quotegrain.functions.recurrence import ema, linear_recurrence
 from quotegrain.operators import insiders, lookup, signals as rules
 from quotegrain.operators.indicators import with_indicators
@@ -149,7 +151,8 @@ def test_watchlist(spark):
 def test_select_guard(spark):
     df = spark.createDataFrame([("A", 1)], "ticker string, x int")
     assert lookup.run_select(spark, {"t": df}, "select * from t;").count() == 1
-    for bad in ("drop table t", "select 1; select 2", "select replace(ticker, 'A', 'B') from t"):
+    assert not [x for x in spark.catalog.listTables() if x.name == "t"]
+    for bad in ("drop table t", "select 1; select 2", "with x as (select 1) analyze table t", "select replace(ticker, 'A', 'B') from t"):
         with pytest.raises(ValueError):
             lookup.run_select(spark, {"t": df}, bad)
 
@@ -161,12 +164,70 @@ def test_insiders(spark):
     ]
     txns = insiders.dedupe(spark.createDataFrame(rows, schemas.INSIDER))
     assert {r.accession for r in txns.collect()} == {"1", "3", "4"}
-    names = spark.createDataFrame([("A", "1", None), ("B", "2", None), ("C", None, None), ("D", "4", "etf"), ("E", "5", None)], "ticker string, cik string, skip string")
+    names = spark.createDataFrame([("A", "1", None), ("B", "2", None), ("C", None, None), ("D", "4", "etf"), ("E", "5", None), ("F", "6", None), ("G", "7", None)], "ticker string, cik string, skip string")
+    filed = spark.createDataFrame([("A",), ("F",), ("F",), ("G",)], "ticker string")
     as_of = F.lit("2024-05-20").cast("date")
-    got = {r.ticker: r.status for r in insiders.mode(txns, names, as_of).collect()}
-    assert got == {"A": "form4", "B": "form144", "C": "no_cik", "D": "etf", "E": "no_section16"}
-    compact = {r.ticker: r for r in insiders.compact(insiders.buckets(txns.where("code <> 'S144'"), names.where("ticker = 'A'"), as_of)).collect()}["A"]
-    assert (compact.tot_b, compact.tot_s) == (20, 15) and len(compact.months) == 12 and compact.months[-1] == [20, 0, 1, 0, 0]
+    old = spark.createDataFrame([("F", dt.date(2023, 4, 9), "o", "r", "S144", 5, 3.0, 15, False, "5"), ("A", dt.date(2024, 5, 1), "o", "r", "S144", 7, 3.0, 21, False, "6")], schemas.INSIDER)
+    txns = txns.unionByName(old)
+    modes = insiders.mode(txns, names, filed, as_of)
+    # old notices only, or none: quiet where there are filings
+    assert {r.ticker: r.status for r in modes.collect()} == {"A": "ok", "B": "144", "C": "no-cik", "D": "etf", "E": "no-section16", "F": "ok", "G": "ok"}
+    used = insiders.chosen(txns, modes)
+    assert {r.accession for r in used.collect()} == {"1", "3", "4"}
+    compact = {r.ticker: r for r in insiders.compact(insiders.buckets(used, modes, as_of), modes, insiders.totals(used, as_of)).collect()}
+    a = compact["A"]
+    assert (a.tot_b, a.tot_s) == (20, 15) and len(a.months) == 12 and a.months[-1] == [20, 0, 1, 0, 0] and a.months[-2] == [0, 15, 0, 1, 15]
+    assert compact["B"].tot_s == 15 and compact["G"].tot_b == 0 and compact["E"].months is None and compact["E"].tot_b is None
+
+
+def test_dedupe_keeps_one_row_in_every_order(spark):
+    base = ("A", dt.date(2024, 5, 3), "o", "r")
+    rows = [(*base, "P", 10, 2.0, v, p, "1") for v in (30, 20) for p in (True, False)] + [(*base, "S144", 5, x, 15, False, acc) for x, acc in ((3.0, "9"), (4.0, "8"))]
+    for order in (rows, rows[::-1]):
+        got = insiders.dedupe(spark.createDataFrame(order, schemas.INSIDER)).collect()
+        assert sorted((r.code, r.value, r.plan, r.accession) for r in got) == [("P", 20, False, "1"), ("S144", 15, False, "8")]
+
+
+def test_display(spark):
+    ages = [(None, ""), (0.4, "0m ago"), (59.4, "59m ago"), (60.0, "1h ago"), (119.0, "1h ago"), (1439.0, "23h ago"), (2160.0, "1d ago"), (2880.0, "2d ago")]
+    prices = [(None, "\u2014"), (1234.5, "1,235"), (1000.0, "1,000"), (12.5, "12.5"), (12.0, "12"), (3.14159, "3.14"), (0.12345, "0.1235"), (0.5, "0.5")]
+    df = spark.createDataFrame([(i, a, p) for i, ((a, _), (p, _)) in enumerate(zip(ages, prices))], "i int, a double, p double")
+    got = df.select("i", scalars.age_text(F.col("a")).alias("a"), scalars.price_text(F.col("p")).alias("p")).orderBy("i").collect()
+    assert [r.a for r in got] == [t for _, t in ages] and [r.p for r in got] == [t for _, t in prices]
+    pct = spark.createDataFrame([(1.234,), (-0.5,), (0.0,)], "x double").select(scalars.pct_text(F.col("x")).alias("t")).collect()
+    assert [r.t for r in pct] == ["+1.23%", "-0.50%", "0.00%"]
+    one = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 3.0)], "k string, x double").groupBy("k").agg(scalars.sample_stdev("x").alias("s")).orderBy("k").collect()
+    assert one[0].s == 0 and abs(one[1].s - 2**0.5) < 1e-12
+
+
+def test_exact_ranks_and_medians(spark):
+    import statistics
+
+    r = random.Random(9)
+    rows = [(k, r.choice([r.gauss(0, 0.3), 0.25, -7e9, 4e5])) for k in ("a", "b") for _ in range(301 if k == "a" else 400)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {k: statistics.median(x for j, x in rows if j == k and x is not None) for k in ("a", "b")}
+    assert {r.k: r.median for r in medians(df, ["k"], "x").collect()} == want
+    every = [x for _, x in rows if x is not None]
+    got = {r.x: r.share for r in share_at_or_below(df, [], "x").collect()}
+    assert got == {x: sum(y <= x for y in every) / len(every) for x in every}
+
+
+def test_recurrence_plan(spark):
+    """One exchange by ticker, one read, no join."""
+    plan = with_indicators(indexed(clean(bars(spark, A=[1.0, 2.0]))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_touched_months(spark, tmp_path):
+    cols = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string, updated_at timestamp"
+    row = lambda day, close, at: ("A", day, close, close, close, close, close, 1, "x", dt.datetime(2024, 1, at))
+    path = str(tmp_path / "bars")
+    ingest.write_touched(spark.createDataFrame([row(dt.date(2024, 1, 5), 1.0, 1), row(dt.date(2024, 2, 5), 2.0, 1)], cols), path, str(tmp_path / "s1"))
+    before = {p.name for p in (tmp_path / "bars" / "month=2024-01").iterdir()}
+    ingest.write_touched(spark.createDataFrame([row(dt.date(2024, 2, 5), 9.0, 2), row(dt.date(2024, 2, 6), 3.0, 2)], cols), path, str(tmp_path / "s2"))
+    assert {p.name for p in (tmp_path / "bars" / "month=2024-01").iterdir()} == before
+    assert sorted((str(r.date), r.close) for r in spark.read.parquet(path).collect()) == [("2024-01-05", 1.0), ("2024-02-05", 9.0), ("2024-02-06", 3.0)]
 
 
 def test_filings(spark, tmp_path):
@@ -194,7 +255,11 @@ def test_stream_equals_batch(spark, tmp_path):
     feed.run_available(rows, lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "state"))
     got = sorted((r.ticker, r.price) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("A", 12.0), ("A", 13.0), ("A", 14.0), ("B", 25.5)]
-    assert ingest.snapshot_quotes(ingest.read_snapshots(spark, str(src))).count() == 6
+    landed = ingest.read_snapshots(spark, str(src))
+    assert ingest.snapshot_quotes(landed).count() == 6
+    errors = feed.error_rows(feed.snapshot_stream(spark, str(src)))
+    feed.run_available(errors, lambda df, n: df.write.mode("append").parquet(str(tmp_path / "err")), str(tmp_path / "state2"))
+    assert spark.read.parquet(str(tmp_path / "err")).count() == ingest.snapshot_errors(landed).count() == 3
 
 
 def test_entry_without_the_corpus_operators(spark):
