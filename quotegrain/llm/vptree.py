@@ -1,80 +1,113 @@
-"""Nearest neighbours by vantage-point trees, one per shard.
-
-Largest inner product becomes least Euclidean distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest
-norm, which is 0 for a query. A shard's tree splits its vectors at the median distance from a vantage point. A subtree
-is left out if the triangle inequality, with the bound shrunk by ``factor``, rules it out: its least possible distance
-exceeds ``factor`` times the distance of the k-th nearest found so far. Factor one is exact; less is faster and may miss.
-Leaves choose by exact inner product and id, so the first k of a shard are those of the whole order, ties included.
-All queries of a block go down a tree together, each visiting the nearer side first.
+"""Nearest neighbours by largest inner product, with vantage-point trees, one per shard.
+
+Vectors are first dealt to cells: that of the nearest of at most ``CELLS`` pivots, which are vectors themselves. A cell's
+vectors are dealt out to shards of about ``SHARD`` vectors; each shard's tree is built once, by one task, and written.
+A cell is a ball around its pivot, so a query can leave out a whole cell as it can a subtree:
+
+* by the triangle inequality no vector of a ball (centre c, radius r) has an inner product with q above q.c + |q| r;
+* nor, with d the least distance from q that the ball's distances from c allow and M its longest vector, above
+  (|q|^2 + M^2 - d^2) / 2.
+
+A part is left out if either bound is below the k-th best product found so far. ``factor`` shrinks r, and stretches d by
+its inverse: factor one restores exact search, less is faster and may miss. Neither bound needs vectors of one length.
+Queries first visit the cell of their best bound, and then, with what they found there, every other cell that isn't
+left out. Leaves choose by exact inner product and id, ties included; equal bounds and a hair for rounding stay open.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import parts_for
+from .common import parts_for, written
 
 #: Vectors per shard, queries that meet a shard in one task and in one batch of it, vectors per leaf.
 SHARD = 8192
-QUERY_BLOCK = 65536
+QUERY_BLOCK = 16384
 BATCH = 1024
-LEAF = 256
+LEAF = 128
 FACTOR = 1.0
+#: Pivots at most: what every task is sent, whatever the size of the table.
+CELLS = 1024
+
+
+def _far(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances from each q to each x, by differences, so none is lost to cancellation."""
+    out = np.empty((len(q), len(x)))
+    for i in range(0, len(x), max((1 << 21) // max(q.size, 1), 1)):
+        part = x[i : i + max((1 << 21) // max(q.size, 1), 1)]
+        out[:, i : i + len(part)] = np.sqrt(np.square(q[:, None, :] - part[None]).sum(2))
+    return out
+
+
+def _bounds(q_far: np.ndarray, q_dot: np.ndarray, q_len: np.ndarray, low, high, longest, factor: float) -> np.ndarray:
+    """Largest inner product that a vector may have whose distance from a centre is ``low`` to ``high``, of queries at
+    the distance ``q_far`` from it; with a hair for rounding. What overflows is no bound."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        ball = q_dot + factor * q_len * high
+        least = np.maximum(np.maximum(low - q_far, q_far - high), 0) / max(factor, 1e-9)
+        shell = (q_len * q_len + longest * longest - least * least) / 2
+        hair = 1e-9 * (q_len + longest + high) * (q_len + longest + high)
+        out = np.minimum(np.where(np.isnan(ball), np.inf, ball), np.where(np.isnan(shell), np.inf, shell)) + hair
+    return np.where(np.isnan(out), np.inf, out)
 
 
 class VpTree:
-    def __init__(self, plain: np.ndarray, ids: np.ndarray, longest: float, leaf: int = LEAF, seed: int = 7):
-        """Of vectors whose squared norms are ``longest`` at most."""
-        self.plain, self.ids, self.longest, self.leaf = plain, ids, longest, leaf
-        self.x = np.column_stack([plain, np.sqrt(np.maximum(longest - (plain * plain).sum(1), 0))])
-        self.norms = (self.x * self.x).sum(1)
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF, seed: int = 7):
+        self.x, self.ids, self.leaf = x, ids, leaf
+        self.lengths = np.sqrt(np.square(x).sum(1))
         self.random = np.random.default_rng(seed)
-        self.root = self._grow(np.arange(len(plain)))
-
-    def _far(self, q: np.ndarray, q_norms: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(q_norms[:, None] + self.norms[rows] - 2 * (q @ self.x[rows].T), 0))
+        self.root = self._grow(np.arange(len(x)))
+        del self.random
 
     def _grow(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
         v = rows[self.random.integers(len(rows))]
-        far = self._far(self.x[v : v + 1], self.norms[v : v + 1], rows)[0]
+        far = _far(self.x[v : v + 1], self.x[rows])[0]
         order = np.argpartition(far, len(rows) // 2)
-        near, rest = order[: len(rows) // 2], order[len(rows) // 2 :]
-        # distances from the vantage point within each side: tighter than the median alone
-        return (v, (far[near].min(), far[near].max()), (far[rest].min(), far[rest].max()), self._grow(rows[near]), self._grow(rows[rest]))
+        # (least and greatest distance from the vantage point, longest vector, subtree) of each side
+        return (v, *((far[side].min(), far[side].max(), self.lengths[rows[side]].max(), self._grow(rows[side])) for side in (order[: len(rows) // 2], order[len(rows) // 2 :])))
 
-    def search(self, q: np.ndarray, k: int, factor: float = 1.0, skip: np.ndarray | None = None):
+    def search(self, q: np.ndarray, k: int, factor: float = 1.0, skip: np.ndarray | None = None, floor: np.ndarray | None = None):
         """(inner products, rows) of the k first of each query by inner product, ties by the smaller id; missing ones
-        are -inf and -1. ``skip``: the id that each query must not find."""
-        self.q, self.k, self.factor, self.skip = np.column_stack([q, np.zeros(len(q))]), k, factor, skip
-        self.q_plain, self.q_norms = q, (q * q).sum(1)
+        are -inf and -1. ``skip``: the id that each query must not find. ``floor``: products below it need not be found."""
+        self.q, self.k, self.factor, self.skip = q, k, factor, skip
+        self.q_len = np.sqrt(np.square(q).sum(1))
         self.best, self.rows = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-        # what rounding may add to an inner product, and to distances that are compared
-        self.hair = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (self.q_norms + self.longest)
-        self.slack = 4 * np.sqrt(self.hair) + 1e-9
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor
         self.visited = 0
-        if len(self.plain):
+        if len(self.x):
             self._visit(self.root, np.arange(len(q)))
         return self.best, self.rows
 
+    def _least(self, active: np.ndarray) -> np.ndarray:
+        return np.maximum(self.best[active].min(1), self.floor[active])
+
     def _products(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Of pairs of a query and a row, in one order of summation: equal vectors have equal ones."""
-        step = max((1 << 22) // max(self.plain.shape[1], 1), 1)
-        return np.concatenate([np.zeros(0), *((self.q_plain[at[i : i + step]] * self.plain[rows[i : i + step]]).sum(1) for i in range(0, len(at), step))])
+        step = max((1 << 22) // max(self.x.shape[1], 1), 1)
+        return np.concatenate([np.zeros(0), *((self.q[at[i : i + step]] * self.x[rows[i : i + step]]).sum(1) for i in range(0, len(at), step))])
 
     def _leaf(self, node: np.ndarray, active: np.ndarray) -> None:
-        rough = self.q_plain[active] @ self.plain[node].T
+        rough = self.q[active] @ self.x[node].T
         self.visited += rough.size
+        with np.errstate(over="ignore", invalid="ignore"):
+            hair = 16 * (self.x.shape[1] + 4) * np.finfo(float).eps * self.q_len[active] * self.lengths[node].max()
+            hair = np.where(np.isfinite(hair), hair, np.inf)
+        rough = np.where(np.isnan(rough), np.inf, rough)
         if self.skip is not None:
             rough[self.ids[node][None, :] == self.skip[active, None]] = -np.inf
         # ties at the k-th place stay, and what rounding could bring there
-        least = self.best[active].min(1)
+        least = self._least(active)
         if len(node) >= self.k:
             least = np.maximum(least, np.partition(rough, len(node) - self.k, 1)[:, len(node) - self.k])
-        at, column = np.nonzero((rough >= (least - 2 * self.hair[active])[:, None]) & (rough > -np.inf))
+        with np.errstate(invalid="ignore"):
+            cut = least - 2 * hair
+        at, column = np.nonzero(((rough >= cut[:, None]) | np.isnan(cut)[:, None]) & (rough > -np.inf))
         if not len(at):
             return
         touched = np.unique(at)
@@ -93,68 +126,174 @@ class VpTree:
         if not isinstance(node, tuple):
             self._leaf(node, active)
             return
-        v, near, rest, inner, outer = node
-        far = self._far(self.q[active], self.q_norms[active], np.array([v]))[:, 0]
-
-        def open_(span):
-            least = np.maximum(np.maximum(far - span[1], span[0] - far), 0)
-            bound = np.sqrt(np.maximum(self.q_norms[active] + self.longest - 2 * self.best[active].min(1), 0))
-            # rounding may not cut, nor may a tie be cut: a hair is left
-            return least * (1 - 1e-12) <= self.factor * bound + self.slack[active]
-
-        inside = far <= (near[1] + rest[0]) / 2
-        for side, first in ((inner, inside), (outer, ~inside), (outer, inside), (inner, ~inside)):
-            go = first & open_(near if side is inner else rest)
+        v, *sides = node
+        far = _far(self.q[active], self.x[v : v + 1])[:, 0]
+        dot = self.q[active] @ self.x[v]
+        bound = [_bounds(far, dot, self.q_len[active], low, high, longest, self.factor) for low, high, longest, _ in sides]
+        first = bound[0] >= bound[1]
+        # the side of the greater bound first
+        for i, turn in ((0, first), (1, ~first), (1, first), (0, ~first)):
+            go = turn & (bound[i] >= self._least(active))
             if go.any():
-                self._visit(side, active[go])
+                self._visit(sides[i][3], active[go])
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    vector = F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where("vec_id is not null and v is not null")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(finite & F.exists("v", lambda x: x != 0)).withColumn("size", F.size("v"))
+
+
+def _celled(rows: DataFrame, pivots) -> DataFrame:
+    """``rows`` with the cell of the nearest pivot and the distance from it."""
 
+    def run(batches):
+        points = pivots.value
+        for batch in batches:
+            sizes = batch.column(2).to_numpy()
+            cell, far, length = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x, own = _vectors(batch.column(1).take(pa.array(at)), size), points[size]
+                for a in range(0, len(at), 1024):
+                    part = x[a : a + 1024]
+                    nearest_ = _nearest_pivot(part, own[1])
+                    cell[at[a : a + 1024]] = own[0] + nearest_
+                    far[at[a : a + 1024]] = np.sqrt(np.square(part - own[1][nearest_]).sum(1))
+                length[at] = np.sqrt(np.square(x).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(length)], ["vec_id", "v", "size", "cell", "far", "length"])
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    return rows.select("vec_id", "v", "size").mapInArrow(run, "vec_id long, v array<double>, size int, cell long, far double, length double")
+
+
+def _nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Which cell a vector is in decides nothing but speed, so rounding may choose."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(np.square(pivots).sum(1) - 2 * (x @ pivots.T), nan=np.inf).argmin(1)
+
+
+def _pivots(rows: DataFrame, cells: int) -> dict[int, tuple[int, np.ndarray]]:
+    """First cell number and pivots of each dimension: vectors of least hashed ids, ``cells`` in all, but one for each
+    dimension at least (a table has few)."""
+    per_size = Window.partitionBy("size").orderBy(F.xxhash64("vec_id"), "vec_id")
+    some = rows.withColumn("k", F.row_number().over(per_size)).where(F.col("k") <= cells).select("size", "k", "v")
+    found: dict[int, list] = {}
+    for r in some.orderBy("k", "size").limit(cells).collect():
+        found.setdefault(r["size"], []).append(r["v"])
+    for r in some.where("k = 1").collect():
+        found.setdefault(r["size"], [r["v"]])
+    out, first = {}, 0
+    for size in sorted(found):
+        points = np.unique(np.array(found[size]), axis=0)
+        out[size] = (first, points)
+        first += len(points)
+    return out
+
+
+def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, shard: int = SHARD, cells: int = CELLS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Returns query_id, rank (from 1), vec_id, score: for each row whose id is divisible by ``every``, its ``k``
     nearest other rows by inner product in double precision, nearest first, ties to the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; those
     of another dimension than the query's are no candidates. Rows with the same id as the query are none either; other
-    rows with one id are candidates each. With fewer than ``k`` candidates all are returned. An empty table gives an
-    empty result; other columns are ignored.
+    rows with one id are candidates each. With fewer than ``k`` candidates all are returned; query rows with one id get
+    ``k`` together. An empty table gives an empty result; other columns are ignored.
 
-    Shards follow the id's hash, and their number the table. Each block of queries meets each shard in a task of its
-    own; at most ``k`` rows of a query come back from it, and the last step ranks those.
+    The number of shards follows the table. A block of queries meets a shard in a task of its own; at most ``k`` rows of
+    a query come back from it. A cell that holds a third of all vectors has a third of the shards.
     """
     spark = df.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where("vec_id is not null and v is not null")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0)).withColumn("size", F.size("v"))
-    n, longest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards = parts_for(n, shard, 1)
-    longest = longest or 0.0
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = parts_for(max(n // every, 1), QUERY_BLOCK, 1)
-    own = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    own = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def run(key, candidates: pa.Table, questions: pa.Table) -> pa.Table:
+    rows = _usable(df, id_col, vector_col)
+    n = rows.count()
+    pivots = spark.sparkContext.broadcast(_pivots(rows, min(cells, parts_for(n, shard, 1))))
+    celled = written(_celled(rows, pivots), "cells")
+    # of each cell: its shards, distances and longest vector; as many rows as there are pivots
+    facts = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("length").alias("longest")).collect()}
+    about = spark.sparkContext.broadcast({c: (parts_for(r["n"], shard, 1), r["low"], r["high"], r["longest"]) for c, r in facts.items()})
+    dealt = spark.createDataFrame([(c, v[0]) for c, v in about.value.items()], "cell long, shards int")
+    shards = celled.join(F.broadcast(dealt), "cell").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+
+    def build(table: pa.Table) -> pa.Table:
+        size = table["size"][0].as_py()
+        tree = VpTree(_vectors(table["v"], size), table["vec_id"].to_numpy())
+        return pa.table([table["cell"][:1], table["shard"][:1], pa.array([pickle.dumps(tree)], pa.binary())], ["cell", "shard", "tree"])
+
+    trees = written(shards.select("cell", "shard", "size", "vec_id", "v").groupBy("cell", "shard").applyInArrow(build, "cell long, shard int, tree binary"), "trees")
+    blocks = parts_for(n // every, QUERY_BLOCK, 1)
+    queries = celled.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def routes(batches, first: bool):
+        """Cells (and their numbers of shards) that each query visits: that of its best bound, or all others open."""
+        for batch in batches:
+            sizes, out = batch.column(2).to_numpy(), []
+            floors = np.full(len(sizes), -np.inf) if first else batch.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                base, points = pivots.value[size]
+                own = [c for c in range(base, base + len(points)) if c in about.value]
+                count, low, high, longest = (np.array(x) for x in zip(*(about.value[c] for c in own), strict=True))
+                at = np.flatnonzero(sizes == size)
+                for a in range(0, len(at), 256):
+                    some = at[a : a + 256]
+                    q = _vectors(batch.column(1).take(pa.array(some)), size)
+                    centres = points[np.array(own) - base]
+                    q_len = np.sqrt(np.square(q).sum(1))[:, None]
+                    bound = _bounds(_far(q, centres), q @ centres.T, q_len, low, high, longest, factor)
+                    best = bound.argmax(1)
+                    if first:
+                        go = np.zeros(bound.shape, bool)
+                    else:
+                        go = bound >= floors[some, None]
+                    go[np.arange(len(some)), best] = first
+                    i, c = np.nonzero(go)
+                    i, c = np.repeat(i, count[c]), np.repeat(c, count[c])
+                    shard_ = np.arange(len(i)) - np.searchsorted(i * len(own) + c, i * len(own) + c)
+                    out.append((some[i], np.array(own)[c], shard_, floors[some][i]))
+            at, cell, shard_, floor = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
+            for a in range(0, len(at), 8192):
+                part = slice(a, a + 8192)
+                take = pa.array(at[part])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(cell[part].astype(np.int64)), pa.array(shard_[part].astype(np.int32)), pa.array(floor[part].astype(float))],
+                    ["vec_id", "v", "size", "block", "cell", "shard", "floor"],
+                )
+
+    routed = "vec_id long, v array<double>, size int, block int, cell long, shard int, floor double"
+
+    def answer(questions: pa.Table, index: pa.Table) -> pa.Table:
         out = [[], [], []]
-        size = key[2].as_py()
-        if candidates.num_rows and questions.num_rows:
-            ids = candidates["vec_id"].to_numpy()
-            x = candidates["v"].combine_chunks().flatten().to_numpy().reshape(-1, size)
-            tree = VpTree(x, ids, longest)
-            q_ids = questions["vec_id"].to_numpy()
-            q = questions["v"].combine_chunks().flatten().to_numpy().reshape(-1, size)
+        if questions.num_rows and index.num_rows:
+            tree = pickle.loads(index["tree"][0].as_py())
+            q, q_ids, floors = _vectors(questions["v"], questions["size"][0].as_py()), questions["vec_id"].to_numpy(), questions["floor"].to_numpy()
             for at in range(0, len(q), BATCH):
-                part, part_ids = q[at : at + BATCH], q_ids[at : at + BATCH]
-                scores, found = tree.search(part, k, factor, part_ids)
+                part = slice(at, at + BATCH)
+                scores, found = tree.search(q[part], k, factor, q_ids[part], floors[part])
                 at_q, at_k = np.nonzero(found >= 0)
-                out[0].append(part_ids[at_q])
-                out[1].append(ids[found[at_q, at_k]])
+                out[0].append(q_ids[part][at_q])
+                out[1].append(tree.ids[found[at_q, at_k]])
                 out[2].append(scores[at_q, at_k])
         columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    keys, columns = ["shard", "block", "size"], ["shard", "block", "size", "vec_id", "v"]
-    found = own.select(*columns).groupBy(*keys).cogroup(asked.select(*columns).groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    keys = ["cell", "shard", "block"]
+
+    def found_by(asked: DataFrame) -> DataFrame:
+        met = asked.groupBy(*keys).cogroup(trees.withColumn("block", each).groupBy(*keys))
+        return met.applyInArrow(answer, "query_id long, vec_id long, score double")
+
+    near = written(found_by(queries.mapInArrow(lambda b: routes(b, True), routed)), "home")
+    floor = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).alias("floor"))
+    rest = queries.join(floor.withColumnRenamed("query_id", "vec_id").dropDuplicates(["vec_id"]), "vec_id", "left").select("vec_id", "v", "size", "block", "floor")
+    return _ranked(near.unionByName(found_by(rest.mapInArrow(lambda b: routes(b, False), routed))), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank: Column = F.row_number().over(order)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
