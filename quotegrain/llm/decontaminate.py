@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
 A text's words are runs of letters and digits, lower-cased. A document leaks an item if ``WINDOW`` words in a row of
-one equal as many of the other, place by place, but for at most ``SUBSTITUTIONS``; an item of fewer words must occur
-whole. Spaced seeds find these windows: a mask names the places of a window that are hashed and ignores the others, so
-a substituted word at an ignored place doesn't matter. ``masks`` builds a family of which every pattern of
-substitutions leaves one mask untouched, so nothing is lost. Equal hashes of test and training texts are joined, and
-the windows around each hit are compared word by word.
+one equal as many of the other, place by place, but for at most ``SUBSTITUTIONS``; an item of ``LEAST_WORDS`` words or
+more, but fewer than a window, must occur whole but for one; a shorter one is no evidence. Spaced seeds find these
+windows: a mask names the places of a window that are hashed and ignores the others, so a substituted word at an ignored
+place doesn't matter. ``masks`` builds a family of which every pattern of substitutions leaves one mask untouched, so
+nothing is lost. Seeds of training texts are first looked up in a filter of all test seeds, of a bounded number of bits;
+those that pass are joined with the test seeds, and the words around each hit are compared.
 """
 
 from __future__ import annotations
@@ -16,16 +17,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import IS_SPACE, mix, ranges, text_chunks, word_bounds, word_hashes
+from .common import IS_SPACE, mix, ranges, text_chunks, word_bounds, word_hashes, written
 
 WINDOW = 13
 SUBSTITUTIONS = 2
 #: Places of a window that a mask hashes.
 WEIGHT = 6
-#: Words of benchmark text that are sent to the tasks at a time; a larger benchmark takes more passes.
-BLOCK_WORDS = 500_000
+#: Items of fewer words than this are left out; from here to a window they may differ in ``SHORT_SUBSTITUTIONS`` words.
+LEAST_WORDS = 8
+SHORT_SUBSTITUTIONS = 1
+#: The filter has so many bits (a power of two) for each test seed, but 2 ** FILTER_MOST (16 MB) at most.
+FILTER_EACH = 1 << 10
+FILTER_MOST = 27
 
 _APART = IS_SPACE.copy()
 _APART[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -54,108 +60,142 @@ def _seed(hashes: np.ndarray, starts: np.ndarray, mask: tuple[int, ...], salt: i
 
 
 def _words(batch, column: str):
-    """(first row, one past the last, hashes of all words, index of each row's first word) of runs of rows."""
+    """(first row, bytes, starts and ends of all words, their hashes, index of each row's first word) of runs of rows."""
     lower = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(column))], [column])
-    for a, b, data, offsets in text_chunks(lower, column):
+    for a, _, data, offsets in text_chunks(lower, column):
         starts, ends, firsts = word_bounds(data, offsets, _APART)
-        yield a, b, word_hashes(data, starts, ends), firsts
-
-
-class _Index:
-    """Seeds of a block of benchmark items, sorted, with a table of their leading bits to skip most look-ups."""
-
-    def __init__(self, items: list[int], hashes: list[np.ndarray], window: int, substitutions: int, weight: int):
-        self.window, self.substitutions = window, substitutions
-        self.items = np.array(items, np.int64)
-        self.words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.firsts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
-        lengths = np.diff(self.firsts)
-        #: (length of the window, substitutions, mask): long items by the masks, short ones whole
-        self.shapes = [(window, substitutions, m) for m in masks(window, substitutions, weight)] if (lengths >= window).any() else []
-        self.shapes += [(int(n), 0, tuple(range(n))) for n in np.unique(lengths) if 0 < n < window]
-        self.tables = []
-        for salt, (n, _, mask) in enumerate(self.shapes):
-            of = np.flatnonzero(lengths >= window if n == window else lengths == n)
-            starts = ranges(self.firsts[of], lengths[of] - n + 1)
-            owner = np.repeat(of, lengths[of] - n + 1)
-            seeds = _seed(self.words, starts, mask, salt + 1)
-            order = np.argsort(seeds, kind="stable")
-            lead = np.zeros(1 << 20, bool)
-            lead[(seeds >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((seeds[order], starts[order], owner[order], lead))
-
-    def hits(self, hashes: np.ndarray, firsts: np.ndarray):
-        """(row, item, start in row, length, substitutions) of each verified window."""
+        yield a, data, starts, ends, word_hashes(data, starts, ends), firsts
+
+
+def shapes(lengths, window: int, substitutions: int, weight: int, least: int) -> list[tuple[int, int, tuple[int, ...], int]]:
+    """(words of the window, substitutions, mask, salt) that items of these lengths are looked for with."""
+    out = []
+    for n in sorted({min(n, window) for n in lengths if n >= least or n >= window}):
+        most = substitutions if n == window else min(SHORT_SUBSTITUTIONS, n - 1)
+        out += [(n, most, mask, n * 1024 + i) for i, mask in enumerate(masks(n, most, weight))]
+    return out
+
+
+def _seed_rows(batch, plan, passes=None):
+    """(row, word in row, shape, seed, words) of the windows of each row whose seed ``passes``."""
+    for a, data, starts, ends, hashes, firsts in _words(batch, "text"):
         lengths = np.diff(firsts)
-        found = []
-        for salt, ((n, most, mask), (seeds, at, owner, lead)) in enumerate(zip(self.shapes, self.tables, strict=True)):
+        for shape, (n, _, mask, salt) in enumerate(plan):
             rows = np.flatnonzero(lengths >= n)
-            starts = ranges(firsts[rows], lengths[rows] - n + 1)
-            if not len(starts):
+            at = ranges(firsts[rows], lengths[rows] - n + 1)
+            if not len(at):
+                continue
+            seeds = _seed(hashes, at, mask, salt)
+            on = np.arange(len(at)) if passes is None else passes(seeds)
+            if not len(on):
                 continue
-            value = _seed(hashes, starts, mask, salt + 1)
-            maybe = np.flatnonzero(lead[(value >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(seeds, value[maybe]), np.searchsorted(seeds, value[maybe], "right")
-            count = high - low
-            here, there = np.repeat(starts[maybe], count), ranges(low, count)
-            for k in range(0, len(here), 1 << 16):
-                h, t = here[k : k + (1 << 16)], at[there[k : k + (1 << 16)]]
-                wrong = np.zeros(len(h), np.int64)
-                for j in range(n):
-                    wrong += hashes[h + j] != self.words[t + j]
-                good = wrong <= most
-                row = np.searchsorted(firsts, h[good], "right") - 1
-                found.append(np.stack([row, self.items[owner[there[k : k + (1 << 16)][good]]], h[good] - firsts[row], np.full(good.sum(), n), wrong[good]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 5), np.int64)
+            row = np.searchsorted(firsts, at[on], "right") - 1
+            texts = [b" ".join(data[x:y].tobytes() for x, y in zip(starts[k : k + n].tolist(), ends[k : k + n].tolist(), strict=True)) for k in at[on].tolist()]
+            yield a + row, at[on] - firsts[row], np.full(len(on), shape), seeds[on].view(np.int64), texts
+
+
+def _positions(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``2 ** bits`` bits."""
+    shift = np.uint64(64 - bits)
+    return seeds >> shift, mix(seeds * np.uint64(0xD6E8FEB86659FD93)) >> shift
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Words of 64 bits; what reaches the driver is ``2 ** bits`` bits at most, however many seeds there are."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits)))
+            word, value = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            firsts = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+            merged = np.bitwise_or.reduceat(value, firsts) if len(firsts) else value
+            yield pa.RecordBatch.from_arrays([pa.array(word[firsts]), pa.array(merged.view(np.int64))], ["word", "value"])
+
+    found = seeds.select("seed").mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(1 << max(bits - 6, 0), np.uint64)
+    out[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
+    return out
+
+
+_SEEDS = "seed long, shape int, words binary"
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-          window: int = WINDOW, substitutions: int = SUBSTITUTIONS, weight: int = WEIGHT) -> DataFrame:
+          window: int = WINDOW, substitutions: int = SUBSTITUTIONS, weight: int = WEIGHT, least_words: int = LEAST_WORDS) -> DataFrame:
     """Returns one row (id, item_id, n_windows, first_word, last_word, substitutions) for each document and item that
     share a window: how many windows of the document match, the span of its words that they cover, and the least
     number of substitutions. Documents without a leak have no row.
 
     Null or empty texts and items share nothing; items or documents with a null id are left out. Rows with the same id
     count as one document, whose windows are added up. Empty tables give an empty result. Other columns are ignored.
-    The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (and one item), so it may be any size.
+    Either table may be of any size: test seeds are made, filtered and joined by Spark, which broadcasts them only while
+    its own size estimate allows it, and splits a seed that very many texts have.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-
-    def search(block):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches):
-            index = _Index(*sent.value, window, substitutions, weight)
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for a, _, hashes, firsts in _words(batch, "text"):
-                    found = index.hits(hashes, firsts)
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + found[:, 0]]), *(pa.array(np.ascontiguousarray(found[:, i])) for i in (1, 2, 3, 4))], ["doc_id", "item_id", "at", "n", "wrong"])
-
-        return docs.mapInArrow(run, "doc_id long, item_id long, at long, n long, wrong long")
-
-    blocks, items, hashes, size = [], [], [], 0
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text)).where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
-    for item, text in rows.toLocalIterator():
-        batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
-        for _, _, own, _ in _words(batch, "text"):
-            items.append(item), hashes.append(own)
-            size += len(own)
-        if size >= BLOCK_WORDS:
-            blocks.append(search((items, hashes)))
-            items, hashes, size = [], [], 0
-    if items or not blocks:
-        blocks.append(search((items, hashes)))
-    found = blocks[0]
-    for more in blocks[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("doc_id", "item_id").agg(
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
+
+    def lengths(batches):
+        for batch in batches:
+            some = {min(int(n), window) for *_, firsts in _words(batch, "text") for n in np.diff(firsts)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.int32())], ["n"])
+
+    # at most as many lengths as a window has words
+    plan = shapes([r.n for r in items.select("text").mapInArrow(lengths, "n int").distinct().collect()], window, substitutions, weight, least_words)
+
+    def test_seeds(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            sizes: dict[int, int] = {}
+            for a, *_, firsts in _words(batch, "text"):
+                sizes |= {a + i: int(n) for i, n in enumerate(np.diff(firsts))}
+            for row, _, shape, seed, words in _seed_rows(batch, plan):
+                # a short window is a whole item
+                fit = [i for i, (r, k) in enumerate(zip(row.tolist(), shape.tolist(), strict=True)) if plan[k][0] == min(sizes[r], window)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[fit]]), pa.array(seed[fit]), pa.array(shape[fit], pa.int32()), pa.array([words[i] for i in fit], pa.binary())], ["item_id", "seed", "shape", "words"])
+
+    seeds = written(items.mapInArrow(test_seeds, f"item_id long, {_SEEDS}").distinct(), "seeds")
+    bits = min(max(seeds.count() * FILTER_EACH, 1 << 12).bit_length(), FILTER_MOST)
+    sent = spark.sparkContext.broadcast(_filter(seeds, bits))
+
+    def passes(value: np.ndarray) -> np.ndarray:
+        def on(at):
+            return (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+        first = np.flatnonzero(on(value >> np.uint64(64 - bits)))
+        return first[on(_positions(value[first], bits)[1])]
+
+    def text_seeds(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for row, at, shape, seed, words in _seed_rows(batch, plan, passes):
+                yield pa.RecordBatch.from_arrays([pa.array(number + row), pa.array(ids[row]), pa.array(at), pa.array(seed), pa.array(shape, pa.int32()), pa.array(words, pa.binary())], ["row", "doc_id", "at", "seed", "shape", "words"])
+            number += batch.num_rows
+
+    def verified(batches):
+        for batch in batches:
+            shape, wrong = batch.column(4).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                wrong[i] = 0 if x == y else sum(p != q for p, q in zip(x.split(b" "), y.split(b" "), strict=True))
+            good = np.flatnonzero(wrong <= np.array([most for _, most, _, _ in plan])[shape]) if len(shape) else shape
+            some = batch.take(pa.array(good, pa.int64()))
+            n = np.array([n for n, *_ in plan], np.int64)[shape[good]] if len(shape) else wrong
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(n), pa.array(wrong[good])], ["row", "doc_id", "item_id", "at", "n", "wrong"])
+
+    met = docs.mapInArrow(text_seeds, f"row long, doc_id long, at long, {_SEEDS}").join(seeds.withColumnRenamed("words", "other"), ["seed", "shape"])
+    found = met.select("row", "doc_id", "item_id", "at", "shape", "words", "other").mapInArrow(verified, "row long, doc_id long, item_id long, at long, n long, wrong long") if plan else None
+    if found is None:
+        found = spark.createDataFrame([], "row long, doc_id long, item_id long, at long, n long, wrong long")
+    # a window is found by several masks, and may be like several windows of an item
+    once = found.groupBy("row", "doc_id", "item_id", "at", "n").agg(F.min("wrong").alias("wrong"))
+    return once.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_windows"), F.min("at").alias("first_word"), F.max(F.col("at") + F.col("n") - 1).alias("last_word"), F.min("wrong").alias("substitutions")
     ).withColumnRenamed("doc_id", id_col)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``df`` without the documents that leak an item; a document with a null id stays."""
-    return df.join(leaks(df, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
+    """``df`` without the documents that leak an item; a document with a null id stays. Ids that leak are written first,
+    so that Spark knows their size and sends them to the texts if they are few."""
+    gone = written(leaks(df, benchmark, id_col, **options).select(id_col).distinct(), "leaking")
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
