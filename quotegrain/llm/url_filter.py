@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, joined to rules on short hash prefixes, then confirmed.
 
 A URL is expanded into one expression for each suffix of its host (on label boundaries) and each prefix of its path
-that ends in ``/`` (and the empty one). A rule is filed under its host and the part of its path up to the last ``/``;
+that ends in ``/`` (and the empty one), as deep as any rule is. A rule is filed under its host and the part of its path up to the last ``/``;
 what follows is confirmed with the full digest. So any rule path is a plain string prefix, whatever it ends in.
 """
 
@@ -28,16 +28,16 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: str, labels: int) -> Column:
+    """The last 1, 2, ... and at most ``labels`` labels of a host column."""
+    many = f"least({labels}, length({host}) - length(replace({host}, '.', '')) + 1)"
+    return F.expr(f"transform(sequence(1, {many}), i -> substring_index({host}, '.', -i))")
 
 
-def _prefixes(path: Column) -> Column:
-    """The empty prefix and each that ends in a slash."""
-    parts = F.split(path, "/", -1)
-    steps = F.sequence(F.lit(0), F.size(parts) - 1)
-    return F.transform(steps, lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+def _prefixes(path: str, slashes: int) -> Column:
+    """The empty prefix of a path column, and those that end in its first ``slashes`` slashes."""
+    many = f"least({slashes}, length({path}) - length(replace({path}, '/', '')))"
+    return F.expr(f"transform(sequence(0, {many}), i -> if(i = 0, '', substring_index({path}, '/', i) || '/'))")
 
 
 def _digest(host: Column, prefix: Column) -> Column:
@@ -53,7 +53,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", id_col: str =
     fits no rule with a host. Rules with a null verdict or host are left out, a null path is empty. Repeated rows are
     judged each; an empty table gives an empty result. Other columns of ``df`` are ignored, so their names can't clash.
 
-    Rows are joined on expression hashes: distinct (host, path expression) pairs are matched, not rows, so a hot host
+    A URL is expanded as far as the rules go: to the most labels and slashes that any has, so a long host or path costs
+    no more than a short one. Rows are joined on expression hashes: distinct (host, path expression) pairs are matched, not rows, so a hot host
     costs as much as any other. Catalyst broadcasts the rules only while its own size estimate allows it.
     """
     urls = df.select(F.col(id_col).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
@@ -64,11 +65,15 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", id_col: str =
         .withColumn("prefix", F.substring("rule_digest", 1, 2 * PREFIX_BYTES))
         .distinct()
     )
+    most = filed.agg(
+        F.max(F.size(F.split("rule_host", r"\.", -1))), F.max(F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/"), F.lit(""))))
+    ).first()
+    labels, slashes = most[0] or 1, most[1] or 0
     # A rule's path may continue past its last slash, so whole paths are kept for confirmation.
     hits = (
         urls.select("host", "path").distinct()
-        .withColumn("suffix", F.explode(_suffixes(F.col("host"))))
-        .withColumn("folder", F.explode(_prefixes(F.col("path"))))
+        .withColumn("suffix", F.explode(_suffixes("host", labels)))
+        .withColumn("folder", F.explode(_prefixes("path", slashes)))
         .withColumn("digest", _digest(F.col("suffix"), F.col("folder")))
         .withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
         .join(filed, "prefix")
