@@ -8,8 +8,6 @@ texts: presence by landmark, then landmark by language. There is no shuffle at p
 
 from __future__ import annotations
 
-import pickle
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +23,7 @@ LANDMARKS = 128
 RIDGE = 1e-3
 #: Sharpness of the score: softmax of ridge outputs times this.
 SHARPNESS = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
-_BATCH = 128
+_BATCH = 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -53,7 +50,8 @@ def mark(text: str, row: np.ndarray) -> None:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """A letter in Unicode's sense: marks, digits, fractions and circled numbers are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
@@ -102,10 +100,14 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Fits on texts with a letter and a language; None if there is none. What reaches the driver is bounded:
-    ``per_language`` rows of at most ``DIMS`` feature numbers for each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ``per_language`` rows of at most ``DIMS`` feature numbers for each language, those of least hashed id and text.
+    Rows with one id and different texts count each; repeated rows of one id, text and language count once."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    chosen = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
+    named = named.withColumn("key", F.xxhash64("text"))
+    # repeated rows share a rank, so as many different ones as asked for are ranked
+    ranked = named.select("doc_id", "lang", "key").withColumn("k", F.dense_rank().over(order))
+    chosen = ranked.where(F.col("k") <= per_language).distinct()
 
     def spectra(batches):
         for batch in batches:
@@ -120,7 +122,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             some = batch.take(pa.array(kept, pa.int32()))
             yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(on, pa.binary())], ["lang", "k", "features"])
 
-    rows = named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang", "k").mapInArrow(spectra, "lang string, k int, features binary")
+    met = named.join(F.broadcast(chosen), ["doc_id", "lang", "key"])
+    once = met.groupBy("lang", "k").agg(F.min("text").alias("text"))
+    rows = once.select("text", "lang", "k").mapInArrow(spectra, "lang string, k int, features binary")
     found = sorted((r.lang, r.k, bytes(r.features)) for r in rows.toLocalIterator())
     return fit([(lang, np.frombuffer(on, "<i4")) for lang, _, on in found], landmarks) if found else None
 
@@ -133,11 +137,11 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     an empty result. The whole text counts.
     """
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = df.sparkSession.sparkContext.broadcast(model)
     at = kept.index(text_col)
 
     def run(batches):
-        m = pickle.loads(sent.value)
+        m = sent.value
         for batch in batches:
             for part in range(0, batch.num_rows, _BATCH):
                 some = batch.slice(part, _BATCH)
