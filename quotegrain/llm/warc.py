@@ -198,14 +198,16 @@ def _parsed(batches):
 
 
 def _assembled(batches):
-    """Rows of whole blocks become records: HTTP header cut off, chunked framing decoded, digest compared."""
+    """Rows of the blocks of a record, in order, become records: HTTP header cut off, chunked framing decoded, digest compared."""
     names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload", "complete"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
-            head, _, body = r["block"].partition(b"\r\n\r\n")
-            whole = r["total_length"] is None or r["total_length"] == len(r["block"])
+        for i in range(batch.num_rows):
+            r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+            block = b"".join(r.pop("blocks"))
+            head, _, body = block.partition(b"\r\n\r\n")
+            whole = r["total_length"] is None or r["total_length"] == len(block)
             if r["record_type"] == "revisit":
                 rows.append((r["record_id"], "revisit", r["target_uri"], r["payload_digest"], r["refers_to"], r["payload_length"], None, True))
                 continue
@@ -238,9 +240,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         "record_id", "record_type", "target_uri", "payload_digest",
         F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("long").alias("payload_length"),
         F.when(in_order & F.col("total_length").isNotNull(), F.col("total_length")).otherwise(F.lit(-1)).alias("total_length"),
-        F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")).alias("block"),
+        F.col("parts.block").alias("blocks"),
     )
-    single = single.select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_length", "total_length", "block")
+    single = single.select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_length", "total_length", F.array("block").alias("blocks"))
     return single.unionByName(joined).mapInArrow(_assembled, RECORD_SCHEMA)
 
 
