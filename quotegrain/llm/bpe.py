@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import tokenizer_path
 
 #: Pre-tokens whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 80_000
+#: Pairs of tokens of which a Python worker knows whether they fit.
+FITS = 300_000
 #: Unicode white space, as the tokenizer's normaliser has it (not the ASCII separators that Python adds).
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _END = "\x00"  # stands for the end of a word; the byte alphabet has no such character
@@ -103,7 +105,7 @@ class WordBpe:
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
@@ -253,5 +255,6 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                         column.append(value)
                 kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep_ids
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names)
+        load.cache_clear()  # the worker lives on, with other work
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
