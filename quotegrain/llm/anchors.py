@@ -4,7 +4,7 @@ Both substring operators ask this, of 50-byte windows or of 13-word windows. Win
 are not shuffled. Each window holds a shorter gram whose hash is least in it: its anchor. Equal windows have the same
 anchors at the same places, and anchors are few (about two in ``window - gram + 2`` tokens).
 
-* ``packed``: sets of documents, each in compressed pieces of about 2 MB, written once in buckets of the set's number.
+* ``packed``: sets of documents, each in compressed pieces of about 1 MB, written once in buckets of the set's number.
   Later steps recompute anchors from them, and what they ask for comes to them: texts are never shuffled.
 * ``anchor_rows``: per set and bucket of hashes, the distinct anchor hashes of its pieces, a few bytes each. Within a
   piece every hash counts once, so a passage that a third of all documents share costs one entry per piece.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import CHUNK_BYTES, bucketed, mix, parts_for, ranges, shuffle_parts, slide, text_bytes, text_chunks
 
 #: Bytes of text that are worked on at a time, of a set at most, of a bucket of anchor hashes, of a written bucket of sets.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 MOST_SET = 32 << 20
 BUCKET_BYTES = 16 << 20
 FILE_BYTES = 64 << 20

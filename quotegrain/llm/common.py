@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that numpy code handles at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MUL_A = np.uint64(0x9E3779B97F4A7C15)
 _MUL_B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -37,12 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: For tables of few, large rows that are compressed already: small row groups, which a task writes and reads at a time.
+LARGE_ROWS = {"compression": "none", "parquet.block.size": str(2 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
 def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     """The rows of ``df`` as a written table in buckets of ``column``: joins and groups on it need no shuffle of these
     rows. The name in the catalog is dropped at once; the files stay."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, label)
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, column).sortBy(column).options(path=path, **LARGE_ROWS).saveAsTable(name)
     try:
         return spark.table(name)
     finally:

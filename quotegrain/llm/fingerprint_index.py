@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .anchors import HOT, HOT_PIECES, PACKED, SHARED, Scheme, _expand, _runs, _squeeze, anchor_rows, answers, covered, layout, listed, pack, resolve, sent_hashes, shared_bits
-from .common import CHUNK_BYTES, mix, ranges, scratch_dir, text_bytes, word_bounds, word_hashes
+from .common import CHUNK_BYTES, LARGE_ROWS, mix, ranges, scratch_dir, text_bytes, word_bounds, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -158,11 +158,11 @@ class FingerprintIndex:
 
     def _table(self, part: str, schema: str, column: str, rows: DataFrame | None = None) -> DataFrame:
         """The index's table of runs or texts, in buckets of ``column``, after ``rows`` are appended as new files."""
-        name = f"index_{part}_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {self.state['files']} BUCKETS LOCATION '{self.path}/{part}'")
+        name, options = f"index_{part}_{uuid.uuid4().hex}", ", ".join(f"'{k}' '{v}'" for k, v in LARGE_ROWS.items())
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {self.state['files']} BUCKETS OPTIONS ({options}) LOCATION '{self.path}/{part}'")
         try:
             if rows is not None:
-                rows.select(*(c.split()[0] for c in schema.split(", "))).write.insertInto(name)
+                rows.select(*(c.split()[0] for c in schema.split(", "))).write.insertInto(name)  # with the table's options
             return self.spark.table(name)
         finally:
             self.spark.sql(f"DROP TABLE {name}")
