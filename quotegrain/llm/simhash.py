@@ -2,10 +2,10 @@
 
 A fingerprint has eight bytes; two that differ in at most d < 8 bits share at least 8 - d bytes in place. Lists of
 single bytes would hold a 256th of all rows each, so the index is keyed by sets of ``WIDTH`` positions, chosen such
-that any four shared positions contain one of the sets; lists are as short as that allows and no qualifying pair is
-missed. In each list the shared positional bytes of a pair are tallied, pairs with at least 8 - d stay, and their
+that any four shared positions contain one of the sets; no qualifying pair is missed. A list that grows longer than ``BLOCK``
+is split by one more position, which qualifying pairs share too. In each list the shared positional bytes of a pair are tallied, pairs with at least 8 - d stay, and their
 differing bits are counted. Equal fingerprints are one node of the index, so copies cost nothing. A list gives a
-spanning forest of its links, never all pairs of a group; lists longer than ``BLOCK`` are compared block by block.
+spanning forest of its links, never all pairs of a group; lists still longer than ``BLOCK`` are compared block by block.
 
 ``near_duplicates`` links at a number of bits. For links at a similarity of shingle sets fingerprints are too coarse;
 ``similar`` compares the sets themselves (``shingle_sets``).
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, shuffle_parts, written
 from .components import components
-from .shingle_sets import SIMILARITY, similar  # noqa: F401
+from .shingle_sets import SIMILARITY, similar, without_similar  # noqa: F401
 
 MAX_BITS = 4
 WORDS = 4
@@ -145,14 +145,22 @@ def _links(nodes: DataFrame, names: list[str], sets: list[tuple[int, ...]], shar
     """(u0..., v0...) of distinct fingerprints in the columns ``names``, listed by ``sets`` of byte positions."""
     spark, width = nodes.sparkSession, len(names)
 
+    def byte(i):
+        return F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(255)
+
     def key(k, t):
         value = F.lit(k).cast("long")
         for i in t:
-            byte = F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(255)
-            value = F.shiftleft(value, 8).bitwiseOR(byte) if len(t) < 7 else F.xxhash64(value, byte)
+            value = F.shiftleft(value, 8).bitwiseOR(byte(i)) if len(t) < 7 else F.xxhash64(value, byte(i))
         return value
 
-    index = nodes.select(*names, F.explode(F.array(*(key(k, t) for k, t in enumerate(sets)))).alias("key"))
+    lists = [F.struct(F.lit(k).alias("k"), key(k, t).alias("key")) for k, t in enumerate(sets)]
+    index = nodes.select(*names, F.explode(F.array(*lists)).alias("l")).select(*names, "l.k", "l.key")
+    # members of a long list are listed anew by one more position: pairs that qualify share one outside the set
+    long = written(index.groupBy("key").count().where(F.col("count") > BLOCK).select("key"), "lists")
+    more = [F.array(*(F.xxhash64("key", F.lit(i), byte(i)) for i in range(8 * width) if i not in t)) if len(t) < shared else F.array(F.col("key")) for t in sets]
+    anew = index.join(long, "key", "left_semi").select(*names, F.explode(F.get(F.array(*more), F.col("k"))).alias("key"))
+    index = index.join(long, "key", "left_anti").select(*names, "key").unionByName(anew)
     large = index.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = written(large, "lists")
     own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
