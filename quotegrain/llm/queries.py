@@ -60,6 +60,34 @@ QUERIES = {
     for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_simhash, op7_bpe, op8_decontamination, op9_warc, op10_url_filter)
 }
 
+_OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(i)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT r, i, sum((before IS NULL OR i > before + 50)::INTEGER) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans),
+kept AS (SELECT r, sum(b - a)::BIGINT AS gone, count(*) AS n, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+_OP8_SQL = r"""
+WITH words AS (SELECT 'item' AS side, item_id AS id, row_number() OVER () AS r, lower(text) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+               UNION ALL SELECT 'doc', doc_id, row_number() OVER (), lower(text) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT side, id, r, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM words),
+nn AS (SELECT DISTINCT least(len(ws), {window}) AS n, CASE WHEN len(ws) >= {window} THEN {most} ELSE {few} END AS most FROM w WHERE side = 'item' AND len(ws) >= {least}),
+-- a window of n words that differs in so many has one part of most + 1 unchanged
+v AS (SELECT side, id, r, n, most, i, list_slice(ws, i + 1, i + n) AS v FROM w JOIN nn ON len(ws) >= n AND (side = 'doc' OR n = least(len(ws), {window})), unnest(range(0, len(ws) - n + 1)) AS t(i)),
+p AS (SELECT *, list_slice(v, j * n // (most + 1) + 1, (j + 1) * n // (most + 1)) AS key FROM v, unnest(range(0, most + 1)) AS t(j)),
+m AS (SELECT a.id AS doc_id, a.r, b.id AS item_id, a.i, a.n, a.most, list_sum(list_transform(range(1, a.n + 1), lambda x: (a.v[x] <> b.v[x])::INTEGER)) AS wrong
+      FROM p a JOIN p b ON a.side = 'doc' AND b.side = 'item' AND a.n = b.n AND a.j = b.j AND a.key = b.key),
+o AS (SELECT doc_id, r, item_id, i, n, min(wrong) AS wrong FROM m WHERE wrong <= most GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n_windows, min(i)::BIGINT AS first_word, max(i + n - 1)::BIGINT AS last_word, min(wrong)::BIGINT AS substitutions FROM o GROUP BY doc_id, item_id
+""".format(window=decontaminate.WINDOW, most=decontaminate.SUBSTITUTIONS, few=decontaminate.SHORT_SUBSTITUTIONS, least=decontaminate.LEAST_WORDS)
+
 _OP2_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS s FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
@@ -101,4 +129,4 @@ m AS (SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
 SELECT u.page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND k = 1
 """.format(rules=", ".join(str(r) for r in RULES))
 
-ORACLE_SQL = {"op2_substring_dedup": _OP2_SQL, "op4_nearest_neighbours": _OP4_SQL, "op9_warc": _OP9_SQL, "op10_url_filter": _OP10_SQL}
+ORACLE_SQL = {"op1_suffix_dedup": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_nearest_neighbours": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op9_warc": _OP9_SQL, "op10_url_filter": _OP10_SQL}

@@ -147,7 +147,19 @@ def test_suffix_buckets():
             assert (b[i] == b[j]) == (cut(i) == cut(j))
 
 
-def test_simhash_equals_brute_force(spark):
+def plain_fingerprint(text):
+    """The definition, bit by bit."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    runs = [" ".join(words[k : k + 4]) for k in range(max(len(words) - 3, 1))] if words else []
+    hashes = [xxhash.xxh64(r.encode(), seed=42).intdigest() for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("block", [4096, 3])  # also with nearly every list split and dealt out by blocks
+def test_simhash_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(5)
     words = ["w%d" % k for k in range(200)]
     base = [" ".join(r.choices(words, k=60)) for _ in range(20)]
@@ -156,9 +168,10 @@ def test_simhash_equals_brute_force(spark):
         t = r.choice(base).split()
         t[r.randrange(len(t))] = "Zz"
         rows.append((1000 + k, " ".join(t)))
-    rows += [(5000, None), (5001, ""), (5002, "One two"), (5003, "one  TWO"), (5004, base[0])]
+    rows += [(5000, None), (5001, ""), (5002, "One two"), (5003, "one  TWO"), (5004, base[0]), (5005, "Éa É b\u00a0c " * 3000), (5006, "one\x0bTWO")]
     got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(docs(spark, rows)).collect()}
-    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    assert fps[0] == simhash.fingerprint(rows[0][1].encode())
     ids, parent = list(fps), {i: i for i in fps}
 
     def find(x):
@@ -252,7 +265,7 @@ def test_bpe_equals_the_library(spark):
 def test_token_counts_equal_the_library(spark):
     model = token_count._model("piece_bpe_32k.model")
     r = random.Random(2)
-    pool = [chr(c) for c in range(9, 0x250)] + ["  ", "   ", "▁", "<s>", "the", " the", "\r\n", ";\r", "1", "23", "東"]
+    pool = [chr(c) for c in range(9, 0x250)] + ["  ", "   ", "▁", "<s>", "the", " the", "\r\n", ";\r", "1", "23", "東", "ＡＢ", "ﬁ", "①", "e\u0301", "\u0301", "が", "㌔", "\u200b", "\u00ad", "\x00", "\ufeff", "½", "ｶﾞ", "\u3000", "İ", "한국"]
     rows = [(k, "".join(r.choices(pool, k=r.randint(0, 40)))) for k in range(800)] + [(9999, None), (9998, "word " * 6000), (9997, " ")]
     got = {x.doc_id: x for x in token_count.count_tokens(docs(spark, rows), "piece_bpe_32k.model").collect()}
     for i, t in rows:
@@ -269,30 +282,88 @@ def test_language_id(spark):
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in odd)
 
 
+def test_language_id_equals_plain_ridge(spark):
+    """Kernel, Nystroem map and ridge written out, on the same sample; the sample is bounded whatever the rows."""
+    r = random.Random(7)
+    letters = {"xx": "abcd", "yy": "cdef", "zz": "fgha"}
+    rows = [(i, " ".join("".join(r.choices(letters[lang], k=4)) for _ in range(8)), lang) for i in range(90) for lang in [list(letters)[i % 3]]]
+    rows += [(500, rows[0][1], "xx")] * 300 + [(501, "½ ² ① 12", "xx"), (502, None, "yy"), (None, "abc", "zz"), (503, "abc", None)]  # repeated rows
+    rows += [(600, "ab cd %d" % k, "xx") for k in range(60)]  # one id, many texts
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, per_language=20, landmarks=9)
+
+    def grams(text):
+        t = f" {' '.join(text.lower().split())} "
+        return frozenset(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1))
+
+    taken = {}
+    original = lang_id.fit
+    try:
+        lang_id.fit = lambda found, n: taken.setdefault("rows", found)
+        lang_id.train(df, per_language=20, landmarks=9)
+    finally:
+        lang_id.fit = original
+    assert 3 * 18 <= len(taken["rows"]) <= 60 and model.languages == ["xx", "yy", "zz"]
+    sample = [(lang, frozenset(on.tolist())) for lang, on in taken["rows"]]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    by_lang = [[on for lang, on in sample if lang == x] for x in model.languages]
+    marks = [by_lang[k % 3][k // 3] for k in range(9)]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = values > 1e-6 * values.max()
+    step = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[kernel(on, m) for m in marks] for _, on in sample]) @ step
+    weigh = np.array([1 / sum(lang == other for other, _ in sample) for lang, _ in sample])
+    target = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for lang, _ in sample])
+    beta = np.linalg.solve(phi.T @ (phi * weigh[:, None]) + lang_id.RIDGE * np.eye(phi.shape[1]), (phi * weigh[:, None]).T @ target)
+    texts = [t for _, t, _ in rows[:12]]
+    row = np.zeros(lang_id.DIMS, np.float32)
+    want = []
+    for t in texts:
+        row[:] = 0
+        lang_id.mark(t, row)
+        assert row.sum() <= len(grams(t))
+        on = frozenset(np.flatnonzero(row).tolist())
+        out = np.exp(np.array([kernel(on, m) for m in marks]) @ step @ beta * lang_id.SHARPNESS)
+        want.append((model.languages[out.argmax()], out.max() / out.sum()))
+    got = {x.text: x for x in lang_id.predict(df, model).collect()}
+    for t, (lang, score) in zip(texts, want):
+        assert got[t].lang_pred == lang and abs(got[t].score - score) < 1e-4
+    assert got["½ ² ① 12"].lang_pred == "und" and got[None].score == 0.0
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(4)
     words = ["k%d" % k for k in range(60)]
-    items = [(k, " ".join(r.choices(words, k=r.choice([4, 13, 20, 40])))) for k in range(12)] + [(90, None), (91, "")]
-    rows = [(500, None), (501, "")]
-    for k in range(80):
+    items = [(k, " ".join(r.choices(words, k=r.choice([4, 8, 10, 13, 20, 40])))) for k in range(24)] + [(90, None), (91, ""), (None, "a b c d e f g h i"), (7, " ".join(words[:15]))]
+    rows = [(500, None), (501, ""), (None, items[4][1])]
+    for k in range(120):
         t = r.choices(words, k=r.randint(5, 60))
         if k % 2:
-            item = r.choice(items[:12])[1].split()
+            item = r.choice(items[:24])[1].split()
             for _ in range(r.randint(0, 4)):
                 item[r.randrange(len(item))] = "Sub!"
             t[3:3] = item
         rows.append((k, " ".join(t).upper() if k % 3 else ", ".join(t)))
-    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    rows += rows[-6:] + [(900, " ".join(["long"] * 20000) + " " + items[3][1])]  # repeated rows, a long text
     split = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
-    want = set()
+    want = {}
     for i, t in rows:
         a = split(t)
         for j, u in items:
             b = split(u)
-            n, most = (13, 2) if len(b) >= 13 else (len(b), 0)
-            if n and any(sum(x != y for x, y in zip(a[p : p + n], b[q : q + n])) <= most for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)):
-                want.add((i, j))
-    assert got == want and want
+            n, most = (13, 2) if len(b) >= 13 else (len(b), 1)
+            if i is None or j is None or n < 8:
+                continue
+            for p in range(len(a) - n + 1):
+                wrong = min(sum(x != y for x, y in zip(a[p : p + n], b[q : q + n])) for q in range(len(b) - n + 1))
+                if wrong <= most:
+                    k, first, last, least = want.get((i, j), (0, p, p, 99))
+                    want[(i, j)] = (k + 1, min(first, p), max(last, p + n - 1), min(least, wrong))
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows).repartition(3)
+    got = {(x.doc_id, x.item_id): (x.n_windows, x.first_word, x.last_word, x.substitutions) for x in decontaminate.leaks(df, bench).collect()}
+    assert got == want and len(want) > 30
+    left = decontaminate.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted(str(x.doc_id) for x in left.collect()) == sorted(str(i) for i, _ in rows if i not in {i for i, _ in want})
 
 
 def test_spaced_masks_lose_nothing():
@@ -339,6 +410,30 @@ def test_nearest_of_equal_vectors(spark):
     assert ties
 
 
+def test_nearest_whatever_the_lengths(spark):
+    """Norms from 1e-3 to 1e9, repeated ids, null ids, several dimensions; many small cells and shards."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(500, 6)) * 10.0 ** r.integers(-3, 4, size=(500, 1))
+    x[33] *= 1e9 / np.sqrt((x[33] ** 2).sum())
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600 + i, r.normal(size=3).tolist()) for i in range(60)] + [(None, [1.0] * 6), (41, x[7].tolist()), (43, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for q in vptree.nearest(df, shard=40, cells=16).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
+    known = [(i, np.array(v)) for i, v in rows if i is not None]
+    for i, v in known:
+        if i % 20 == 0:
+            score = sorted((-float((v * w).sum()), j) for j, w in known if j != i and len(w) == len(v))[:20]
+            assert got[i] == [(j, -s) for s, j in score], i
+    assert len(got) == sum(i % 20 == 0 for i, _ in known)
+
+
+def test_sixty_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    for row in vptree.nearest(df).groupBy("query_id").agg({"vec_id": "max", "rank": "count"}).collect():
+        assert row[1:] in ((19, 20), (20, 20)) or row["query_id"] > 19
+
+
 def test_warc_round_trip(spark):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" * 3000
     rows = [(5, "http://a/", "same"), (3, "http://b/\r\nX: y", "same"), (9, None, None), (8, "u", ""), (7, "u", big), (12, "u", big), (1, "u", "x" * 16384)]
@@ -383,6 +478,10 @@ def test_url_filter(spark):
         4: ("w.example.com", "/deutsch", "example.com/de", "block"), 5: ("notexample.com", "/de", None, "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"),
         8: ("b.org", "", "org", "block"), 9: ("net", "/q", "net/", "block"),
     }
+    deep = [(1, "http://" + "a." * 20000 + "net/" + "x/" * 20000, "r")] * 3 + [(2, "http://example.net/en//", "r"), (3, "http:///p", "r")]  # long, repeated
+    found = url_filter.filter_urls(spark.createDataFrame(deep, rows.schema), rules).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in found) == [(1, "net/", "block")] * 3 + [(2, "example.net/en/", "allow"), (3, None, "allow")]
+    assert url_filter.filter_urls(rows.limit(0), rules).count() == 0 and url_filter.filter_urls(rows, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
 def test_anchor_hashes_sent():
@@ -391,7 +490,7 @@ def test_anchor_hashes_sent():
     assert (hashes[0] == (h & anchors.LOW)).all() and several.tolist() == [True, False, True]
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
@@ -402,4 +501,42 @@ def test_pipeline(spark):
         out = spark.createDataFrame(stage(spark, out, d).collect(), out.schema)
         assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= n
         n = out.count()
-    assert corpus_pipeline.run(spark, d).count() == n
+    assert corpus_pipeline.run(spark, d, str(tmp_path / "run")).count() == n
+    seen = []
+    stages = corpus_pipeline.STAGES
+    try:  # ended stages are not run again
+        corpus_pipeline.STAGES = [(name, lambda *a, k=i: seen.append(k)) for i, (name, _) in enumerate(stages)]
+        assert corpus_pipeline.run(spark, d, str(tmp_path / "run")).count() == n and not seen
+    finally:
+        corpus_pipeline.STAGES = stages
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Repeated ids and rows, null texts and ids, near copies, shared passages, leaks."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(4000)]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    rows = [(i, text(80)) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)] + [(3, text(90)), (3, rows[3][1]), (None, rows[1][1]), (200, None), (201, ""), (202, "?")]
+    passage = text(40)
+    rows += [(300 + i, text(30) + "  " + passage + " " + text(30)) for i in range(4)] + [(310, passage), (301, rows[-1][1])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    sets = [(i, t, frozenset(tuple((t or "").split()[k : k + 5]) for k in range(max(len((t or "").split()) - 4, 1))) if (t or "").split() else frozenset()) for i, t in rows]
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
+    keep = [(i, t) for i, t, s in sets if i is None or not any(j is not None and j < i and like(s, o) for j, _, o in sets)]
+    assert sorted(map(str, ((x.doc_id, x.text) for x in out.collect()))) == sorted(map(str, keep))
+    cut = corpus_pipeline.substrings(spark, df, "").collect()
+    named = [(i, t) for i, t in rows if i is not None]
+    want, given = [], {i: [t for j, t in named if j == i] for i, _ in named}
+    for i, n, gone, kept in window_removal(named):
+        if not gone or gone < n:
+            want.append((i, kept if gone else None))
+    got = [(x.doc_id, None if x.text in given[x.doc_id] else x.text) for x in cut if x.doc_id is not None]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and all(x.n_chars == len(x.text or "") for x in cut)
+    assert [x.text for x in cut if x.doc_id is None] == [rows[1][1]] and None in [x.text for x in cut if x.doc_id == 200]
+    empty = df.limit(0)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.substrings):
+        assert stage(spark, empty, "").count() == 0
