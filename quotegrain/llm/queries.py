@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint_index, lang_id, simhash, suffix_dedup, token_count, url_filter, vptree, warc
+from . import bpe, decontaminate, fingerprint_index, lang_id, line_dedup, periodic_runs, simhash, source_audit, suffix_dedup, token_count, url_filter, vptree, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -55,9 +55,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), url_filter.rules_frame(spark, RULES))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), plant=True, keep=False)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_common_lines(_read(spark, sf_dir, "documents"), keep_text=False).drop("keep")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_simhash, op7_bpe, op8_decontamination, op9_warc, op10_url_filter)
+    for f in (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_simhash, op7_bpe, op8_decontamination, op9_warc, op10_url_filter, op11_periodic_runs, op12_line_dedup, op13_source_audit)
 }
 
 _OP1_SQL = """
@@ -129,4 +141,32 @@ m AS (SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
 SELECT u.page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND k = 1
 """.format(rules=", ".join(str(r) for r in RULES))
 
-ORACLE_SQL = {"op1_suffix_dedup": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_nearest_neighbours": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op9_warc": _OP9_SQL, "op10_url_filter": _OP10_SQL}
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ls[i] AS line, translate(trim(ls[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+hot AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= {chars} AND doc_id IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= {docs}),
+j AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id < last, false) AS gone FROM l LEFT JOIN hot ON l.k = hot.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+""".format(chars=line_dedup.LEAST_CHARS, docs=line_dedup.LEAST_DOCS)
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {docs}),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+full_ AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n, total FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+own AS (SELECT lang, source, sum(n)::HUGEINT AS big_n FROM full_ GROUP BY ALL),
+p AS (SELECT lang, source, term, f.n, 1 + ({scale}::HUGEINT * (f.n + 2)) // (big_n + 2 * v) AS p, 1 + ({scale}::HUGEINT * (total + 2)) // (size.n + 2 * v) AS q
+      FROM full_ f JOIN own USING (lang, source) JOIN size USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= {top}
+""".format(docs=source_audit.LEAST_DOCS, scale=source_audit.SCALE, top=source_audit.TOP)
+
+ORACLE_SQL = {"op1_suffix_dedup": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_nearest_neighbours": _OP4_SQL, "op8_decontamination": _OP8_SQL, "op9_warc": _OP9_SQL, "op10_url_filter": _OP10_SQL, "op12_line_dedup": _OP12_SQL, "op13_source_audit": _OP13_SQL}
