@@ -21,6 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
+#: Links of a file: about 10 MB.
+LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (u, v) of one comparable type; returns (node, component): the least node reachable, for linked nodes.
 
@@ -28,10 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     the longest path; each is written to shared storage, so none is computed again if executors are lost.
     """
     edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seal = None
+    seal, count = None, edges.count()
     while True:
-        edges = written(_star(_star(edges, large=True), large=False), "stars")
+        # a round makes no more links than it had, so few files hold them
+        edges = written(_star(_star(edges, large=True), large=False).coalesce(-(-count // LINKS) or 1), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        count = now[0]
         if now == seal:
             break
         seal = now

@@ -232,6 +232,32 @@ def test_similar_equals_brute_force(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in simhash.similar(docs(spark, rows)).collect()} == want
 
 
+def test_unlike_documents_are_not_gathered(spark, monkeypatch):
+    """Documents that share half their words, with no pair at 0.8, are in no group; those of long lists are compared too."""
+    from quotegrain.llm import shingle_sets
+
+    r = random.Random(9)
+    common = [" ".join("s%d_%d" % (k, j) for j in range(10)) for k in range(10)]
+    rows = [(k, " ".join(x for c in common for x in (c, " ".join("o%d" % r.randrange(10**7) for _ in range(10))))) for k in range(600)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 600, 60)]
+    for stars, block in ((3, 1024), (0, 2)):
+        monkeypatch.setattr(shingle_sets, "STARS", stars)
+        monkeypatch.setattr(shingle_sets, "SKETCHES", block)
+        factors = np.random.default_rng(42).integers(0, 1 << 64, (29, 5), np.uint64) | np.uint64(1)
+        names = {}
+        for i, t in rows:
+            found = shingle_sets.shingles(t.encode(), 5)
+            least = shingle_sets._minima(found, factors)
+            names[i] = (int(shingle_sets._name(found)[0]), shingle_sets._bands(least, factors).tolist(), least.astype(np.uint8).tobytes())
+        nodes = spark.createDataFrame(list(names.values()), "a long, bands array<long>, sketch binary")
+        lists = nodes.selectExpr("a", "explode(bands) AS list")
+        assert lists.groupBy("list").count().where("count > 1").count() > 100
+        links = shingle_sets._candidate_links(nodes, shingle_sets.agreeing(0.8, 145)).distinct().collect()
+        assert {frozenset(x) for x in links} == {frozenset((names[k][0], names[1000 + k][0])) for k in range(0, 600, 60)}
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs(spark, rows)).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i in got}
+
+
 def test_position_sets():
     from itertools import combinations
 
