@@ -17,10 +17,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import shuffle_parts, written
 
 LEAST_DOCS = 10
 TOP = 10
@@ -47,13 +48,21 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def _counted(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, df, n) of each different text's terms, summed as far as a task holds them."""
-
-    def batch_of(dfs, ns):
-        rows = [(lang, source, term, df, ns[lang, source][term]) for (lang, source), per in dfs.items() for term, df in per.items()]
-        lang, source, term, df, n = zip(*rows, strict=True) if rows else ((),) * 5
-        arrays = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(df, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "df", "n"])
+    """(lang, term, source, df, n: a value for each source) of each different text's terms, summed as far as a task holds them."""
+    kind = pa.list_(pa.int64())
+
+    def batches_of(dfs, ns):
+        """A row for each language and term, so that a term is sent once for all its sources."""
+        names = ["lang", "term", "source", "df", "n"]
+        sizes = np.array([len(per) for per in dfs.values()], np.int64)
+        repeated = lambda k: pa.array([at[k] for at in dfs], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        terms = pa.array([t for per in dfs.values() for t in per], pa.binary()).cast(pa.string())
+        df = pa.array([k for per in dfs.values() for k in per.values()], pa.int64())
+        n = pa.array([ns[at][t] for at, per in dfs.items() for t in per], pa.int64())
+        table = pa.table([repeated(0), terms, repeated(1), df, n], names)
+        met = table.group_by(["lang", "term"]).aggregate([(c, "list") for c in names[2:]]).select(["lang", "term", "source_list", "df_list", "n_list"])
+        schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.list_(pa.string())), ("df", kind), ("n", kind)])
+        yield from met.rename_columns(names).cast(schema).to_batches(10_000)
 
     def run(batches):
         dfs, ns, held = defaultdict(Counter), defaultdict(Counter), 0
@@ -73,12 +82,12 @@ def _counted(texts: DataFrame) -> DataFrame:
                 if held > _HELD:
                     held = sum(map(len, dfs.values()))
                     if held > _HELD // 2:
-                        yield batch_of(dfs, ns)
+                        yield from batches_of(dfs, ns)
                         dfs.clear(), ns.clear()
                         held = 0
-        yield batch_of(dfs, ns)
+        yield from batches_of(dfs, ns)
 
-    return texts.mapInArrow(run, "lang string, source string, term string, df long, n long")
+    return texts.mapInArrow(run, "lang string, term string, source array<string>, df array<long>, n array<long>")
 
 
 def _p(count: str, n: str, v: str) -> Column:
@@ -108,7 +117,10 @@ def divergence(
     """
     empty = F.lit("")
     docs = df.select(F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.coalesce(text_col, empty).alias("text"))
-    sums = _counted(collapsed(docs)).groupBy("lang", "source", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    # dealt once, by term: a term has a row from each task that met it, then one for each source
+    dealt = _counted(collapsed(docs)).repartition(shuffle_parts(df.sparkSession), "lang", "term")
+    each = dealt.select("lang", "term", F.explode(F.arrays_zip("source", "df", "n")).alias("c")).select("lang", "term", "c.*")
+    sums = each.groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
     of_term = Window.partitionBy("lang", "term")
     kept = sums.withColumns({"docs": F.sum("df").over(of_term), "total": F.sum("n").over(of_term), "first": F.min("source").over(of_term) == F.col("source")})
     kept = written(kept.where(F.col("docs") >= least_docs).select("lang", "source", "term", "n", "total", "first"), "terms")
