@@ -13,10 +13,14 @@ CONTRACTED, EXPANDED, BUYERS = 0.20, 0.80, 1.2
 PIVOT = 5
 
 
-def trailing_rank(c: str, k: int = RANK_WINDOW) -> Column:
-    """Share of the last k rows at or below this one's value; null unless all k have one."""
-    values = F.collect_list(c).over(trailing(k))  # nulls are not collected
-    return F.when(F.size(values) == k, F.size(F.filter(values, lambda x: x <= F.col(c))) / F.lit(float(k)))
+def newest_rank(panel: DataFrame, c: str, name: str, k: int = RANK_WINDOW) -> DataFrame:
+    """``panel`` with ``name``: at a ticker's newest row the share of its last k rows whose value is at or below that row's;
+    null unless all k have one, and at other rows."""
+    whole = Window.partitionBy("ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last, own = F.col("i") > F.col("n") - 1 - k, F.col(f"_newest_{c}")
+    below = F.count_if(last & (F.col(c) <= own)).over(whole) / F.lit(float(k))
+    full = F.count(F.when(last, F.col(c))).over(whole) == k
+    return panel.withColumn(f"_newest_{c}", F.last(c).over(whole)).withColumn(name, F.when((F.col("i") == F.col("n") - 1) & full, below)).drop(f"_newest_{c}")
 
 
 def stack_state(c: str = "close") -> Column:
@@ -59,12 +63,12 @@ def setup(panel: DataFrame) -> DataFrame:
     signed = F.signum(F.col("close") - F.col("pc")) * v
     has_range = F.col("high") > F.col("low")
     df = df.withColumns({
-        "stack": stack_state(), "slope": F.when(F.col("i") >= 63, ratio(F.col("e200"), lag("e200", 63)) - 1), "rank": trailing_rank("atr_pct"),
+        "stack": stack_state(), "slope": F.when(F.col("i") >= 63, ratio(F.col("e200"), lag("e200", 63)) - 1), 
         "pos20": F.avg(F.when(has_range, F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")))).over(trailing(20)),
         "up": up, "down": down, "vol50": F.sum(v).over(trailing(50)), "s10": sma(v, 10), "s50": sma(v, 50),
         "d_obv": F.sum(signed).over(trailing(63)), "d_px": F.col("close") - lag("close", 63), "vol63": F.sum(v).over(trailing(63)),
     })
-    row = latest(df)
+    row = latest(newest_rank(df, "atr_pct", "rank"))
     state = F.when(F.col("rank") <= CONTRACTED, "contracted").when(F.col("rank") >= EXPANDED, "expanded").when(F.col("rank").isNotNull(), "normal")
     ud = F.when((F.col("vol50") != 0) & (F.col("up") + F.col("down") != 0), F.when(F.col("down") == 0, 9.99).otherwise(F.least(F.try_divide(F.col("up"), F.col("down")), F.lit(9.99))))
     row = row.withColumns({"vol_state": state, "ud": ud})

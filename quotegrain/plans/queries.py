@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import schemas
 from ..functions import scalars
 from ..operators import board as boards, insiders, lookup, momentum as mom, regime as gate, signals as rules, structure, study
 from ..operators.panel import skipped
 from ..scratch import scratch
 from ..sources import filings, ingest, watchlist
+from ..sources.versioned import VersionedTable
 from ..streaming import quotes as feed
 from . import driver_tables as t
 
@@ -200,11 +200,13 @@ def emptied_accessions(spark, d):
 
 def latest_stream(spark: SparkSession, d: str) -> DataFrame:
     """The newest quote per ticker by a stream over the event files, each batch upserted, run over all that has landed."""
-    path, schema = scratch(spark, "stream"), "ticker string, captured_at timestamp, price double"
-    source = spark.readStream.schema(t.read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    path = scratch(spark, "stream")
+    t.read(spark, d, "events").repartition(6, "event_id").write.parquet(f"{path}/landed")  # files that land one after another
+    source = spark.readStream.schema(t.read(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
     quotes = source.select(F.col("event_type").alias("ticker"), F.col("ts").alias("captured_at"), F.col("value").alias("price"))
-    feed.run_available(feed.latest_per_ticker(quotes, "captured_at"), feed.upserting(spark, f"{path}/out"), f"{path}/state", "update")
-    return lookup.newest(feed.newest_version(spark, f"{path}/out", schema), "ticker", "captured_at")
+    table = VersionedTable(spark, f"{path}/out", fan=3)
+    feed.run_available(feed.latest_per_ticker(quotes, "captured_at"), feed.upserting(table, ["ticker"], 4), f"{path}/state", "update")
+    return table.current(["ticker"])
 
 
 def _landed(spark: SparkSession, d: str, path: str) -> str:
@@ -254,10 +256,12 @@ def touched_months(spark, d):
     """A later batch of bars, upserted into a stored table: only its months are written."""
     path = scratch(spark, "bars")
     bars = t.bars(spark, d).withColumns({"source": F.lit("x"), "updated_at": F.lit("2002-01-01").cast("timestamp")})
-    ingest.write_touched(bars, f"{path}/bars", f"{path}/first")
+    table = VersionedTable(spark, path)
+    ingest.upsert_months(table, bars)
     late = bars.where("month(date) = 3").withColumns({"close": F.col("close") + 1, "updated_at": F.lit("2002-01-02").cast("timestamp")})
-    ingest.write_touched(late, f"{path}/bars", f"{path}/second")
-    return spark.read.schema(f"{schemas.BARS}, month string").parquet(f"{path}/bars").select("ticker", "date", "close", "month")
+    ingest.upsert_months(table, late)
+    table.expire(1)
+    return table.read().select("ticker", "date", "close", "month")
 
 
 def watchlist_symbols(spark, d):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
+from .versioned import Manifest, VersionedTable
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -24,19 +24,15 @@ def upsert_bars(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(existing, batch, ["ticker", "date"])
 
 
-def write_touched(batch: DataFrame, path: str, staging: str) -> None:
-    """Upserts bars into the table at ``path``, partitioned by month: only months that the batch has are read and written.
-    They are written to ``staging`` first, so a failed run leaves the table as it was or can be repeated from there."""
-    spark, month = batch.sparkSession, F.date_format("date", "yyyy-MM")
-    fresh = batch.withColumn("month", month)
-    try:
-        table = spark.read.schema(f"{schemas.BARS}, month string").parquet(path)
-    except AnalysisException:  # nothing is there yet
-        table = fresh.limit(0)
-    touched = table.join(fresh.select("month").distinct(), "month", "left_semi")
-    upsert(touched, fresh, ["ticker", "date"]).write.mode("overwrite").partitionBy("month").parquet(staging)
-    ready = spark.read.schema(f"{schemas.BARS}, month string").parquet(staging)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def upsert_months(table: VersionedTable, batch: DataFrame) -> Manifest:
+    """Upserts bars into a table in parts by month: only months that the batch has are read and written. Readers see all
+    of it or nothing, also where it fails between months."""
+    fresh = batch.withColumn("month", F.date_format("date", "yyyy-MM"))
+    base = table.manifest()
+    if not base.version:
+        return table.replace(upsert(fresh.limit(0), fresh, ["ticker", "date"]), "month", base)
+    months = [r.month for r in fresh.select("month").distinct().collect()]  # as many as a table has months
+    return table.replace(upsert(table.read(base.version, months), fresh, ["ticker", "date"]), "month", base)
 
 
 def upsert_spot(existing: DataFrame, batch: DataFrame) -> DataFrame:

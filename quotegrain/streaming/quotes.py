@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..sources.ingest import snapshot_errors, snapshot_quotes, upsert_spot
+from ..sources.ingest import snapshot_errors, snapshot_quotes
+from ..sources.versioned import VersionedTable
 
 
 def snapshot_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
@@ -30,25 +31,17 @@ def latest_per_ticker(quotes: DataFrame, at: str = "quote_time") -> DataFrame:
     return quotes.groupBy("ticker").agg(F.max_by(F.struct(*rest), at).alias("r")).select("ticker", "r.*")
 
 
-def upserting(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A sink for ``run_available``: each batch is merged into the newest version of the spot table below ``path`` and
-    written as the next version, so a batch that is repeated gives the same table."""
+def upserting(table: VersionedTable, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink for ``run_available``: each batch is added to the table as files of its own rows. A batch that is repeated
+    after a failure is taken in once."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = upsert_spot(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"), batch)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+        table.upsert(batch, keys, number, buckets)
+        table.expire()
 
     return sink
 
 
-def newest_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table that ``upserting`` wrote last."""
-    every = spark.read.schema(f"{schema}, version int").parquet(path)
-    return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
-
-
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs a stream over what has landed, batch by batch, and ends."""
     query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,10 +208,104 @@ def test_exact_ranks_and_medians(spark):
     rows = [(k, r.choice([r.gauss(0, 0.3), 0.25, -7e9, 4e5])) for k in ("a", "b") for _ in range(301 if k == "a" else 400)] + [("a", None)]
     df = spark.createDataFrame(rows, "k string, x double")
     want = {k: statistics.median(x for j, x in rows if j == k and x is not None) for k in ("a", "b")}
-    assert {r.k: r.median for r in medians(df, ["k"], "x").collect()} == want
     every = [x for _, x in rows if x is not None]
-    got = {r.x: r.share for r in share_at_or_below(df, [], "x").collect()}
-    assert got == {x: sum(y <= x for y in every) / len(every) for x in every}
+    shares = {x: sum(y <= x for y in every) / len(every) for x in every}
+    for parts in (None, 1, 7):
+        assert {r.k: r.median for r in medians(df, ["k"], "x", parts).collect()} == want
+        assert {r.x: r.share for r in share_at_or_below(df, [], "x", parts).collect()} == shares
+    assert medians(df.limit(0), ["k"], "x").count() == share_at_or_below(df.limit(0), [], "x").count() == 0
+
+
+@pytest.mark.parametrize("spread", ["id * 0.0009 / 200000", "1000 + id * 0.5", "exp(id * 0.001 % 300)", "if(id % 2 = 0, id * 4.5e-9, 1e6 + id)"])
+def test_ranges_are_even_however_values_lie(spark, spread):
+    from quotegrain.functions import order
+
+    df = spark.range(200_000, numPartitions=8).selectExpr(f"{spread} AS x")
+    ranged, _ = order._counted(df, [], "x", 16)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    xs = sorted(r.x for r in df.collect())
+    assert medians(df, [], "x", 16).first().median == (xs[99_999] + xs[100_000]) / 2
+
+
+def test_numbered_rows(spark):
+    from quotegrain.functions.order import numbered
+
+    r = random.Random(3)
+    rows = [(r.choice("aab"), r.random(), k) for k in range(500)]
+    for parts in (None, 1, 9):
+        out = numbered(spark.createDataFrame(rows, "k string, x double, id long"), ["k"], ["x", "id"], "place", parts).collect()
+        by = {k: sorted((x, i) for j, x, i in rows if j == k) for k in "ab"}
+        assert len(out) == 500 and all(by[q.k][q.place] == (q.x, q.id) for q in out)
+
+
+def loop_of(spec, xs):
+    out = [None] * len(xs)
+    if len(xs) > spec.seed:
+        y = out[spec.seed] = sum(xs[spec.start : spec.seed + 1]) / spec.n
+        for i in range(spec.seed + 1, len(xs)):
+            y = out[i] = spec.b * y + spec.a * xs[i]
+    return out
+
+
+def test_long_recurrences_equal_the_loop(spark):
+    """Short and long memories over several blocks, with a block as long as fast ones allow."""
+    from quotegrain.functions.recurrence import spread_recurrence, wilder
+
+    r = random.Random(3)
+    series = {"long": [r.gauss(0, 1) + (50 if k % 3 else -50) for k in range(3000)], "short": [r.random() for _ in range(230)], "one": [1.0]}
+    specs = [ema("a", "x", 9), ema("b", "x", 200), wilder("c", "x", 14, 1), ema("d", "x", 2000), ema("e", "x", 2, 25)]
+    df = spark.createDataFrame([(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)], "ticker string, i long, x double")
+    for scan in (linear_recurrence, spread_recurrence):
+        got = {(q.ticker, q.i): q for q in scan(df, specs).collect()}
+        assert len(got) == sum(map(len, series.values()))
+        for key, xs in series.items():
+            for spec in specs:
+                for i, want in enumerate(loop_of(spec, xs)):
+                    value = got[key, i][spec.name]
+                    assert (value is None) == (want is None) and (want is None or abs(value - want) <= 1e-12 * max(1, abs(want))), (scan, key, spec, i)
+
+
+def test_spread_recurrence_plan(spark):
+    """Rows are dealt by key and block, never by key alone."""
+    from quotegrain.functions.recurrence import spread_recurrence
+
+    df = spark.range(1000).selectExpr("cast(id div 900 AS string) AS ticker", "id % 900 AS i", "rand(1) AS x")
+    plan = spread_recurrence(df, [ema("a", "x", 9)])._jdf.queryExecution().executedPlan().toString()
+    rows = [x for x in plan.split("\n") if "Exchange hashpartitioning(ticker" in x]
+    assert rows and sum("_block" not in x for x in rows) == 1  # ends of blocks, one row each
+
+
+def test_trailing_shares_equal_the_loop(spark):
+    from quotegrain.functions.sweep import shares, with_trailing_share
+
+    r = random.Random(2)
+    series = {k: [r.choice([None, r.random(), 0.5]) for _ in range(n)] for k, n in (("a", 700), ("b", 3), ("c", 90), ("d", 0))}
+    df = spark.createDataFrame([(k, i, x, "kept") for k, xs in series.items() for i, x in enumerate(xs)], "ticker string, i long, x double, note string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = with_trailing_share(df.repartition(5), "x", 20, "rank")
+        got = {(q.ticker, q.i): q for q in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out.columns == ["ticker", "i", "x", "note", "rank", "rank_before"] and len(got) == 793
+    for k, xs in series.items():
+        before, known = None, []
+        for i, x in enumerate(xs):
+            known += [] if x is None else [x]
+            want = None if x is None or len(known) < 20 else sum(y <= x for y in known[-20:]) / 20
+            assert (got[k, i]["rank"], got[k, i].rank_before) == (want, before)
+            before = want
+    assert len(shares(np.zeros(5), 6)) == 0 and shares(np.arange(3.0), 1).tolist() == [1, 1, 1]
+
+
+def test_study_plan(spark):
+    """One exchange by ticker, no arrays of windows."""
+    from quotegrain.operators import study
+
+    panel = with_indicators(indexed(clean(bars(spark, A=[1.0, 2.0]))))
+    plan = study.events(study.flags(panel))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan and "Join" not in plan
 
 
 def test_recurrence_plan(spark):
@@ -219,17 +314,6 @@ def test_recurrence_plan(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("Scan") == 1
 
 
-def test_touched_months(spark, tmp_path):
-    cols = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string, updated_at timestamp"
-    row = lambda day, close, at: ("A", day, close, close, close, close, close, 1, "x", dt.datetime(2024, 1, at))
-    path = str(tmp_path / "bars")
-    ingest.write_touched(spark.createDataFrame([row(dt.date(2024, 1, 5), 1.0, 1), row(dt.date(2024, 2, 5), 2.0, 1)], cols), path, str(tmp_path / "s1"))
-    before = {p.name for p in (tmp_path / "bars" / "month=2024-01").iterdir()}
-    ingest.write_touched(spark.createDataFrame([row(dt.date(2024, 2, 5), 9.0, 2), row(dt.date(2024, 2, 6), 3.0, 2)], cols), path, str(tmp_path / "s2"))
-    assert {p.name for p in (tmp_path / "bars" / "month=2024-01").iterdir()} == before
-    assert sorted((str(r.date), r.close) for r in spark.read.parquet(path).collect()) == [("2024-01-05", 1.0), ("2024-02-05", 9.0), ("2024-02-06", 3.0)]
-
-
 def test_filings(spark, tmp_path):
     (tmp_path / "0001-24-000001.xml").write_text(
         "<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>Doe</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector>"
