@@ -92,8 +92,10 @@ class Layout:
 
 
 def layout(spark: SparkSession, total_bytes: int) -> Layout:
+    """As many buckets and files as the session has tasks, but no more than hold an eighth of what one of them may hold."""
     tasks = shuffle_parts(spark)
-    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), parts_for(total_bytes, BUCKET_BYTES, tasks), parts_for(total_bytes, FILE_BYTES, tasks))
+    parts = lambda each: parts_for(total_bytes, each, min(tasks, parts_for(total_bytes, each // 8, 1)))
+    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), parts(BUCKET_BYTES), parts(FILE_BYTES))
 
 
 PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"

@@ -30,10 +30,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df`` as a written table: its lineage ends at shared storage."""
+#: Bytes of a file of a small table.
+SMALL_FILE = 32 << 20
+
+
+def written(df: DataFrame, label: str, most_rows: int | None = None, row_bytes: int = 32) -> DataFrame:
+    """The rows of ``df`` as a written table: its lineage ends at shared storage. Where it is known how many rows of about
+    how many bytes there are at most, so many files are written as hold them, and not one for each shuffle partition."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    few = df if most_rows is None else df.coalesce(most_rows * row_bytes // SMALL_FILE + 1)
+    few.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

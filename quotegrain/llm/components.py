@@ -21,21 +21,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
-#: Links of a file: about 10 MB.
-LINKS = 500_000
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """``links`` (u, v) of one comparable type; returns (node, component): the least node reachable, for linked nodes.
 
     Loops and repeated links are allowed; nulls are left out; no links give no rows. Rounds grow with the logarithm of
-    the longest path; each is written to shared storage, so none is computed again if executors are lost.
+    the longest path; each is written to shared storage, so none is computed again if executors are lost. ``most``: a
+    known bound of the links.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", most)
     seal, count = None, edges.count()
     while True:
-        # a round makes no more links than it had, so few files hold them
-        edges = written(_star(_star(edges, large=True), large=False).coalesce(-(-count // LINKS) or 1), "stars")
+        # a round makes about as many links as it had
+        edges = written(_star(_star(edges, large=True), large=False), "stars", count)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         count = now[0]
         if now == seal:
