@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.order import share_at_or_below
 from ..functions.scalars import ratio
+from ..scratch import written
 from .indicators import lag, trailing
 from .panel import latest
 
@@ -30,6 +31,7 @@ def momentum(panel: DataFrame) -> DataFrame:
 def ranks(rows: DataFrame, groups: DataFrame, value: str = "mom_12_1") -> DataFrame:
     """Share of the universe, and of the group, at or below; three decimals. ``groups``: ticker, group."""
     joined = rows.select("ticker", value).join(groups.select("ticker", "group"), "ticker", "left").withColumn("group", F.coalesce("group", F.lit("Ungrouped")))
+    joined = written(joined, "ranked")  # a row for each ticker; both ranks and the result read it
     known = joined.where(F.col(value).isNotNull())
 
     def share(by: list[str], name: str):

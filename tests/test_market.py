@@ -106,9 +106,10 @@ def test_backtest_equals_the_loop(spark, seed):
         want[f"T{k}"] = (round(eq - 1, 3), count)
         rows += [(f"T{k}", i, n, "s", closes[i], buys[i], sells[i]) for i in range(n)]
     df = spark.createDataFrame(rows, "ticker string, i int, n int, strategy string, close double, buy boolean, sell boolean")
-    got = {x.ticker: (round(x.strategy_return, 3), x.n_trades) for x in rules.backtest(df).collect()}
-    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
-    assert all(abs(got[k][0] - want[k][0]) < 2e-3 for k in want)
+    for block in (4096, 50, 1):  # also with a ticker's bars in many blocks
+        got = {x.ticker: (round(x.strategy_return, 3), x.n_trades) for x in rules.backtest(df, block).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(got[k][0] - want[k][0]) < 2e-3 for k in want)
 
 
 def test_partitions_do_not_matter(spark):
