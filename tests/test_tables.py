@@ -134,3 +134,33 @@ def test_stream_into_a_table(spark, tmp_path):
     versions = table.versions()
     run()
     assert got() == [("A", 2.0), ("B", 5.0), ("C", 7.0)] and table.versions() == versions
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_tracked_quotes(spark, tmp_path):
+    """Newest, late and expired quotes, over a restart."""
+    landed = tmp_path / "in"
+    landed.mkdir()
+    land = lambda k, *quotes: (landed / f"{k}.json").write_text("\n".join(json.dumps({"ticker": t, "price": p, "quote_time": f"2024-01-{d:02d}T00:00:00"}) for t, p, d in quotes))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+    def run():
+        quotes = spark.readStream.schema("ticker string, price double, quote_time timestamp").option("maxFilesPerTrigger", 1).json(str(landed))
+        feed.run_available(feed.tracked(quotes, "3 days", "1 days"), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}")), str(tmp_path / "state"))
+
+    try:
+        land(0, ("A", 1.0, 1), ("B", 5.0, 2), ("A", 1.5, 2))
+        run()
+        land(1, ("A", 2.0, 3), ("B", 4.0, 2), ("B", 3.0, 1))  # the last is before the watermark
+        run()
+        land(2, ("A", 3.0, 3), ("A", 3.5, 9), (None, 1.0, 9))
+        run()
+        land(3, ("A", 4.0, 10))
+        run()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(r.ticker, r.kind, r.quote_time.day, r.price) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = [("A", "quote", 1, 1.0), ("A", "quote", 2, 1.5), ("A", "quote", 3, 2.0), ("A", "quote", 9, 3.5), ("A", "quote", 10, 4.0)]
+    assert sorted(got) == sorted([*want, ("B", "quote", 2, 5.0), ("B", "late", 2, 4.0), ("A", "late", 3, 3.0), ("B", "expired", 2, 5.0)])
