@@ -21,9 +21,11 @@ def board(members: DataFrame, quotes: DataFrame) -> DataFrame:
     return members.join(quotes, "ticker", "left").select("group_pos", "group", "item_pos", "ticker", "name", "last", "prev_close", pct.alias("pct"), direction(pct).alias("direction"))
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    items = F.struct("item_pos", "ticker", "name", "last", "prev_close", "pct")
-    return rows.groupBy("group_pos", "group").agg(F.sort_array(F.collect_list(items)).alias("items"), F.count_if(F.col("pct").isNotNull()).alias("ok"), F.count("*").alias("total"))
+def documents(rows: DataFrame) -> DataFrame:
+    """(group_pos, group, ok, total, items): a document for each group, its items in order of their places."""
+    items = F.struct("item_pos", "ticker", "name", "last", "prev_close", "pct", "direction")
+    per = rows.groupBy("group_pos", "group").agg(F.count_if(F.col("pct").isNotNull()).alias("ok"), F.count("*").alias("total"), F.sort_array(F.collect_list(items)).alias("items"))
+    return per.select("group_pos", "group", "ok", "total", "items").orderBy("group_pos")
 
 
 def movers(rows: DataFrame, k: int = 3) -> DataFrame:

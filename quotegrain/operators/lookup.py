@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import change, change_pct, symbol
+from ..sources.ingest import NAMED, run_summary
 
 MOST_ROWS = 1000
 DMA = 200
@@ -91,7 +92,12 @@ def quote_changes(spot: DataFrame) -> DataFrame:
     return newest(spot.select("ticker", "captured_at", "price", "previous_close"), "ticker", "captured_at").select("ticker", "price", "previous_close", change(last, prev).alias("change"), change_pct(last, prev).alias("change_pct"))
 
 
-def envelope(requested: DataFrame, quotes: DataFrame) -> DataFrame:
-    """requested (pos, ticker) with quotes; ok and total counts, an error text per missing quote."""
-    rows = requested.join(quotes, "ticker", "left").withColumn("error", F.when(F.col("price").isNull(), F.lit("no quote")))
-    return rows.groupBy().agg(F.count("*").alias("requested"), F.count_if(F.col("error").isNull()).alias("ok"), F.transform(F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("pos", "ticker")))), lambda x: x["ticker"]).alias("failed"))
+def answered(requested: DataFrame, quotes: DataFrame) -> DataFrame:
+    """requested (pos, ticker), each with its quote or an error text."""
+    return requested.join(quotes, "ticker", "left").withColumn("error", F.when(F.col("price").isNull(), F.lit("no quote")))
+
+
+def envelope(requested: DataFrame, quotes: DataFrame, named: int = NAMED) -> DataFrame:
+    """(requested, ok, failed) of requested (pos, ticker): counts, and the first failures in the order of requests."""
+    out = run_summary(answered(requested, quotes), "pos", named)
+    return out.select((F.col("ok") + F.col("failed")).alias("requested"), "ok", F.col("failed_tickers").alias("failed"))

@@ -70,3 +70,9 @@ def summary(events_: DataFrame) -> DataFrame:
     )
     middle = medians(pools, ["condition", "horizon"], "r").withColumn("median", F.round("median", 4))
     return stats.join(middle, ["condition", "horizon"]).join(per, "condition").select("condition", "horizon", "n", "median", "mean", "hit_rate", "n_names", "n_episodes")
+
+
+def documents(summary_: DataFrame) -> DataFrame:
+    """(condition, n_names, n_episodes, horizons): a document for each condition, its horizons in order."""
+    pool = F.struct(F.col("horizon").cast("int").alias("horizon"), "n", "median", "mean", "hit_rate")
+    return summary_.groupBy("condition", "n_names", "n_episodes").agg(F.sort_array(F.collect_list(pool)).alias("horizons"))

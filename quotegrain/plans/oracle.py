@@ -224,7 +224,19 @@ SQL = {
         CASE WHEN any_value(status) IN ('ok', '144') THEN coalesce((SELECT sum(value) FROM used WHERE used.ticker = md.ticker AND code <> 'P' AND date >= (SELECT last - INTERVAL 11 MONTH FROM span)), 0)::BIGINT END AS tot_s,
         CASE WHEN any_value(status) IN ('ok', '144') THEN list([buy_value, sell_value, buys, sells, plan_value] ORDER BY month) END AS months FROM md JOIN bk ON bk.ticker = md.ticker GROUP BY md.ticker"""),
     "insider_mode": _q(_TXNS, "SELECT ticker, status FROM md"),
-    "unseen_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM kept)"),
+    "unseen_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM kept) AND accession NOT IN (SELECT accession FROM tx WHERE plan AND date < (SELECT since FROM span))"),
+    "seen_accessions": _q(_TXNS, "SELECT accession, accession NOT IN (SELECT accession FROM ded) AS empty FROM (SELECT DISTINCT accession FROM tx)"),
+    "board_documents": _q(_BOARD, """SELECT group_pos, grp AS "group", count(pct) OVER g AS ok, count(*) OVER g AS total, (row_number() OVER (PARTITION BY group_pos ORDER BY item_pos) - 1)::INTEGER AS place, ticker, name, last, pct
+        FROM br WINDOW g AS (PARTITION BY group_pos)"""),
+    "envelope_failures": _q(_BOARD, "SELECT group_pos * 100 + item_pos AS pos, ticker, 'no quote' AS error FROM br WHERE last IS NULL"),
+    "run_failures": "SELECT event_type || '-' || (user_id % 20)::VARCHAR AS ticker, 'low' AS error FROM events GROUP BY 1 HAVING min(value) < 0.1",
+    "evidence_documents": _q(_EVENTS, f"{_STUDY}, st AS ({_STUDY_ROWS}) SELECT condition, n_names, n_episodes, (horizon > 21)::INTEGER AS place, horizon, n, median, mean, hit_rate FROM st"),
+    "tick_average": """WITH RECURSIVE x AS (SELECT event_id, event_type AS ticker, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events WHERE value IS NOT NULL),
+        q AS MATERIALIZED (SELECT *, avg(price) OVER (PARTITION BY ticker ORDER BY i ROWS 11 PRECEDING) AS s12, avg(price) OVER (PARTITION BY ticker ORDER BY i ROWS 199 PRECEDING) AS s200 FROM x),
+        r AS (SELECT ticker, event_id, i, NULL::DOUBLE AS fast, NULL::DOUBLE AS slow FROM q WHERE i = 0
+              UNION ALL SELECT q.ticker, q.event_id, q.i, CASE WHEN q.i = 11 THEN s12 WHEN q.i > 11 THEN price * (2.0::DOUBLE / 13) + r.fast * (1 - 2.0::DOUBLE / 13) END,
+                               CASE WHEN q.i = 199 THEN s200 WHEN q.i > 199 THEN price * (2.0::DOUBLE / 201) + r.slow * (1 - 2.0::DOUBLE / 201) END FROM r JOIN q ON q.ticker = r.ticker AND q.i = r.i + 1)
+        SELECT event_id, ticker, i, round(fast, 6) AS fast, round(slow, 6) AS slow FROM r""",
     "board": _q(_BOARD, f'SELECT group_pos, grp AS "group", item_pos, ticker, name, last, prev_close, pct, {_DIR} AS direction FROM br'),
     "movers": _q(_BOARD, "SELECT * FROM (SELECT 'up' AS side, ticker, pct FROM br WHERE pct IS NOT NULL ORDER BY pct DESC, group_pos, item_pos LIMIT 3) UNION ALL SELECT * FROM (SELECT 'down', ticker, pct FROM br WHERE pct IS NOT NULL ORDER BY pct, group_pos, item_pos LIMIT 3)"),
     "quote_repair": _q(f"{BARS}, {_SPOT}", """, c AS (SELECT ticker, max(close) FILTER (k = 1) AS c1, max(close) FILTER (k = 2) AS c2 FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE close <> 0) WHERE k <= 2 GROUP BY ticker)
@@ -234,7 +246,7 @@ SQL["latest_stream"] = _q(_SPOT, "SELECT ticker, captured_at, price FROM sp")
 SQL |= {
     "ticker_documents": _q(SETUP + _REGIME[len(PANEL):] + _MOM[len(PANEL):] + "," + GROUPS, """SELECT s1.ticker, stack, vol_state, coalesce(stack = 'aligned_up' AND vol_state = 'contracted' AND ud >= 1.2, false) AS in_setup, regime, round(r2, 4) AS r2,
         regime = 'trending' AS trend_ok, round(mom_12_1, 6) AS mom_12_1, round(ret_1m, 6) AS ret_1m, grp AS "group", proxy FROM s1 LEFT JOIN rl ON rl.ticker = s1.ticker LEFT JOIN mo ON mo.ticker = s1.ticker LEFT JOIN grps ON grps.ticker = s1.ticker"""),
-    "emptied_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM ded)"),
+    "emptied_accessions": _q(_TXNS, "SELECT DISTINCT accession FROM tx WHERE accession NOT IN (SELECT accession FROM ded) UNION SELECT 'E' || accession FROM tx WHERE shares < 5"),
     "stream_quotes": _q(_SNAPS, "SELECT ticker, price, prev_close, quote_time FROM qt WHERE price IS NOT NULL AND quote_time IS NOT NULL"),
     "stream_errors": _q(_SNAPS, "SELECT as_of, ticker, (2 * count(*))::BIGINT AS k FROM qt WHERE price IS NULL OR quote_time IS NULL GROUP BY as_of, ticker"),
     "snapshot_quotes": _q(_SNAPS, "SELECT as_of, ticker, price, change, prev_close, quote_time FROM qt WHERE price IS NOT NULL AND quote_time IS NOT NULL"),

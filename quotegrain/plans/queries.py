@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scalars
+from ..functions import order, recurrence, scalars
 from ..operators import board as boards, insiders, lookup, momentum as mom, regime as gate, signals as rules, structure, study
 from ..operators.panel import skipped
-from ..scratch import scratch
+from ..scratch import scratch, written
 from ..sources import filings, ingest, watchlist
 from ..sources.versioned import VersionedTable
 from ..streaming import quotes as feed
@@ -74,6 +74,12 @@ def envelope(spark, d):
     return lookup.envelope(rows.select(F.struct("group_pos", "item_pos").alias("pos"), "ticker"), rows.select("ticker", F.col("last").alias("price")).where("price is not null"))
 
 
+def envelope_failures(spark, d):
+    rows = _board(spark, d)
+    asked = lookup.answered(rows.select((F.col("group_pos") * 100 + F.col("item_pos")).alias("pos"), "ticker"), rows.select("ticker", F.col("last").alias("price")).where("price is not null"))
+    return ingest.failures(asked, "pos")
+
+
 def upsert_bars(spark, d):
     bars = t.bars(spark, d).withColumn("updated_at", F.lit("2002-01-01").cast("timestamp"))
     late = bars.where("date >= '2000-01-01'").withColumns({"close": F.col("close") + 1, "updated_at": F.lit("2002-01-02").cast("timestamp")})
@@ -172,16 +178,60 @@ def insider_mode(spark, d):
     return _txns(spark, d)[3]
 
 
+def _known_empty(rows, as_of):
+    """Accessions known to give nothing: planned trades from before the retention."""
+    old = F.col("date") < F.add_months(F.trunc(as_of, "month"), -insiders.RETAIN)
+    return rows.where(old & F.col("plan")).select("accession").distinct()
+
+
 def unseen_accessions(spark, d):
     rows, as_of, *_ = _txns(spark, d)
-    kept = insiders.retained(rows, as_of)
-    return filings.unseen(rows.select("accession").distinct(), kept, kept.limit(0))
+    return filings.unseen(rows.select("accession").distinct(), insiders.retained(rows, as_of), _known_empty(rows, as_of))
+
+
+def seen_accessions(spark, d):
+    """Three batches of filings, by year, each looked into only where it is not known; every third batch is offered again.
+    What gives no trade that is kept is remembered as empty."""
+    rows, _, txns, _ = _txns(spark, d)
+    rows, txns = written(rows.select("accession", F.year("date").alias("y")).distinct(), "listed"), written(txns.select("accession").distinct(), "kept")
+    index = filings.SeenAccessions(spark, scratch(spark, "seen"), 8)
+    years = F.col("y") % 3
+    for number, part in enumerate((rows.where(years == 0), rows.where(years == 1), rows.where(years < 2), rows)):
+        fresh = index.unseen(part.select("accession").distinct())
+        index.record(fresh, fresh.join(txns, "accession", "left_semi"), number)
+    return index.table.current(index.KEYS)
 
 
 def board(spark, d):
     return _board(spark, d)
 
 
+def board_documents(spark, d):
+    """A document for each group, written as JSON and read back; its items by their place in the document."""
+    path = scratch(spark, "board")
+    ingest.export_json(boards.documents(_board(spark, d)), path)
+    item = "struct<item_pos: int, ticker: string, name: string, last: double, prev_close: double, pct: double, direction: string>"
+    read = spark.read.schema(f"group_pos int, group string, ok long, total long, items array<{item}>").json(path)
+    return read.select("group_pos", "group", "ok", "total", F.posexplode("items").alias("place", "i")).select("group_pos", "group", "ok", "total", "place", "i.ticker", "i.name", "i.last", "i.pct")
+
+
+def evidence_documents(spark, d):
+    """A document for each condition of the event study, its horizons in order."""
+    path = scratch(spark, "evidence")
+    ingest.export_json(study.documents(study.summary(study.events(study.flags(t.indicator_panel(spark, d))))), path)
+    horizon = "struct<horizon: int, n: long, median: double, mean: double, hit_rate: double>"
+    read = spark.read.schema(f"condition string, n_names long, n_episodes long, horizons array<{horizon}>").json(path)
+    return read.select("condition", "n_names", "n_episodes", F.posexplode("horizons").alias("place", "h")).select("condition", "n_names", "n_episodes", "place", "h.*")
+
+
+def tick_average(spark, d):
+    """Moving averages over every single quote of a ticker: its rows are numbered by ranges and scanned by blocks, so no task
+    holds a ticker."""
+    ticks = order.numbered(t.spot(spark, d).select("ticker", "captured_at", "event_id", "price").where("price is not null"), ["ticker"], ["captured_at", "event_id"], "i")
+    out = recurrence.spread_recurrence(ticks, [recurrence.ema("fast", "price", 12), recurrence.ema("slow", "price", 200)])
+    return out.select("event_id", "ticker", "i", F.round("fast", 6).alias("fast"), F.round("slow", 6).alias("slow"))
+
+
 def movers(spark, d):
     return boards.movers(_board(spark, d))
 
@@ -193,9 +243,10 @@ def quote_repair(spark, d):
 
 
 def emptied_accessions(spark, d):
-    """Filings seen of which no row is kept."""
+    """Filings seen of which no row is kept, and those that earlier runs knew: here of small trades, under another name."""
     rows, _, txns, _ = _txns(spark, d)
-    return filings.emptied(rows.select("accession").distinct(), txns, txns.limit(0))
+    known = rows.where("shares < 5").select(F.concat(F.lit("E"), "accession").alias("accession")).distinct()
+    return filings.emptied(rows.select("accession").distinct(), txns, known)
 
 
 def latest_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -238,9 +289,17 @@ def snapshot_errors(spark, d):
     return ingest.snapshot_errors(ingest.newest_snapshots(t.snapshots(spark, d)))
 
 
-def run_summary(spark, d):
+def _status(spark, d):
     e = t.read(spark, d, "events")
-    return ingest.run_summary(e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("ticker")).agg(F.when(F.min("value") < 0.1, "low").alias("error")))
+    return e.groupBy(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("ticker")).agg(F.when(F.min("value") < 0.1, "low").alias("error"))
+
+
+def run_summary(spark, d):
+    return ingest.run_summary(_status(spark, d))
+
+
+def run_failures(spark, d):
+    return ingest.failures(_status(spark, d))
 
 
 def stored_bars(spark, d):
@@ -322,6 +381,6 @@ def casts(spark, d):
 QUERIES = {f.__name__: f for f in (
     coverage, history, latest_quotes, performance, run_select, snapshot, tickers, eligibility, quote_changes, envelope, upsert_bars, upsert_spot, indicators, setup, regime,
     momentum, momentum_ranks, relative_strength, signals, backtest, event_study, study_span, setup_evidence, insider_dedupe, insider_buckets, insider_compact, insider_mode,
-    unseen_accessions, board, movers, quote_repair, latest_stream, ticker_documents, emptied_accessions, stream_quotes, stream_errors, snapshot_quotes, snapshot_errors, run_summary,
+    unseen_accessions, seen_accessions, board, board_documents, evidence_documents, envelope_failures, run_failures, tick_average, movers, quote_repair, latest_stream, ticker_documents, emptied_accessions, stream_quotes, stream_errors, snapshot_quotes, snapshot_errors, run_summary,
     stored_bars, touched_months, watchlist_symbols, watchlist_groups, issuer_ids, filing_forms, filing_pages, form4_trades, form144_notices, close_spread, display_texts, casts,
 )}

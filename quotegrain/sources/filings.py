@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.scalars import to_double, us_date
+from .versioned import VersionedTable, bucket_of, newest_rows
 
 TRADE_FORMS, NOTICE_FORMS = ["4", "4/A"], ["144", "144/A"]
 
@@ -108,3 +109,38 @@ def emptied(seen: DataFrame, surviving: DataFrame, empty: DataFrame) -> DataFram
     """Accessions known to give nothing: those so far, and seen ones of which no row is left."""
     gone = seen.select("accession").join(surviving.select("accession"), "accession", "left_anti")
     return empty.select("accession").union(gone).distinct()
+
+
+class SeenAccessions:
+    """All accessions that were looked into, in a table that only grows: (accession, empty: it gave no row that is kept).
+
+    Accessions lie in buckets; a batch reads the buckets that it has accessions in, and adds rows of its own."""
+
+    KEYS = ["accession"]
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.table, self.buckets = VersionedTable(spark, path), buckets
+
+    def hit(self, listed: DataFrame) -> list[str]:
+        """The buckets of these accessions: at most ``buckets`` names."""
+        return [r.part for r in listed.select(bucket_of(self.KEYS, self.buckets).alias("part")).distinct().collect()]
+
+    def among(self, listed: DataFrame) -> DataFrame | None:
+        """What is known of the buckets of these accessions; None before the first batch."""
+        version = self.table.manifest().version
+        return newest_rows(self.table.read(version, self.hit(listed)), self.KEYS) if version else None
+
+    def unseen(self, listed: DataFrame) -> DataFrame:
+        """Rows of ``listed`` whose accession is not known."""
+        known = self.among(listed)
+        return listed if known is None else listed.join(known.select("accession"), "accession", "left_anti")
+
+    def record(self, looked_into: DataFrame, surviving: DataFrame, number: int) -> None:
+        """Takes in a numbered batch: the accessions that were looked into, and rows of which some are kept."""
+        kept = surviving.select("accession", F.lit(False).alias("empty")).distinct()
+        rows = looked_into.select("accession").distinct().join(kept, "accession", "left").na.fill({"empty": True})
+        self.table.upsert(rows, self.KEYS, number, self.buckets)
+
+    def emptied(self) -> DataFrame:
+        """Accessions that gave nothing."""
+        return self.table.current(self.KEYS).where("empty").select("accession")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
@@ -48,12 +50,11 @@ def export_csv(df: DataFrame, path: str, prices: list[str], files: int | None =
 
 
 def ticker_documents(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row per ticker of any section, with a struct of each section's columns; null where it has none."""
+    """One row per ticker of any section, with a struct of each section's columns; null where it has none. Sections, of one
+    row per ticker each, are laid end to end and grouped once, however many they are."""
     parts = [df.select("ticker", F.struct(*(c for c in df.columns if c != "ticker")).alias(name)) for name, df in sections.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "ticker", "full_outer")
-    return out
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.groupBy("ticker").agg(*(F.first(name, ignorenulls=True).alias(name) for name in sections))
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -88,7 +89,17 @@ def newest_snapshots(snapshots: DataFrame, keep: int = 20) -> DataFrame:
     return snapshots.join(times, "as_of", "left_semi")
 
 
-def run_summary(status: DataFrame) -> DataFrame:
-    """(ok, failed, failed_tickers) of a batch's (ticker, error)."""
+#: Failures that a summary names.
+NAMED = 1000
+
+
+def failures(status: DataFrame, order: str = "ticker") -> DataFrame:
+    """The failed rows of a batch's status (ticker, error), in order: a table, for as many as there are."""
+    return status.where(F.col("error").isNotNull()).select(order, *(c for c in ("ticker", "error") if c != order)).orderBy(order)
+
+
+def run_summary(status: DataFrame, order: str = "ticker", named: int = NAMED) -> DataFrame:
+    """(ok, failed, failed_tickers) of a batch's (ticker, error): counts of all, and the first ``named`` failures in order."""
     bad = F.col("error").isNotNull()
-    return status.agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), F.sort_array(F.collect_list(F.when(bad, F.col("ticker")))).alias("failed_tickers"))
+    first = failures(status, order).limit(named).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("ticker").alias("t")))).alias("f")).select(F.col("f.t"))
+    return status.agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed")).withColumn("failed_tickers", first.scalar())

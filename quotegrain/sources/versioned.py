@@ -16,7 +16,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 #: Folders of one level of a bucket that are merged into one of the next.
@@ -125,15 +125,12 @@ class VersionedTable:
         if number <= base.batch:
             batch.write.format("noop").mode("overwrite").save()  # a stream's state of this batch is stored as it is computed
             return base
-        rows = batch.withColumns({_VERSION: F.lit(base.version + 1).cast("long"), _PART: self._bucket(keys, buckets)})
+        rows = batch.withColumns({_VERSION: F.lit(base.version + 1).cast("long"), _PART: bucket_of(keys, buckets)})
         made = self._write(rows.repartition(buckets, _PART))
         parts = {**base.parts, **{p: [*base.parts.get(p, []), (folder, 0)] for p, folder in made.items()}}
         schema = rows.drop(_PART).schema
         return self._commit(base, schema, self._merged(schema, parts, keys, buckets), number)
 
-    def _bucket(self, keys: list[str], buckets: int):
-        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
-
     def _merged(self, schema: StructType, parts: dict, keys: list[str], buckets: int) -> dict:
         """Parts whose folders of one level are fewer than ``fan``; only folders of full levels are read and written."""
         level = 0
@@ -142,7 +139,7 @@ class VersionedTable:
             full = {p: folders for p, folders in full.items() if len(folders) >= self.fan}
             if full:
                 rows = newest_rows(self._rows(schema, {f for folders in full.values() for f in folders}), keys)
-                made = self._write(rows.withColumn(_PART, self._bucket(keys, buckets)).repartition(buckets, _PART))
+                made = self._write(rows.withColumn(_PART, bucket_of(keys, buckets)).repartition(buckets, _PART))
                 parts = {**parts, **{p: [(made[p], level + 1), *(x for x in parts[p] if x[0] not in full[p])] for p in full}}
             level += 1
         return parts
@@ -168,6 +165,11 @@ class VersionedTable:
         return gone
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The part in which ``upsert`` puts a row."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
+
+
 def newest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows that are written with their version, each key's last."""
     by = Window.partitionBy(*keys).orderBy(F.desc(_VERSION))

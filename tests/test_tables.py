@@ -164,3 +164,46 @@ def test_tracked_quotes(spark, tmp_path):
     got = [(r.ticker, r.kind, r.quote_time.day, r.price) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     want = [("A", "quote", 1, 1.0), ("A", "quote", 2, 1.5), ("A", "quote", 3, 2.0), ("A", "quote", 9, 3.5), ("A", "quote", 10, 4.0)]
     assert sorted(got) == sorted([*want, ("B", "quote", 2, 5.0), ("B", "late", 2, 4.0), ("A", "late", 3, 3.0), ("B", "expired", 2, 5.0)])
+
+
+def test_seen_accessions(spark, tmp_path):
+    """Batches read only the buckets that they hit; what gave nothing is remembered, and may give something later."""
+    from quotegrain.sources.filings import SeenAccessions
+
+    of = lambda *names: spark.createDataFrame([(n,) for n in names], "accession string")
+    index = SeenAccessions(spark, str(tmp_path), 8)
+    assert index.unseen(of("a", "b")).count() == 2
+    index.record(of("a", "b", "c", "c"), of("a"), 0)
+    assert sorted(r.accession for r in index.emptied().collect()) == ["b", "c"]
+    assert [r.accession for r in index.unseen(of("a", "d")).collect()] == ["d"]
+    before = files(tmp_path)
+    index.record(of("c", "d"), of("c", "d"), 1)
+    index.record(of("z"), of("z"), 1)  # taken in already
+    assert len(set(files(tmp_path)) - set(before)) <= 2 and [r.accession for r in index.emptied().collect()] == ["b"]
+    assert {r.accession for r in index.unseen(of("a", "b", "c", "d", "z")).collect()} == {"z"}
+    # a batch of one accession reads one bucket's files
+    read = {"/".join(f.split("/")[-2:-1]) for f in index.among(of("b")).inputFiles()}
+    assert read == {"_part=" + index.hit(of("b"))[0]}
+    assert SeenAccessions(spark, str(tmp_path), 8).unseen(of("a")).count() == 0
+
+
+def test_failures_are_counted_and_named_in_order(spark):
+    status = spark.createDataFrame([("D", 1, None), ("C", 2, "x"), ("A", 3, "y"), ("B", 4, "z")], "ticker string, pos int, error string")
+    one = ingest.run_summary(status).first()
+    assert (one.ok, one.failed, one.failed_tickers) == (1, 3, ["A", "B", "C"])
+    assert ingest.run_summary(status, "pos", 2).first().failed_tickers == ["C", "A"]
+    assert [(r.pos, r.ticker, r.error) for r in ingest.failures(status, "pos").collect()] == [(2, "C", "x"), (3, "A", "y"), (4, "B", "z")]
+    assert ingest.run_summary(status.limit(0)).first().asDict() == {"ok": 0, "failed": 0, "failed_tickers": []}
+
+
+def test_documents(spark):
+    from quotegrain.operators import board
+
+    members = spark.createDataFrame([(2, "g2", 1, "C", "c"), (1, "g1", 2, "B", "b"), (1, "g1", 1, "A", "a")], 'group_pos int, `group` string, item_pos int, ticker string, name string')
+    quotes = spark.createDataFrame([("A", 11.0, 10.0), ("C", 1.0, None)], "ticker string, last double, prev_close double")
+    out = board.documents(board.board(members, quotes)).collect()
+    assert [(r.group, r.ok, r.total, [i.ticker for i in r["items"]]) for r in out] == [("g1", 1, 2, ["A", "B"]), ("g2", 0, 1, ["C"])]
+    sections = {"x": spark.createDataFrame([("A", 1)], "ticker string, v int"), "y": spark.createDataFrame([("A", 2), ("B", 3)], "ticker string, v int"), "z": spark.createDataFrame([], "ticker string, w string")}
+    one = ingest.ticker_documents(sections)
+    assert sorted((r.ticker, r.x and r.x.v, r.y.v, r.z) for r in one.collect()) == [("A", 1, 2, None), ("B", None, 3, None)]
+    assert ingest.ticker_documents(sections)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
