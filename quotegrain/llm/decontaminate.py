@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
-A text's words are runs of letters and digits, lower-cased. A document leaks an item if ``WINDOW`` words in a row of
+A text's words are runs of letters, marks and digits of any script, lower-cased; in scripts that are written without
+spaces each letter is a word. A document leaks an item if ``WINDOW`` words in a row of
 one equal as many of the other, place by place, but for at most ``SUBSTITUTIONS``; an item of ``LEAST_WORDS`` words or
 more, but fewer than a window, must occur whole but for one; a shorter one is no evidence. Spaced seeds find these
 windows: a mask names the places of a window that are hashed and ignores the others, so a substituted word at an ignored
@@ -35,6 +36,9 @@ FILTER_MOST = 27
 
 _APART = IS_SPACE.copy()
 _APART[:128] = [not chr(c).isalnum() for c in range(128)]
+#: Beyond ASCII: what parts words, and letters that are words by themselves.
+APART = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 @lru_cache(maxsize=8)
@@ -59,9 +63,19 @@ def _seed(hashes: np.ndarray, starts: np.ndarray, mask: tuple[int, ...], salt: i
     return mix(value)
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Texts whose words beyond ASCII have spaces between them; ASCII texts, of which there is nothing to do, stay."""
+    ascii_only = pc.fill_null(pc.string_is_ascii(texts), True)
+    if pc.all(ascii_only).as_py() is not False:
+        return texts
+    other = pc.filter(texts, pc.invert(ascii_only))
+    other = pc.replace_substring_regex(pc.replace_substring_regex(other, APART, " "), ALONE, r" \1 ")
+    return pc.replace_with_mask(texts, pc.invert(ascii_only), other)
+
+
 def _words(batch, column: str):
     """(first row, bytes, starts and ends of all words, their hashes, index of each row's first word) of runs of rows."""
-    lower = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(column))], [column])
+    lower = pa.RecordBatch.from_arrays([_spaced(pc.utf8_lower(batch.column(column)))], [column])
     for a, _, data, offsets in text_chunks(lower, column):
         starts, ends, firsts = word_bounds(data, offsets, _APART)
         yield a, data, starts, ends, word_hashes(data, starts, ends), firsts

@@ -89,7 +89,7 @@ FROM d LEFT JOIN kept USING (r)
 _OP8_SQL = r"""
 WITH words AS (SELECT 'item' AS side, item_id AS id, row_number() OVER () AS r, lower(text) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
                UNION ALL SELECT 'doc', doc_id, row_number() OVER (), lower(text) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-w AS (SELECT side, id, r, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM words),
+w AS (SELECT side, id, r, list_filter(string_split_regex(regexp_replace(t, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])', ' \1 ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM words),
 nn AS (SELECT DISTINCT least(len(ws), {window}) AS n, CASE WHEN len(ws) >= {window} THEN {most} ELSE {few} END AS most FROM w WHERE side = 'item' AND len(ws) >= {least}),
 -- a window of n words that differs in so many has one part of most + 1 unchanged
 v AS (SELECT side, id, r, n, most, i, list_slice(ws, i + 1, i + n) AS v FROM w JOIN nn ON len(ws) >= n AND (side = 'doc' OR n = least(len(ws), {window})), unnest(range(0, len(ws) - n + 1)) AS t(i)),

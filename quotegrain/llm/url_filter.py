@@ -15,11 +15,14 @@ RULE_SCHEMA = "host string, path string, verdict string"
 PREFIX_BYTES = 4
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def url_host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(host, _UPPER, _UPPER.lower()), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -60,7 +63,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", id_col: str =
     urls = df.select(F.col(id_col).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     filed = (
         rules.where("host is not null and verdict is not null")
-        .select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+        .select(F.translate("host", _UPPER, _UPPER.lower()).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
         .withColumn("rule_digest", _digest(F.col("rule_host"), F.regexp_extract("rule_path", r"(?s)^(.*/)?", 0)))
         .withColumn("prefix", F.substring("rule_digest", 1, 2 * PREFIX_BYTES))
         .distinct()

@@ -392,6 +392,44 @@ def test_decontamination_equals_brute_force(spark):
     assert left.columns == df.columns and sorted(str(x.doc_id) for x in left.collect()) == sorted(str(i) for i, _ in rows if i not in {i for i, _ in want})
 
 
+def test_decontamination_in_any_script(spark):
+    """Curly quotes, dashes and scripts without spaces; the words by Unicode categories, not by the operator's patterns."""
+    import unicodedata
+
+    def split(text):
+        out = [""]
+        for c in text.lower():
+            alone = any(name in unicodedata.name(c, "") for name in ("CJK", "HIRAGANA", "KATAKANA", "THAI CHARACTER")) and unicodedata.category(c)[0] in "LM"
+            if alone:
+                out += [c, ""]
+            elif unicodedata.category(c)[0] in "LMN":
+                out[-1] += c
+            else:
+                out.append("")
+        return [w for w in out if w]
+
+    r = random.Random(12)
+    plain = ["größe", "naïve", "élan", "word", "ño", "слово", "λόγια", "x9", "ab", "e\u0301t"]
+    han = "汉字文本数据基准测试泄漏检查语言模型训练"
+    items = [(1, " ".join(r.choices(plain, k=13))), (2, "".join(r.choices(han, k=20))), (3, "ไทยภาษาข้อความทดสอบ"), (4, " ".join(r.choices(plain, k=30)))]
+    words = {i: t.split() for i, t in items}
+    rows = [
+        (10, "start " + " ".join(f"\u201c{w}\u201d" for w in words[1]) + " end"), (11, "\u2014".join(words[4][5:20])), (12, "前" + items[1][1] + "。"), (13, items[1][1][:6] + "、" + items[1][1][6:]),
+        (14, "ก " + items[2][1]), (15, "\u00a0".join(words[1]).upper()), (16, "clean text of words \u2014 nothing more"), (17, "…".join(words[1][:12])), (18, "汉 字" + items[1][1][3:12]),
+    ]
+    want = set()
+    for i, text in rows:
+        for j, item in items:
+            a, b = split(text), split(item)
+            n = min(13, len(b))
+            assert n >= 13 or j not in (1, 2, 4)
+            if any(sum(x != y for x, y in zip(a[p : p + n], b[q : q + n])) <= 2 for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)):
+                want.add((i, j))
+    assert {(10, 1), (11, 4), (12, 2), (13, 2), (14, 3), (15, 1)} <= want and not {16, 17} & {i for i, _ in want}
+    got = decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+
+
 def test_spaced_masks_lose_nothing():
     from itertools import combinations
 
@@ -510,6 +548,12 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(rows.limit(0), rules).count() == 0 and url_filter.filter_urls(rows, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_rules_are_lower_cased_in_ascii_only(spark):
+    pages = spark.createDataFrame([(1, "http://É.net/a"), (2, "http://é.net/a"), (3, "http://EX.net/a")], "page_id long, url string")
+    out = url_filter.filter_urls(pages, url_filter.rules_frame(spark, [("É.net", "/", "block"), ("Ex.NET", "/", "block")])).collect()
+    assert {x.page_id: x.verdict for x in out} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_anchor_hashes_sent():
     h = np.array([1, 1 << 39, (1 << 64) - 1], np.uint64)
     hashes, several = anchors.sent_hashes([anchors._squeeze(anchors._low(h), np.array([True, False, True]))])
