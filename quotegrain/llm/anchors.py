@@ -34,7 +34,7 @@ from .common import CHUNK_BYTES, bucketed, mix, parts_for, ranges, shuffle_parts
 #: Bytes of text that are worked on at a time, of a set at most, of a bucket of anchor hashes, of a written bucket of sets.
 PIECE_BYTES = 1 << 20
 MOST_SET = 32 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
 #: Bytes of entries that a set gathers before it sends them.
 FLUSH_BYTES = 24 << 20
@@ -92,10 +92,11 @@ class Layout:
 
 
 def layout(spark: SparkSession, total_bytes: int) -> Layout:
-    """As many buckets and files as the session has tasks, but no more than hold an eighth of what one of them may hold."""
+    """As many buckets and files as the session has tasks, but none that holds less than half of what it may hold: files
+    cost more than they save where they are small."""
     tasks = shuffle_parts(spark)
-    parts = lambda each: parts_for(total_bytes, each, min(tasks, parts_for(total_bytes, each // 8, 1)))
-    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), parts(BUCKET_BYTES), parts(FILE_BYTES))
+    parts = lambda each: parts_for(total_bytes, each, min(tasks, parts_for(total_bytes, each // 2, 1)))
+    return Layout(min(max(total_bytes // (2 * tasks), 4 * PIECE_BYTES), MOST_SET), parts(BUCKET_BYTES), parts(FILE_BYTES))
 
 
 PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"
