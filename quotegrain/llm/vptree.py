@@ -226,44 +226,39 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR,
 
     trees = written(shards.select("cell", "shard", "size", "vec_id", "v").groupBy("cell", "shard").applyInArrow(build, "cell long, shard int, tree binary"), "trees")
     blocks = parts_for(n // every, QUERY_BLOCK, 1)
-    queries = celled.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asking = celled.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def bounds(batch):
+        """(rows, their cells, bounds on their inner products with each cell's vectors) of runs of rows of one dimension."""
+        sizes = batch.column(2).to_numpy()
+        for size in np.unique(sizes).tolist():
+            base, points = pivots.value[size]
+            own = [c for c in range(base, base + len(points)) if c in about.value]
+            _, low, high, longest = (np.array(x) for x in zip(*(about.value[c] for c in own), strict=True))
+            at = np.flatnonzero(sizes == size)
+            for a in range(0, len(at), 256):
+                some = at[a : a + 256]
+                q, centres = _vectors(batch.column(1).take(pa.array(some)), size), points[np.array(own) - base]
+                q_len = np.sqrt(np.square(q).sum(1))[:, None]
+                yield some, np.array(own), _bounds(_far(q, centres), q @ centres.T, q_len, low, high, longest, factor)
+
+    def homes(batches):
+        """Each query with the cell of its best bound, which it visits first."""
+        for batch in batches:
+            home = np.zeros(batch.num_rows, np.int64)
+            for some, own, bound in bounds(batch):
+                home[some] = own[bound.argmax(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], ["vec_id", "v", "size", "block", "home"])
+
+    queries = written(asking.mapInArrow(homes, "vec_id long, v array<double>, size int, block int, home long").withColumn("q", F.monotonically_increasing_id()), "queries")
 
-    def routes(batches, first: bool):
-        """Cells (and their numbers of shards) that each query visits: that of its best bound, or all others open."""
+    def onward(batches):
+        """(q, cell, floor) of the other cells that may hold something nearer than what was found at home."""
         for batch in batches:
-            sizes, out = batch.column(2).to_numpy(), []
-            floors = np.full(len(sizes), -np.inf) if first else batch.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes).tolist():
-                base, points = pivots.value[size]
-                own = [c for c in range(base, base + len(points)) if c in about.value]
-                count, low, high, longest = (np.array(x) for x in zip(*(about.value[c] for c in own), strict=True))
-                at = np.flatnonzero(sizes == size)
-                for a in range(0, len(at), 256):
-                    some = at[a : a + 256]
-                    q = _vectors(batch.column(1).take(pa.array(some)), size)
-                    centres = points[np.array(own) - base]
-                    q_len = np.sqrt(np.square(q).sum(1))[:, None]
-                    bound = _bounds(_far(q, centres), q @ centres.T, q_len, low, high, longest, factor)
-                    best = bound.argmax(1)
-                    if first:
-                        go = np.zeros(bound.shape, bool)
-                    else:
-                        go = bound >= floors[some, None]
-                    go[np.arange(len(some)), best] = first
-                    i, c = np.nonzero(go)
-                    i, c = np.repeat(i, count[c]), np.repeat(c, count[c])
-                    shard_ = np.arange(len(i)) - np.searchsorted(i * len(own) + c, i * len(own) + c)
-                    out.append((some[i], np.array(own)[c], shard_, floors[some][i]))
-            at, cell, shard_, floor = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
-            for a in range(0, len(at), 8192):
-                part = slice(a, a + 8192)
-                take = pa.array(at[part])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(cell[part].astype(np.int64)), pa.array(shard_[part].astype(np.int32)), pa.array(floor[part].astype(float))],
-                    ["vec_id", "v", "size", "block", "cell", "shard", "floor"],
-                )
-
-    routed = "vec_id long, v array<double>, size int, block int, cell long, shard int, floor double"
+            floors, home = batch.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
+            for some, own, bound in bounds(batch):
+                i, c = np.nonzero((bound >= floors[some, None]) & (own[None] != home[some, None]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[i])), pa.array(own[c].astype(np.int64)), pa.array(floors[some][i].astype(float))], ["q", "cell", "floor"])
 
     def answer(questions: pa.Table, index: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -280,17 +275,19 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR,
         columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    keys = ["cell", "shard", "block"]
-
-    def found_by(asked: DataFrame) -> DataFrame:
-        met = asked.groupBy(*keys).cogroup(trees.withColumn("block", each).groupBy(*keys))
-        return met.applyInArrow(answer, "query_id long, vec_id long, score double")
-
-    near = written(found_by(queries.mapInArrow(lambda b: routes(b, True), routed)), "home")
-    floor = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).alias("floor"))
-    rest = queries.join(floor.withColumnRenamed("query_id", "vec_id").dropDuplicates(["vec_id"]), "vec_id", "left").select("vec_id", "v", "size", "block", "floor")
-    return _ranked(near.unionByName(found_by(rest.mapInArrow(lambda b: routes(b, False), routed))), k)
+    def found_by(visits: DataFrame) -> DataFrame:
+        """Of visits (q, cell, floor): a tree goes to the blocks of queries that visit its cell, and to no others."""
+        visits = written(visits.join(queries.select("q", "block"), "q"), "visits")
+        placed = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        keys = ["cell", "shard", "block"]
+        asked = visits.join(placed, "cell").join(queries.select("q", "vec_id", "v", "size"), "q").select(*keys, "vec_id", "v", "size", "floor")
+        sent = trees.join(visits.select("cell", "block").distinct(), "cell").select(*(F.col(c).alias(c) for c in keys), "tree")
+        return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
+
+    near = written(found_by(queries.select("q", F.col("home").alias("cell"), F.lit(float("-inf")).alias("floor"))), "home")
+    floor = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).alias("floor"))
+    rest = queries.join(floor, "vec_id", "left").select("q", "v", "size", "floor", "home")
+    return _ranked(near.unionByName(found_by(rest.mapInArrow(onward, "q long, cell long, floor double"))), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
