@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import change, change_pct, symbol
+from ..scratch import written
 from ..sources.ingest import NAMED, run_summary
+from ..sources.versioned import VersionedTable
 
 MOST_ROWS = 1000
 DMA = 200
@@ -68,6 +70,25 @@ def run_select(spark: SparkSession, views: dict[str, DataFrame], query: str) ->
             spark.catalog.dropTempView(name)
 
 
+#: Months that hold 200 closes of a ticker that trades on most days.
+RECENT_MONTHS = 14
+
+
+def recent_bars(table: VersionedTable, universe: DataFrame, months: int = RECENT_MONTHS) -> DataFrame:
+    """The bars of a table in parts by month that a snapshot of these tickers needs: of the newest months, and of older ones
+    only for tickers that have fewer than 200 closes there. If there are none, older months are not read at all."""
+    version = table.manifest()
+    parts = sorted(version.parts, reverse=True)
+    recent = table.read(version.version, parts[:months]).join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    if not parts[months:]:
+        return recent
+    full = recent.groupBy("ticker").agg(F.count("close").alias("k")).where(F.col("k") >= DMA)
+    short = written(universe.select("ticker").distinct().join(full, "ticker", "left_anti"), "short")
+    if not short.head(1):
+        return recent
+    return recent.unionByName(table.read(version.version, parts[months:]).join(short, "ticker", "left_semi"))
+
+
 def snapshot(bars: DataFrame, spot: DataFrame) -> DataFrame:
     """Newest bar, newest quote and the 200-bar mean, which needs 200 closes; one row per known ticker."""
     # bars are read once: the newest and the mean come from one aggregate

@@ -242,6 +242,7 @@ SQL = {
     "quote_repair": _q(f"{BARS}, {_SPOT}", """, c AS (SELECT ticker, max(close) FILTER (k = 1) AS c1, max(close) FILTER (k = 2) AS c2 FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE close <> 0) WHERE k <= 2 GROUP BY ticker)
         SELECT n_name AS ticker, coalesce(sp.price, c1) AS last, coalesce(sp.previous_close, c2) AS prev_close FROM nation LEFT JOIN sp ON sp.ticker = n_name LEFT JOIN c ON c.ticker = n_name"""),
 }
+SQL["stored_snapshot"] = SQL["snapshot"]
 SQL["latest_stream"] = _q(_SPOT, "SELECT ticker, captured_at, price FROM sp")
 SQL |= {
     "ticker_documents": _q(SETUP + _REGIME[len(PANEL):] + _MOM[len(PANEL):] + "," + GROUPS, """SELECT s1.ticker, stack, vol_state, coalesce(stack = 'aligned_up' AND vol_state = 'contracted' AND ud >= 1.2, false) AS in_setup, regime, round(r2, 4) AS r2,

@@ -42,6 +42,14 @@ def snapshot(spark, d):
     return lookup.snapshot(t.bars(spark, d), t.spot(spark, d)).withColumn("volume", F.col("volume").cast("double"))
 
 
+def stored_snapshot(spark, d):
+    """The snapshot of a stored table of bars in parts by month: older months are read for tickers with few bars only."""
+    table = VersionedTable(spark, scratch(spark, "bars"))
+    ingest.upsert_months(table, t.bars(spark, d).withColumns({"source": F.lit("x"), "updated_at": F.lit("2002-01-01").cast("timestamp")}))
+    bars = lookup.recent_bars(table, t.groups(spark, d))
+    return lookup.snapshot(bars, t.spot(spark, d)).withColumn("volume", F.col("volume").cast("double"))
+
+
 def tickers(spark, d):
     return t.groups(spark, d).select("ticker").distinct()
 
@@ -379,7 +387,7 @@ def casts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    coverage, history, latest_quotes, performance, run_select, snapshot, tickers, eligibility, quote_changes, envelope, upsert_bars, upsert_spot, indicators, setup, regime,
+    coverage, history, latest_quotes, performance, run_select, snapshot, stored_snapshot, tickers, eligibility, quote_changes, envelope, upsert_bars, upsert_spot, indicators, setup, regime,
     momentum, momentum_ranks, relative_strength, signals, backtest, event_study, study_span, setup_evidence, insider_dedupe, insider_buckets, insider_compact, insider_mode,
     unseen_accessions, seen_accessions, board, board_documents, evidence_documents, envelope_failures, run_failures, tick_average, movers, quote_repair, latest_stream, ticker_documents, emptied_accessions, stream_quotes, stream_errors, snapshot_quotes, snapshot_errors, run_summary,
     stored_bars, touched_months, watchlist_symbols, watchlist_groups, issuer_ids, filing_forms, filing_pages, form4_trades, form144_notices, close_spread, display_texts, casts,

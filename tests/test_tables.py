@@ -207,3 +207,23 @@ def test_documents(spark):
     one = ingest.ticker_documents(sections)
     assert sorted((r.ticker, r.x and r.x.v, r.y.v, r.z) for r in one.collect()) == [("A", 1, 2, None), ("B", None, 3, None)]
     assert ingest.ticker_documents(sections)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_snapshot_reads_recent_months(spark, tmp_path):
+    from quotegrain.operators import lookup
+
+    day = lambda k: dt.date(2022, 1, 1) + dt.timedelta(days=k)
+    rows = [bar(day(k), float(k), 1, "DAILY") for k in range(730)] + [bar(day(k), float(k), 1, "WEEKLY") for k in range(0, 730, 3)] + [bar(day(5), 1.0, 1, "OLD")]
+    every = spark.createDataFrame(rows, schemas.BARS)
+    table = VersionedTable(spark, str(tmp_path))
+    ingest.upsert_months(table, every)
+    spot = spark.createDataFrame([], "ticker string, captured_at timestamp, price double, previous_close double")
+    names = lambda *t: spark.createDataFrame([(x,) for x in t], "ticker string")
+    months = lambda df: {f.split("_part=")[1][:7] for f in df.inputFiles() if "_part=" in f}
+    daily = lookup.recent_bars(table, names("DAILY"))
+    assert len(months(daily)) == lookup.RECENT_MONTHS and min(months(daily)) == "2022-11"
+    for asked in (("DAILY",), ("DAILY", "WEEKLY", "OLD")):
+        part = lookup.recent_bars(table, names(*asked))
+        want = lookup.snapshot(every.where(F.col("ticker").isin(*asked)), spot).orderBy("ticker").collect()
+        assert lookup.snapshot(part, spot).orderBy("ticker").collect() == want and len(want) == len(asked)
+    assert len(months(lookup.recent_bars(table, names("OLD")))) == 24
