@@ -93,9 +93,10 @@ class VersionedTable:
         return new
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Writes rows with a column _part as new folders; returns the folder of each part."""
+        """Writes rows with a column _part as new folders; returns the folder of each part. Rows of a part meet, so that it has
+        few files; large parts are split again by Spark."""
         write = uuid.uuid4().hex
-        rows.write.partitionBy(_PART).parquet(f"{self.path}/data/{_WRITE}={write}")
+        rows.hint("rebalance", _PART).write.partitionBy(_PART).parquet(f"{self.path}/data/{_WRITE}={write}")
         names = self._files.names(f"{self.path}/data/{_WRITE}={write}")
         return {n.split("=", 1)[1]: f"{_WRITE}={write}/{n}" for n in names if n.startswith(f"{_PART}=")}
 
@@ -126,7 +127,7 @@ class VersionedTable:
             batch.write.format("noop").mode("overwrite").save()  # a stream's state of this batch is stored as it is computed
             return base
         rows = batch.withColumns({_VERSION: F.lit(base.version + 1).cast("long"), _PART: bucket_of(keys, buckets)})
-        made = self._write(rows.repartition(buckets, _PART))
+        made = self._write(rows)
         parts = {**base.parts, **{p: [*base.parts.get(p, []), (folder, 0)] for p, folder in made.items()}}
         schema = rows.drop(_PART).schema
         return self._commit(base, schema, self._merged(schema, parts, keys, buckets), number)
@@ -139,7 +140,7 @@ class VersionedTable:
             full = {p: folders for p, folders in full.items() if len(folders) >= self.fan}
             if full:
                 rows = newest_rows(self._rows(schema, {f for folders in full.values() for f in folders}), keys)
-                made = self._write(rows.withColumn(_PART, bucket_of(keys, buckets)).repartition(buckets, _PART))
+                made = self._write(rows.withColumn(_PART, bucket_of(keys, buckets)))
                 parts = {**parts, **{p: [(made[p], level + 1), *(x for x in parts[p] if x[0] not in full[p])] for p in full}}
             level += 1
         return parts
