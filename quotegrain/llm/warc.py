@@ -2,8 +2,8 @@
 
 A record is one row of bytes, and Spark's text sink writes a row's bytes as they are, followed by a separator; the
 last line feed of each record is that separator. So archives are plain ``.warc`` content, in gzip files, on any file
-system Spark writes to. Reading takes whole files (``binaryFile``), cuts them by Content-Length, and reassembles segments: rows of
-continuation records are grouped by origin identifier, ordered by segment number, checked against the total length,
+system Spark writes to. Reading takes files (``binaryFile``; also with a gzip member for each record), unpacks them as
+records are cut off by Content-Length, and reassembles segments: rows of continuation records are grouped by origin identifier, ordered by segment number, checked against the total length,
 and the chunked framing of the whole is decoded.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -156,23 +158,35 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     dealt.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path, compression="gzip")
 
 
+#: Bytes of a record's fields at most; more are no fields.
+_HEAD = 1 << 20
+
+
 def _parse(content: bytes):
-    """Yields the fields and the block of each record; stops at bytes that are no record."""
-    at = 0
-    view = memoryview(content)
-    while True:
-        while content[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0 or content[at : at + 5] != b"WARC/":
-            return
-        fields = {}
-        for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            fields[k.strip().lower()] = v.strip()
-        n = int(fields.get("content-length") or 0)
-        yield fields, bytes(view[end + 4 : end + 4 + n])
-        at = end + 4 + n
+    """Yields the fields and the block of each record of an archive, plain or in gzip members, which is unpacked as it is
+    read. Stops at bytes that are no record, and where a gzip stream is damaged: records before that are whole."""
+    stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    try:
+        while True:
+            line = stream.readline(_HEAD)
+            while line in (b"\r\n", b"\n", b"\r"):
+                line = stream.readline(_HEAD)
+            if not line.startswith(b"WARC/"):
+                return
+            fields, size = {}, len(line)
+            while (line := stream.readline(_HEAD)) not in (b"\r\n", b""):
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                fields[k.strip().lower()] = v.strip()
+                size += len(line)
+                if size > _HEAD:
+                    return
+            n = int(fields.get("content-length") or 0)
+            block = stream.read(n)
+            if not line or len(block) < n:
+                return
+            yield fields, block
+    except (EOFError, OSError, zlib.error, ValueError):
+        return
 
 
 def _parsed(batches):
@@ -187,7 +201,7 @@ def _parsed(batches):
     for batch in batches:
         for content in batch.column(0):
             rows, size, raw = [], 0, content.as_py() or b""
-            for f, block in _parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+            for f, block in _parse(raw):
                 digest = (f.get("warc-payload-digest") or "").rpartition(":")[2] or None
                 rows.append((bare(f.get("warc-record-id")), bare(f.get("warc-segment-origin-id")), whole(f.get("warc-segment-number")), whole(f.get("warc-segment-total-length")), f.get("warc-type"), f.get("warc-target-uri"), digest, bare(f.get("warc-refers-to")), whole(f.get("x-payload-length")), block))
                 size += len(block)

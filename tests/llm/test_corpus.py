@@ -532,6 +532,54 @@ def test_warc_null_and_repeated_ids(spark):
     assert all(kept[r.refers_to] == r.payload_digest for r in found if r.refers_to)
 
 
+def test_warc_members_and_damage(spark, tmp_path):
+    """Archives with a gzip member for each record; of a damaged one the records before the damage."""
+    import gzip
+
+    records = [r + b"\n" for i in range(6) for r in warc._records_of(f"urn:x-page:{i}", "u", "text %d " % i * 50, None, 16384)]
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(members))
+    assert sorted(r.page_id for r in warc.page_report(warc.read_archives(spark, str(tmp_path))).collect()) == list(range(6))
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "members.warc.gz").write_bytes(b"".join(members[:3]) + b"\x1f\x8bdamaged" + b"".join(members[4:]))
+    (broken / "stream.warc.gz").write_bytes(gzip.compress(b"".join(records))[:-40])
+    (broken / "plain.warc").write_bytes(b"".join(records)[:-30])
+    (broken / "none.warc").write_bytes(b"")
+    found = warc.read_archives(spark, str(broken)).collect()
+    assert all(r.complete for r in found) and sum(r.record_id == "urn:x-page:2" for r in found) == 3
+    # columns whose names clash are ignored, and a table may be empty
+    rows = [(1, "u", "x", b"b", "d"), (1, "u", "x", b"b", "d"), (2, "u", None, None, None)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, block binary, digest string")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.page_report(warc.round_trip(odd)).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert warc.round_trip(odd.limit(0)).count() == 0
+
+
+def test_edges_of_texts(spark):
+    """Empty tables, null ids, repeated rows and clashing names, of operators that judge rows each."""
+    clash = "doc_id long, text string, n_tokens int, fp string, ids int, fingerprint int, score string, lang string, held_out int, term string"
+    rows = [(i, t, 1, "f", 2, 3, "s", "en", 4, "t") for i, t in [(None, "one two three four five"), (1, "one two three four five"), (1, "one two three four five"), (2, None), (3, ""), (4, "w " * 30000)]]
+    df = spark.createDataFrame(rows, clash)
+    for run in (lambda d: bpe.encode_decode(d, "word_bpe_49k.json", keep_ids=False), lambda d: token_count.count_tokens(d, "piece_bpe_32k.model"), simhash.near_duplicates, lambda d: lang_id.predict(d, None)):
+        out = run(df).collect()
+        assert sorted((r.doc_id for r in out), key=str) == sorted((r[0] for r in rows), key=str)
+        same = [tuple(r)[1:] for r in out if r.doc_id in (None, 1)]
+        assert len(same) == 3 and len({str(x) for x in same if x[-1] is not None}) <= 2
+        assert run(df.limit(0)).count() == 0
+    pages = spark.createDataFrame([(None, "http://a.net/x", "r", "v"), (1, "http://a.net/x", "r", "v"), (1, "http://a.net/x", "r", "v"), (2, None, "r", "v")], "page_id long, url string, rule string, verdict string")
+    rules = url_filter.rules_frame(spark, [("net", "/", "block")])
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()), key=str) == [(1, "net/", "block"), (1, "net/", "block"), (2, None, "allow"), (None, "net/", "block")]
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, "/root/testdata/sf0.001").count() == 0
+
+
 def test_url_filter(spark):
     rules = url_filter.rules_frame(spark, [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de", "block"), ("org", "", "block"), ("org", "", "allow")])
     urls = ["http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?x", "http://example.net/e", "https://w.example.com/deutsch", "http://notexample.com/de", "x", None, "http://b.org#f", "http://net/q"]
