@@ -92,11 +92,11 @@ class Layout:
 
 
 def layout(spark: SparkSession, total_bytes: int) -> Layout:
-    """As many buckets and files as the session has tasks, but none that holds less than half of what it may hold: files
-    cost more than they save where they are small."""
+    """Buckets of hashes are as many as the session has tasks, but none holds less than half of what it may hold. Files are
+    never fewer than tasks: Spark would deal rows out anew to read them in more."""
     tasks = shuffle_parts(spark)
-    parts = lambda each: parts_for(total_bytes, each, min(tasks, parts_for(total_bytes, each // 2, 1)))
-    return Layout(min(max(total_bytes // (2 * tasks), 4 * PIECE_BYTES), MOST_SET), parts(BUCKET_BYTES), parts(FILE_BYTES))
+    buckets = parts_for(total_bytes, BUCKET_BYTES, min(tasks, parts_for(total_bytes, BUCKET_BYTES // 2, 1)))
+    return Layout(min(max(total_bytes // (2 * tasks), 4 * PIECE_BYTES), MOST_SET), buckets, parts_for(total_bytes, FILE_BYTES, tasks))
 
 
 PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"
