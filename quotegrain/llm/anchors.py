@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import CHUNK_BYTES, bucketed, mix, parts_for, ranges, shuffle_parts, slide, text_bytes, text_chunks
+from .common import CHUNK_BYTES, bucketed, giving_back, mix, parts_for, ranges, shuffle_parts, slide, text_bytes, text_chunks
 
 #: Bytes of text that are worked on at a time, of a set at most, of a bucket of anchor hashes, of a written bucket of sets.
 PIECE_BYTES = 1 << 20
@@ -96,7 +96,7 @@ def layout(spark: SparkSession, total_bytes: int) -> Layout:
     never fewer than tasks: Spark would deal rows out anew to read them in more."""
     tasks = shuffle_parts(spark)
     buckets = parts_for(total_bytes, BUCKET_BYTES, min(tasks, parts_for(total_bytes, BUCKET_BYTES // 2, 1)))
-    return Layout(min(max(total_bytes // (2 * tasks), 4 * PIECE_BYTES), MOST_SET), buckets, parts_for(total_bytes, FILE_BYTES, tasks))
+    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), buckets, parts_for(total_bytes, FILE_BYTES, tasks))
 
 
 PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"
@@ -149,7 +149,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, set_bytes: int, batch: int =
 
     extra = [f"c{i}" for i in range(len(carry))]
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
-    return docs.where("doc_id is not null").mapInArrow(run, PACKED)
+    return docs.where("doc_id is not null").mapInArrow(giving_back(run), PACKED)
 
 
 def packed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Layout]:
@@ -318,7 +318,7 @@ def anchor_rows(table: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                 yield from send.add(group.bucket, _low(group.distinct), group.several)
             yield send.rows()
 
-    return table.select("s", "metas", "bodies").mapInArrow(run, SENT)
+    return table.select("s", "metas", "bodies").mapInArrow(giving_back(run), SENT)
 
 
 def sent_hashes(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -466,7 +466,7 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
                 yield from send.add(x.bucket[k], x.hash[k], x.digest[k], x.least[k])
             yield send.rows()
 
-    agreed = asked.mapInArrow(classes, SENT).groupBy("b").applyInArrow(_agreed, REPLY)
+    agreed = asked.mapInArrow(giving_back(classes), SENT).groupBy("b").applyInArrow(_agreed, REPLY)
     asked = asked.join(_by_set(agreed, "agreed"), "s", "left")
 
     def details(batches):
@@ -491,7 +491,7 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
         del parts
         return answers(sent, tell_apart(h, rows.reshape(len(h), -1), left.astype(np.int64), right.astype(np.int64), least), sizes)
 
-    apart = asked.mapInArrow(details, SENT).groupBy("b").applyInArrow(told, REPLY)
+    apart = asked.mapInArrow(giving_back(details), SENT).groupBy("b").applyInArrow(told, REPLY)
     last = table if targets is None else table.where(targets)
     last = last.select("s", "metas", "bodies").join(asked.select("s", "masks", "agreed"), "s", "left").join(_by_set(apart, "apart"), "s", "left")
 
@@ -521,7 +521,7 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
                     starts.append(at[value[ranges(base[x.of[i]], count[i])] < np.repeat(doc[i], count[i])])
                 yield finish(group, np.concatenate(starts))
 
-    return last.mapInArrow(final, schema)
+    return last.mapInArrow(giving_back(final), schema)
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import tokenizer_path
+from .common import giving_back, tokenizer_path
 
 #: Pre-tokens whose ids a Python worker keeps.
 CACHE = 80_000
@@ -257,4 +257,4 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names)
         load.cache_clear()  # the worker lives on, with other work
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), schema).withColumnRenamed("doc_id", id_col)
