@@ -46,8 +46,10 @@ def regime(panel: DataFrame) -> DataFrame:
         .when(F.col("r2") >= TREND_R2, "trending").when((F.col("r2") < REVERT_R2) & (F.col("cross") <= REVERT_CROSS), "mean_reverting").otherwise("neither")
     )
     known = F.col("r2").isNotNull() & F.col("cross").isNotNull()
-    return agg.withColumn("regime", label).select(
-        "ticker", "regime", F.round("r2", 4).alias("r2"), F.when(known, null_percentile(F.col("r2"))).alias("r2_vs_null_pct"), F.round("vr", 4).alias("vr"),
+    # not in the select below: a lambda there takes r2 for the rounded column of that name
+    agg = agg.withColumns({"regime": label, "pct": F.when(known, null_percentile(F.col("r2")))})
+    return agg.select(
+        "ticker", "regime", F.round("r2", 4).alias("r2"), F.col("pct").alias("r2_vs_null_pct"), F.round("vr", 4).alias("vr"),
         F.round("cross", 2).alias("cross_rate"), F.when(known, F.when(F.col("last") >= F.col("first"), "up").otherwise("down")).alias("slope"),
         (F.col("regime") == "trending").alias("trend_ok"), (F.col("regime") == "mean_reverting").alias("oscillator_ok"),
         F.when(F.col("regime") == "trending", FALSE_TREND).when(F.col("regime") == "mean_reverting", FALSE_REVERT).alias("false_positive_rate"), "window",

@@ -87,6 +87,18 @@ def test_regime_labels(spark):
     assert (one.a, one.b) == (90, 100)
 
 
+def test_regime_percentile_is_of_the_unrounded_fit(spark):
+    x = np.arange(120) - 74.5  # of the last 90 bars the mean is 0
+    noise = np.random.default_rng(1).normal(size=120)
+    last = slice(30, None)
+    noise -= noise[last].mean()
+    noise -= x * (noise[last] @ x[last]) / (x[last] @ x[last])
+    closes = lambda r2: np.exp(x * np.sqrt(r2 / (x[last] @ x[last])) + noise * np.sqrt((1 - r2) / (noise[last] @ noise[last]))).tolist()
+    rows = {r.ticker: r for r in regime(indexed(bars(spark, BELOW=closes(0.70397), ABOVE=closes(0.70403)))).collect()}
+    assert (rows["BELOW"].r2, rows["BELOW"].r2_vs_null_pct) == (0.704, 70)
+    assert (rows["ABOVE"].r2, rows["ABOVE"].r2_vs_null_pct) == (0.704, 75)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_backtest_equals_the_loop(spark, seed):
     r = random.Random(seed)
