@@ -37,8 +37,9 @@ def upsert_months(table: VersionedTable, batch: DataFrame) -> Manifest:
     return table.replace(upsert(table.read(base.version, months), fresh, ["ticker", "date"]), "month", base)
 
 
-def upsert_spot(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    return upsert(existing, batch, ["ticker", "captured_at"], at="captured_at")
+def upsert_spot(existing: DataFrame, batch: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Quotes by ticker and time; ``also``: columns that tell quotes of one ticker and time apart, where a source has them."""
+    return upsert(existing, batch, ["ticker", "captured_at", *also], at="captured_at")
 
 
 def export_csv(df: DataFrame, path: str, prices: list[str], files: int | None = None) -> None:

@@ -16,6 +16,7 @@ from quotegrain.operators.indicators import with_indicators
 from quotegrain.operators.panel import clean, indexed, skipped
 from quotegrain.operators.regime import null_percentile, regime
 from quotegrain.operators.structure import setup, swings
+from quotegrain.plans import queries as plans
 from quotegrain.sources import filings, ingest, watchlist
 from quotegrain.streaming import quotes as feed
 
@@ -152,6 +153,17 @@ def test_upsert_is_idempotent(spark):
     assert {r.ticker: r.close for r in once.collect()} == {"A": 9.0, "B": 2.0}
 
 
+def test_quotes_of_one_time_are_kept(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    events = [(0, at, 1, "view", 1.0, None), (1, at, 2, "view", 2.0, None), (2, at, 2, "view", 2.0, None), (3, at, 3, "click", None, None)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = plans.upsert_spot(spark, str(tmp_path)).collect()
+    assert sorted((r.ticker, r.price or 0.0, r.previous_close) for r in rows) == [("click", 0.0, 3.0), ("view", 1.0, 1.0), ("view", 2.0, 2.0), ("view", 2.0, 2.0)]
+    # by ticker and time alone the last write wins
+    quote = lambda p: spark.createDataFrame([("A", at, p)], "ticker string, captured_at timestamp, price double")
+    assert [r.price for r in ingest.upsert_spot(quote(1.0), quote(2.0)).collect()] == [2.0]
+
+
 def test_watchlist(spark):
     text = "# ==== banner\nspy  # comment\n# --- Semiconductors ---\nNVDA\n\n# --- Gold miners ---\nnem\nBTC-USD\nNVDA\n# --- Macro ---\n^VIX\n"
     df = spark.createDataFrame([(text,)], "value string")
