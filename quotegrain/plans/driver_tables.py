@@ -127,6 +127,17 @@ def _element(name: str, *parts) -> Column:
     return F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
 
 
+#: Order lines of a task that gathers them, at most and at least about.
+LINES, FEW_LINES = 250_000, 20_000
+
+
+def by_order(lines: DataFrame) -> DataFrame:
+    """Lines dealt by order, before anything is made of them: into the session's shuffle partitions if these are enough,
+    else into as many as keep a task's share at ``LINES``, however many lines there are."""
+    count, own = lines.count(), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(max(-(-count // LINES), min(own, count // FEW_LINES + 1)), "l_orderkey")
+
+
 def ownership_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(accession, xml): an ownership document for each order, of its lines as transactions."""
     o, text = read(spark, sf_dir, "orders"), lambda c: F.col(c).cast("string")
@@ -134,7 +145,7 @@ def ownership_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = _element("transactionAmounts", value("transactionShares", text("l_quantity")), F.when(F.col("l_linenumber") % 5 == 0, "").otherwise(value("transactionPricePerShare", text("l_extendedprice"))))
     code = _element("transactionCoding", _element("transactionCode", F.element_at(F.create_map(*(F.lit(x) for x in ("A", "P", "R", "S", "N", "M"))), F.col("l_returnflag"))))
     one = _element("nonDerivativeTransaction", value("transactionDate", F.date_format("l_shipdate", "yyyy-MM-dd")), code, amounts)
-    per = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("rows"))
+    per = by_order(read(spark, sf_dir, "lineitem")).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("rows"))
     met = o.join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     rel = _element("reportingOwnerRelationship", _element("isDirector", F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("0")), _element("isTenPercentOwner", F.lit("1")), _element("officerTitle", F.when(F.col("o_orderkey") % 3 == 0, " Chief ").otherwise("")))
     owner = _element("reportingOwner", _element("reportingOwnerId", _element("rptOwnerName", text("o_orderstatus"))), rel)

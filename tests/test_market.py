@@ -16,7 +16,7 @@ from quotegrain.operators.indicators import with_indicators
 from quotegrain.operators.panel import clean, indexed, skipped
 from quotegrain.operators.regime import null_percentile, regime
 from quotegrain.operators.structure import setup, swings
-from quotegrain.plans import queries as plans
+from quotegrain.plans import driver_tables, queries as plans
 from quotegrain.sources import filings, ingest, watchlist
 from quotegrain.streaming import quotes as feed
 
@@ -353,6 +353,20 @@ def test_filings(spark, tmp_path):
     assert (r.owner, r.role, r.code, r.shares, r.value, r.plan, r.accession) == ("Doe", "Director", "S", 10, 21, True, "0001-24-000001")
 
 
+def test_documents_of_many_lines_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    at = dt.datetime(2024, 1, 1)
+    orders = [(k, k, "F", 1.0, at) for k in range(400)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, n, 2.0, 3.0 + n, "ARN"[n % 3], at) for k in range(400) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(driver_tables, "LINES", 20, raising=False)
+    docs = driver_tables.ownership_documents(spark, str(tmp_path))
+    held = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 400 and max(held) <= 40  # of four shuffle partitions the largest would hold 100 or more
+    assert docs.where("accession = '6'").first().xml.count("<nonDerivativeTransaction>") == 3
+    assert plans.form4_trades(spark, str(tmp_path)).count() == 800
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
