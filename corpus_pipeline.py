@@ -67,7 +67,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the decoded text."""
     _settle(spark)
-    return bpe.encode_decode(docs, "word_bpe_49k.json").select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    # few words are kept, as executors have been filled by the stages before
+    return bpe.encode_decode(docs, "word_bpe_49k.json", words=bpe.CACHE).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("benchmarks", benchmarks), ("tokens", tokens)]

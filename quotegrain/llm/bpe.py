@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import giving_back, tokenizer_path
 
-#: Pre-tokens whose ids a Python worker keeps.
-CACHE = 80_000
+#: Runs between white space, and pre-tokens, whose ids a Python worker keeps: some 20 and 70 MB. Pre-tokens are fewer than
+#: runs and take longer to encode.
+CACHE, WORDS = 80_000, 300_000
 #: Pairs of tokens of which a Python worker knows whether they fit.
 FITS = 300_000
 #: Unicode white space, as the tokenizer's normaliser has it (not the ASCII separators that Python adds).
@@ -56,7 +58,7 @@ class _Runs(dict):
 class WordBpe:
     """A tokenizer file of kind BPE with a byte alphabet and a suffix at word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         import ahocorasick
         import regex
 
@@ -100,6 +102,7 @@ class WordBpe:
         self.digit_offsets = np.concatenate([[0], np.cumsum([len(t) for t in digits])]).astype(np.int64)
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.known: dict[str, bytes] = {}
+        self.most_known = words
         self.runs = _Runs(self)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -132,7 +135,8 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = word.encode().decode("latin-1").translate(self.table)
+        # printable ASCII stands for itself
+        text = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
         if self.suffix:
             text += _END
         n = len(text)
@@ -177,12 +181,13 @@ class WordBpe:
     def encode_run(self, run: str) -> bytes:
         """Ids, as bytes, of text without special tokens."""
         out, known = [], self.known
-        for word in self.words.findall(self.normalized(run)):
+        words = (run.lower(),) if run.isascii() and run.isalpha() else self.words.findall(self.normalized(run))
+        for word in words:
             ids = known.get(word)
             if ids is None:
-                ids = np.array(self.encode_word(word), np.int32).tobytes()
+                ids = array("i", self.encode_word(word)).tobytes()
                 if len(word) <= 64:
-                    if len(known) >= CACHE:
+                    if len(known) >= self.most_known:
                         known.clear()
                     known[word] = ids
             out.append(ids)
@@ -227,12 +232,13 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(name: str) -> WordBpe:
-    return WordBpe(tokenizer_path(name))
+def load(name: str, words: int = WORDS) -> WordBpe:
+    return WordBpe(tokenizer_path(name), words)
 
 
-def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Returns id, n_tokens, ids_sha256, decoded_sha256 of each row and, with ``keep_ids``, ids and decoded.
+def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, words: int = WORDS) -> DataFrame:
+    """Returns id, n_tokens, ids_sha256, decoded_sha256 of each row and, with ``keep_ids``, ids and decoded. ``words``:
+    pre-tokens whose ids a Python worker keeps.
 
     A null or empty text has no tokens and the empty string's digests. Rows with the same id are encoded each; a null
     id stays null; an empty table gives an empty result; other columns are ignored. There is no shuffle.
@@ -242,7 +248,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def run(batches):
-        bpe = load(tokenizer)
+        bpe = load(tokenizer, words)
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 some = batch.slice(part, 256)

@@ -288,6 +288,15 @@ def test_bpe_equals_the_library(spark):
     assert own.compatible(*own.encode("hello world")[:2].tolist())
 
 
+def test_bpe_keeps_the_words_of_a_task(monkeypatch):
+    known = bpe.WordBpe(bpe.tokenizer_path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnop"
+    text = " ".join(letters[k >> 12 & 15] + letters[k >> 8 & 15] + letters[k >> 4 & 15] + letters[k & 15] + "q" * (1 + (k >> 16)) for k in range(120_000))
+    first = known.encode(text).tolist()
+    monkeypatch.setattr(known, "encode_word", lambda word: pytest.fail(f"{word} is encoded again"))
+    assert known.encode(text).tolist() == first
+
+
 def test_token_counts_equal_the_library(spark):
     model = token_count._model("piece_bpe_32k.model")
     r = random.Random(2)
