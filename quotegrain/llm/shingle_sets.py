@@ -1,10 +1,12 @@
 """Near-duplicates by the exact Jaccard similarity of shingle sets.
 
-Candidates come from bands of minimum hashes: each text with ``BAND`` minima a band is listed once for each band, and
+Candidates come from SimHash fingerprints of the sets, through their inverted index of byte positions with count filtering
+(``simhash_index``). For low similarities, which take many fingerprints, there are bands of minimum hashes instead
+(``index="bands"``): each text with ``BAND`` minima a band is listed once for each band, and
 texts of one list are candidates of each other. There are so many bands that a pair at the similarity shares no list
 with a probability of at most ``MISS``. Candidates are compared inside their lists only, by sketches: one byte of each
 of their minima. Texts of which enough bytes agree are linked: first each with its list's least text, and what this
-leaves over with each other, large lists block by block. Texts that merely share lists with others are so never gathered.
+leaves over with each other, large lists block by block. Either way texts that merely share lists are never gathered.
 The sets of a component of these links then meet in one task (large ones: block by block, each block with each), which
 computes the similarity of every pair that could still connect anything, and returns a forest of the links found.
 Sets stand for the texts that have them, so copies cost nothing. Documents lie in written buckets, and only the texts
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 from .anchors import layout, pack, sets_of, unpack
 from .common import bucketed, giving_back, mix, ranges, shuffle_parts, text_bytes, written
 from .components import components
+from .simhash_index import MISS, bits, fingerprint_matrix, links as fingerprint_links, width_at
 
 SEED = 42
 SIMILARITY = 0.8
-#: Minima of a band, and the share of pairs just at the similarity that may share no band.
+#: Minima of a band; ``MISS`` is the share of pairs just at the similarity that may share no band.
 BAND = 5
-MISS = 1e-5
 #: Shingles of a block: a task holds two blocks of one group at a time.
 BLOCK = 1 << 20
 #: Times that the texts left of a list are compared with the least of them first.
@@ -148,31 +150,37 @@ def _plain(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
-def _documents(table: DataFrame, kind: str, words: int, seed: int, factors: np.ndarray) -> DataFrame:
-    """(doc_id, s, number, a, b: the set's name, n: its size, bands, sketch) of each document; no bands of an empty set."""
+def _marks(index: str, similarity: float, seed: int):
+    """Columns by which an index finds candidates, and their values for a set of shingles; bands are null for no shingle."""
+    if index == "fingerprints":
+        width = width_at(similarity)
+        return {"fps": ("binary", pa.binary())}, lambda found: (bits(found, width).tobytes(),)
+    if index != "bands":
+        raise ValueError("an index is of fingerprints or of bands")
+    factors = np.random.default_rng(seed).integers(0, 1 << 64, (bands_at(similarity), BAND), np.uint64) | np.uint64(1)
+
+    def marks(found: np.ndarray):
+        least = _minima(found, factors)
+        return _bands(least, factors) if len(found) else None, least.astype(np.uint8).tobytes()
+
+    return {"bands": ("array<long>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary())}, marks
+
+
+def _documents(table: DataFrame, kind: str, words: int, seed: int, columns: dict, marks) -> DataFrame:
+    """(doc_id, s, number, a, b: the set's name, n: its size, marks) of each document."""
 
     def run(batches):
         for r, numbers, offsets, data, carried in _pieces(batches):
-            names, sizes, bands, sketches = np.zeros((len(numbers), 2), np.int64), np.zeros(len(numbers), np.int64), [], []
+            names, sizes, marked = np.zeros((len(numbers), 2), np.int64), np.zeros(len(numbers), np.int64), []
             for i in range(len(numbers)):
                 found = shingles(data[offsets[i] : offsets[i + 1]].tobytes(), words, seed)
                 names[i], sizes[i] = _name(found), len(found)
-                least = _minima(found, factors)
-                bands.append(_bands(least, factors) if len(found) else np.zeros(0, np.int64))
-                sketches.append(least.astype(np.uint8).tobytes())
-            ends = np.cumsum([0, *(len(b) for b in bands)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
+                marked.append(marks(found))
             a, b = (pa.array(np.ascontiguousarray(c)) for c in names.T)
-            yield pa.RecordBatch.from_arrays([_plain(carried.column(0)), pa.array(np.full(len(numbers), r["s"])), pa.array(numbers), a, b, pa.array(sizes), lists, pa.array(sketches, pa.binary())], ["doc_id", "s", "number", "a", "b", "n", "bands", "sketch"])
-
-    return table.select("s", "metas", "bodies").mapInArrow(giving_back(run), f"doc_id {kind}, s long, number long, a long, b long, n long, bands array<long>, sketch binary")
+            more = [pa.array([m[k] for m in marked], kind) for k, (_, kind) in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([_plain(carried.column(0)), pa.array(np.full(len(numbers), r["s"])), pa.array(numbers), a, b, pa.array(sizes), *more], ["doc_id", "s", "number", "a", "b", "n", *columns])
 
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Sketches of one length as the rows of a matrix."""
-    flat = column.cast(pa.large_binary())
-    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-    return np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(flat), -1)
+    return table.select("s", "metas", "bodies").mapInArrow(giving_back(run), f"doc_id {kind}, s long, number long, a long, b long, n long, " + ", ".join(f"{c} {k}" for c, (k, _) in columns.items()))
 
 
 def _agreed(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -183,7 +191,7 @@ def _agreed(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                near = (_matrix(some.column(2)) == _matrix(some.column(3))).sum(1) >= least
+                near = (fingerprint_matrix(some.column(2)) == fingerprint_matrix(some.column(3))).sum(1) >= least
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(near)], ["a", "first", "near"])
 
     return met.mapInArrow(run, "a long, first long, near boolean")
@@ -246,11 +254,16 @@ def _candidate_links(nodes: DataFrame, least: int) -> DataFrame:
     return reduce(DataFrame.unionByName, links)
 
 
-def _verified(table: DataFrame, nodes: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+def _verified(table: DataFrame, nodes: DataFrame, words: int, similarity: float, seed: int, index: str) -> DataFrame:
     """(a, b, component: a and b of one set of its component) of sets that have a link, some of them repeated."""
     spark = table.sparkSession
-    count, bands = nodes.count(), bands_at(similarity)
-    groups = components(_candidate_links(nodes, agreeing(similarity, bands * BAND)), count * bands)
+    count = nodes.count()
+    if index == "fingerprints":
+        # a forest for each of the two classes that a set is listed in
+        groups = components(fingerprint_links(nodes.where("n > 0"), similarity), count * 2)
+    else:
+        bands = bands_at(similarity)
+        groups = components(_candidate_links(nodes, agreeing(similarity, bands * BAND)), count * bands)
     asked = nodes.join(groups.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("group"), "n", "text.*")
     asked = written(asked, "candidates", count, 64)
     large = asked.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -306,15 +319,15 @@ def _verified(table: DataFrame, nodes: DataFrame, words: int, similarity: float,
     return found.select("node.a", "node.b", "component")
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, seed: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _judged(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, seed: int, keep: list[str], index: str) -> tuple[DataFrame, DataFrame]:
     """The packed table, and (doc_id, s, number, component_id) of each of its documents."""
     kind = dict(df.dtypes)[id_col]
-    factors = np.random.default_rng(seed).integers(0, 1 << 64, (bands_at(similarity), BAND), np.uint64) | np.uint64(1)
+    columns, marks = _marks(index, similarity, seed)
     table = _packed(df, id_col, text_col, keep)
-    docs = written(_documents(table, kind, words, seed, factors), "shingles")
-    nodes = docs.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("s", "number")).alias("text"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    docs = written(_documents(table, kind, words, seed, columns, marks), "shingles")
+    nodes = docs.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("s", "number")).alias("text"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in columns))
     nodes = written(nodes, "nodes", docs.count(), 512)
-    found = _verified(table, nodes, words, similarity, seed)
+    found = _verified(table, nodes, words, similarity, seed, index)
     own = F.struct("a", "b")
     member = nodes.select("a", "b", "least").join(found, ["a", "b"], "left").withColumn("component", F.coalesce("component", own))
     member = written(member, "members", nodes.count(), 64)
@@ -323,7 +336,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, words: int, similarity: f
     return table, docs.select("doc_id", "s", "number", "a", "b").join(classes, ["a", "b"]).select("doc_id", "s", "number", "component_id")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED, index: str = "fingerprints") -> DataFrame:
     """Returns id, component_id (the smallest id reachable) for every row; links join texts whose sets of ``words``-word
     shingles (A-Z lower-cased) have a Jaccard similarity of ``similarity`` or more, and no others.
 
@@ -331,15 +344,15 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     and empty texts have no shingles and link to each other only. A null id is returned with the component of its
     text, null if all ids there are null. An empty table gives an empty result; other columns are ignored.
     """
-    _, judged = _judged(df, id_col, text_col, words, similarity, seed, [])
+    _, judged = _judged(df, id_col, text_col, words, similarity, seed, [], index)
     return judged.select(F.col("doc_id").alias(id_col), "component_id")
 
 
-def without_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+def without_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, seed: int = SEED, index: str = "fingerprints") -> DataFrame:
     """The rows of ``df`` but for those with a smaller id in their component (see ``similar``). Rows of one id are judged
     each; those that are alike as well stay or go together. Rows with a null id stay. Columns may have any names."""
     keep = [c for c in df.columns if c not in (id_col, text_col)]
-    table, judged = _judged(df, id_col, text_col, words, similarity, seed, keep)
+    table, judged = _judged(df, id_col, text_col, words, similarity, seed, keep, index)
     gone = judged.where(F.col("doc_id") != F.col("component_id")).groupBy("s").agg(F.collect_list("number").alias("gone"))
     order = [id_col, text_col, *keep]
     kinds = dict(df.dtypes)

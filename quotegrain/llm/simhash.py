@@ -7,8 +7,8 @@ is split by one more position, which qualifying pairs share too. In each list th
 differing bits are counted. Equal fingerprints are one node of the index, so copies cost nothing. A list gives a
 spanning forest of its links, never all pairs of a group; lists still longer than ``BLOCK`` are compared block by block.
 
-``near_duplicates`` links at a number of bits. For links at a similarity of shingle sets fingerprints are too coarse;
-``similar`` compares the sets themselves (``shingle_sets``).
+``near_duplicates`` links at a number of bits. For links at a similarity of shingle sets, ``similar`` finds candidates by
+several fingerprints (``simhash_index``) and then compares the sets themselves (``shingle_sets``).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, shuffle_parts, written
 from .components import components
 from .shingle_sets import SIMILARITY, similar, without_similar  # noqa: F401
+from .simhash_index import near
 
 MAX_BITS = 4
 WORDS = 4
@@ -90,15 +91,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def _near(a: np.ndarray, b: np.ndarray, shared: int, max_bits: int) -> np.ndarray:
-    """Count filtering of aligned or broadcast fingerprints (last axis: words): shared positional bytes first, then
-    differing bits."""
-    x = np.ascontiguousarray(a ^ b).view(np.uint64)
-    out = (x.view(np.uint8) == 0).sum(-1, dtype=np.uint8) >= shared
-    out[out] = np.bitwise_count(x[out]).sum(-1) <= max_bits
-    return out
-
-
 def _forest(fps: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected among these fingerprints: each to the first of its component."""
     rest, roots, nodes = fps, [fps[:0]], [fps[:0]]
@@ -108,7 +100,7 @@ def _forest(fps: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np
             hit = np.zeros(len(rest), bool)
             for at in range(0, len(front), 64):
                 open_ = np.flatnonzero(~hit)
-                hit[open_] |= _near(front[at : at + 64, None], rest[None, open_], shared, max_bits).any(0)
+                hit[open_] |= near(front[at : at + 64, None], rest[None, open_], shared, max_bits).any(0)
             front, rest = rest[hit], rest[~hit]
             nodes.append(front)
             roots.append(np.repeat(root, len(front), axis=0))
@@ -123,9 +115,9 @@ def _links_of(fps: np.ndarray, firsts: np.ndarray, shared: int, max_bits: int):
     short = sizes[group] <= 8
     for lag in range(1, 8):
         i = np.flatnonzero(short[:-lag] & (group[:-lag] == group[lag:])) if len(fps) > lag else np.zeros(0, np.int64)
-        near = i[_near(fps[i], fps[i + lag], shared, max_bits)] if len(i) else i
-        us.append(fps[near])
-        vs.append(fps[near + lag])
+        close = i[near(fps[i], fps[i + lag], shared, max_bits)] if len(i) else i
+        us.append(fps[close])
+        vs.append(fps[close + lag])
     for g in np.flatnonzero(sizes > 8):
         u, v = _forest(fps[firsts[g] : firsts[g] + sizes[g]], shared, max_bits)
         us.append(u)

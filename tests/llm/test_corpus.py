@@ -667,3 +667,33 @@ def test_pipeline_stages_equal_brute_force(spark):
     empty = df.limit(0)
     for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.substrings):
         assert stage(spark, empty, "").count() == 0
+
+
+def test_near_duplicate_stage_goes_through_simhash(spark, monkeypatch):
+    """Bands of minimum hashes are not asked; pairs at 0.8 whose fingerprints differ by more than four bits are linked, in lists
+    of any length, and also where a class is dealt out by blocks. Sets of few shingles, whose bits differ most, are linked too."""
+    import corpus_pipeline
+    from quotegrain.llm import shingle_sets, simhash_index
+
+    def no_bands(*_):
+        raise AssertionError("the stage asks bands")
+
+    monkeypatch.setattr(shingle_sets, "_candidate_links", no_bands)
+    r = random.Random(12)
+    text = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    rows = []
+    for k in range(60):  # 96 shingles; n of them are changed
+        base, n = text(100), r.choice([6, 9, 10, 11, 12])
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(base[:-n] + text(n)))]
+    for k in range(60, 100):  # five shingles and four of them
+        base = text(9)
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(base[:-1]))]
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows}
+    gone = {1000 + k for k in range(100) if len(sets[k] & sets[1000 + k]) >= 0.8 * len(sets[k] | sets[1000 + k])}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    assert 60 < len(gone) < 100 and sum((fps[i] ^ fps[i - 1000]).bit_count() > 4 for i in gone) > 30
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for block, short in ((1 << 18, 64), (60, 1)):
+        monkeypatch.setattr(simhash_index, "BLOCK", block)
+        monkeypatch.setattr(simhash_index, "SHORT", short)
+        assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(sets) - gone
