@@ -2,17 +2,19 @@
 
 Both substring operators ask this, of 50-byte windows or of 13-word windows. Windows are as many as tokens, so they
 are not shuffled. Each window holds a shorter gram whose hash is least in it: its anchor. Equal windows have the same
-anchors at the same places, and anchors are few (about two in ``window - gram + 2`` tokens).
+anchor at the same place, and anchors are few (about two in ``window - gram + 2`` tokens). A window is compared for its
+own anchor only, once.
 
 * ``packed``: sets of documents, each in compressed pieces of about 1 MB, written once in buckets of the set's number.
   Later steps recompute anchors from them, and what they ask for comes to them: texts are never shuffled.
 * ``anchor_rows``: per set and bucket of hashes, the distinct anchor hashes of its pieces, a few bytes each. Within a
   piece every hash counts once, so a passage that a third of all documents share costs one entry per piece.
 * A step of the operator's own finds the hashes that two documents share, and answers with a byte per entry.
-* ``resolve``: for shared anchors, a digest of the text around each (all windows that hold it), with the least
+* ``resolve``: for shared anchors, a digest of the text around each (all windows whose anchor it is), with the least
   document id. If all texts around an anchor agree, that least id is the answer for all its windows. Only where they
   differ, the texts themselves are sent and told apart by the operator's own method. A hash in very many pieces is
-  not gathered under one key: its windows are dealt out one by one, by their own digests.
+  not gathered under one key: its windows are dealt out by ``STEP`` that start one after the other, by the tokens that
+  these share, and those that a piece has several times are sent once.
 
 Between steps a row holds what one set sends to one bucket, as arrays of numbers. Sets grow with the input up to
 ``MOST_SET``, so such rows are far fewer than entries until inputs reach many terabytes, and never more than entries.
@@ -38,9 +40,14 @@ BUCKET_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
 #: Bytes of entries that a set gathers before it sends them.
 FLUSH_BYTES = 24 << 20
-_BLOCK = 1 << 17
-#: A hash in so many pieces is dealt out by windows.
+#: Sets grow with the input beyond so many: what they send each other would else grow with the square of the input.
+MANY_SETS = 1024
+_BLOCK = 1 << 15
+#: Bits that hold a place in a block and beside it.
+_PLACE = np.uint64(2 * _BLOCK - 1)
+#: A hash in so many pieces is dealt out by windows, so many at a time.
 HOT_PIECES = 1024
+STEP = 4
 _A = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = 1 << 14
 
@@ -62,14 +69,17 @@ class Scheme:
         return self.window - self.gram
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed piece of bytes."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return _ZIP.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _expand(blob: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _UNZIP.decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes = np.frombuffer(raw, np.int64, n, 8)
     at, out = 8 + 8 * n, []
@@ -96,7 +106,7 @@ def layout(spark: SparkSession, total_bytes: int) -> Layout:
     never fewer than tasks: Spark would deal rows out anew to read them in more."""
     tasks = shuffle_parts(spark)
     buckets = parts_for(total_bytes, BUCKET_BYTES, min(tasks, parts_for(total_bytes, BUCKET_BYTES // 2, 1)))
-    return Layout(min(max(total_bytes // (4 * tasks), PIECE_BYTES), MOST_SET), buckets, parts_for(total_bytes, FILE_BYTES, tasks))
+    return Layout(min(max(total_bytes // min(4 * tasks, MANY_SETS), PIECE_BYTES), MOST_SET), buckets, parts_for(total_bytes, FILE_BYTES, tasks))
 
 
 PACKED = "s long, least long, greatest long, metas array<binary>, bodies array<binary>"
@@ -161,40 +171,40 @@ def packed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Layout
 def unpack(meta: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, bytes, carried columns as an Arrow stream) of a piece."""
     ids, sizes, carried = _expand(meta, np.int64, np.int64, np.uint8)
-    raw = zstandard.ZstdDecompressor().decompress(body) if len(body) else b""
+    raw = _UNZIP.decompress(body) if len(body) else b""
     return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(raw, np.uint8), carried
 
 
 # ---- anchors
 
 
-def find_anchors(scheme: Scheme, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of rows of tokens laid end to end; windows never cross rows. Of equal least
-    hashes in a window all are anchors. Works in blocks, so one long text needs no more memory than many short ones."""
+def find_anchors(scheme: Scheme, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, left, right) of the anchors of rows of tokens laid end to end; windows never cross rows. Of equal
+    least hashes in a window the first is its anchor. ``left`` and ``right``: tokens beside an anchor in the windows whose
+    anchor it is, which start one after the other. Works in blocks, so one long text needs no more memory than many short ones."""
     w, q = scheme.window, scheme.gram
-    span = w - q + 1
-    places, hashes = [], []
+    found = []
     for lo in range(0, len(tokens), _BLOCK):
         first, last = max(0, lo - w), min(len(tokens), lo + _BLOCK + w)
         part = tokens[first:last]
         if len(part) < w:
             continue
         h = scheme.gram_hashes(part)
-        h |= np.uint64(1)
-        least = slide(h, span, np.minimum)  # of the window that starts at each place
-        ends = bounds[1:][(bounds[1:] > first) & (bounds[1:] <= last)] - first
+        # a number in the order of the leading bits of the hash, then of the place
+        least = slide(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), w - q + 1, np.minimum)  # of the window that starts at each place
+        at = (least & _PLACE).astype(np.int64)
+        ends = bounds[1:][np.searchsorted(bounds[1:], first, "right") : np.searchsorted(bounds[1:], last, "right")] - first
         cut = np.maximum(ends - w + 1, 0)
-        bad = ranges(cut, np.minimum(ends, len(least)) - cut)
-        least[bad[bad < len(least)]] = 0
-        pad = np.zeros(span - 1, np.uint64)
-        most = slide(np.concatenate([pad, least, pad]), span, np.maximum)[: len(h)]
-        at = np.flatnonzero(most == h)
-        at = at[(at + first >= lo) & (at + first < lo + _BLOCK)]
-        places.append(at + first)
-        hashes.append(h[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+        bad = ranges(cut, np.minimum(ends, len(at)) - cut)
+        at[bad[bad < len(at)]] = -1
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        end, place = np.append(begin[1:], len(at)) - 1, at[begin]
+        own = (place >= max(lo - first, 0)) & (place < lo - first + _BLOCK)
+        begin, end, place = begin[own], end[own], place[own]
+        found.append((place + first, h[place], place - begin, end + w - place - q))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Group:
@@ -204,10 +214,10 @@ class Group:
         self.scheme = scheme
         self.ids, self.offsets, self.data, self.carried = unpack(meta, body)
         self.tokens, self.bounds = scheme.sequence(self.data, self.offsets)
-        places, hashes = find_anchors(scheme, self.tokens, self.bounds)
+        places, hashes, left, right = find_anchors(scheme, self.tokens, self.bounds)
         hashes = mix(hashes * _A)  # the least of many are small: spread anew, one to one, so that buckets fill alike
         order = np.argsort(hashes, kind="stable")
-        self.places, self.hashes = places[order], hashes[order]
+        self.places, self.hashes, self.left, self.right = places[order], hashes[order], left[order], right[order]
         self.rows = np.searchsorted(self.bounds, self.places, "right") - 1
         # distinct hashes; buckets follow the leading bits, so each is a range of them
         new = np.append(True, self.hashes[1:] != self.hashes[:-1])[: len(self.hashes)]
@@ -269,24 +279,31 @@ class _Sender:
 
 
 class _Replies:
-    """A bucket's answers to all parts of a set, taken piece by piece in the order in which entries were sent."""
+    """All buckets' answers to a set, taken in the order in which entries were sent; those to one part are held at a time."""
 
     def __init__(self, rows: list[dict] | None):
-        self.blobs: dict[int, list[bytes]] = {}
+        self.parts: dict[int, list[tuple[int, bytes]]] = {}
         for r in rows or []:
-            self.blobs.setdefault(r["b"], []).append(r["reply"])
-        self.at = dict.fromkeys(self.blobs, 0)
-
-    def take(self, b: int, n: int, kind) -> np.ndarray:
-        blobs = self.blobs[b]
-        values = _expand(blobs[0], kind)[0]
-        at = self.at[b]
-        if at + n == len(values):
-            blobs.pop(0)
-            self.at[b] = 0
-        else:
-            self.at[b] = at + n
-        return values[at : at + n]
+            self.parts.setdefault(r["part"], []).append((r["b"], r["reply"]))
+        self.ahead, self.left = sorted(self.parts, reverse=True), 0
+
+    def take(self, bucket: np.ndarray, kind, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Answers to entries that were sent in one call, in order of bucket; ``sizes``: values of each, if not one."""
+        if not len(bucket):
+            return np.zeros(0, kind)
+        if not self.left:  # a part's entries are taken before the next part's are
+            some = sorted(self.parts.pop(self.ahead.pop()))
+            values = [_expand(blob, kind)[0] for _, blob in some]
+            self.b, self.values = np.array([b for b, _ in some]), np.concatenate(values)
+            self.at = np.cumsum([0, *(len(x) for x in values[:-1])])
+            self.left = len(self.values)
+        firsts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        lengths = np.diff(np.append(firsts, len(bucket))) if sizes is None else np.add.reduceat(sizes, firsts)
+        k = np.searchsorted(self.b, bucket[firsts])
+        out = self.values[ranges(self.at[k], lengths)]
+        self.at[k] += lengths
+        self.left -= len(out)
+        return out
 
 
 def _by_set(replies: DataFrame, name: str) -> DataFrame:
@@ -356,20 +373,20 @@ LOW = np.uint64((1 << 40) - 1)
 
 
 class _Marks:
-    """Which hashes of a set's pieces are shared or hot."""
+    """Which hashes of a set's pieces are shared or hot: by answers to all its entries or, of an earlier batch, by lists."""
 
     def __init__(self, rows: list[dict]):
         self.lists = {r["b"]: _expand(r["reply"], np.uint64, np.uint64) for r in rows if r["part"] < 0}
         self.replies = _Replies([r for r in rows if r["part"] >= 0])
 
     def of(self, group: Group) -> np.ndarray:
+        if self.replies.parts or self.replies.left:
+            return self.replies.take(group.bucket, np.uint8)
         out = np.zeros(len(group.distinct), np.uint8)
-        for b, x, y in _runs(group.bucket):
+        for b, x, y in _runs(group.bucket) if self.lists else ():
             if b in self.lists:
                 low, (shared, hot) = group.distinct[x:y] & LOW, self.lists[b]
                 out[x:y] = np.isin(low, shared) * np.uint8(SHARED) | np.isin(low, hot) * np.uint8(HOT)
-            elif b in self.replies.blobs:
-                out[x:y] = self.replies.take(b, y - x, np.uint8)
         return out
 
 
@@ -382,11 +399,7 @@ class _Shared:
     def __init__(self, group: Group, marks: np.ndarray):
         s = group.scheme
         pick = np.flatnonzero((marks & SHARED)[group.number])
-        place, row = group.places[pick], group.rows[pick]
-        left = np.minimum(s.reach, place - group.bounds[row])
-        right = np.minimum(s.reach, group.bounds[row + 1] - place - s.gram)
-        fits = left + right >= s.reach
-        pick, place, row, left, right = pick[fits], place[fits], row[fits], left[fits], right[fits]
+        place, row, left, right = group.places[pick], group.rows[pick], group.left[pick], group.right[pick]
         digest = s.digests(group.tokens, place - left, left + s.gram + right)
         digest = mix((digest ^ (left.astype(np.uint64) + (right.astype(np.uint64) << np.uint64(20)))) * _A)
         order = np.lexsort((digest, group.number[pick]))
@@ -404,27 +417,75 @@ class _Shared:
     def agreed(self, replies: _Replies) -> np.ndarray:
         """Least id of each class; -1 where the texts around its anchor differ, or were not compared."""
         out = np.full(len(self.least), -1, np.int64)
-        for b, x, y in _runs(self.bucket[self.cold]):
-            out[self.cold[x:y]] = replies.take(b, y - x, np.int64)
+        out[self.cold] = replies.take(self.bucket[self.cold], np.int64)
         return out
 
-    def units(self, least: np.ndarray, buckets: int):
-        """What is sent of the classes without an answer: the class, places left and right of the anchor, bucket and
-        key of each unit, by bucket. A unit is the text around the anchor or, of hot hashes, a window of it."""
-        s = self.group.scheme
+    def units(self, least: np.ndarray, buckets: int) -> _Units:
+        """What is sent of the classes without an answer."""
+        return _Units(self, least, buckets)
+
+
+class _Units:
+    """Texts to be told apart, in order of bucket: the text around the anchor of a class or, of hot hashes, each different
+    text of ``STEP`` windows in the piece, whose key is a digest of what these share. ``least``: the least id in the piece."""
+
+    def __init__(self, x: _Shared, least: np.ndarray, buckets: int):
+        s, tokens = x.group.scheme, x.group.tokens
         is_cold = np.zeros(len(least), bool)
-        is_cold[self.cold] = True
+        is_cold[x.cold] = True
         cold, hot = np.flatnonzero((least < 0) & is_cold), np.flatnonzero((least < 0) & ~is_cold)
-        left, right = self.left[self.firsts], self.right[self.firsts]
+        place, left, right = x.place[x.firsts], x.left[x.firsts], x.right[x.firsts]
         count = left + right - s.reach + 1
-        owner = np.repeat(hot, count[hot])
-        own_left = left[owner] - (ranges(np.zeros(len(hot), np.int64), count[hot]))
-        place = self.place[self.firsts[owner]] - own_left
-        key = s.digests(self.group.tokens, place, np.full(len(place), s.window))
-        by = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        out = [np.concatenate(x) for x in ((cold, owner), (left[cold], own_left), (right[cold], s.reach - own_left), (self.bucket[cold], by), (self.hash[cold], key))]
-        order = np.argsort(out[3], kind="stable")
-        return [x[order] for x in out]
+        # units of hot hashes: windows with from low to high tokens left of the anchor
+        g = (s.reach - right[hot]) // STEP
+        n = left[hot] // STEP - g + 1
+        owner, shared = np.repeat(hot, n), ranges(g, n) * STEP
+        low, high = np.maximum(shared, s.reach - right[owner]), np.minimum(shared + STEP - 1, left[owner])
+        start, size = place[owner] - high, high + s.gram + s.reach - low
+        key = s.digests(tokens, place[owner] - shared, shared + s.gram + s.reach - np.minimum(shared + STEP - 1, s.reach))
+        own = s.digests(tokens, start, size)
+        own = mix((own ^ (high.astype(np.uint64) + (low.astype(np.uint64) << np.uint64(20)))) * _A)
+        order = np.argsort(own)
+        new = np.append(True, own[order[1:]] != own[order[:-1]])[: len(order)]
+        now, before = order[np.flatnonzero(~new)], order[np.flatnonzero(~new) - 1]
+        differ = (high[now] != high[before]) | (low[now] != low[before])
+        for k in range(s.window + STEP - 1):  # as they are: the digest alone doesn't decide
+            differ |= (k < size[now]) & (tokens[np.minimum(start[now] + k, len(tokens) - 1)] != tokens[np.minimum(start[before] + k, len(tokens) - 1)])
+        new[~new] = differ
+        firsts = np.flatnonzero(new)
+        heads, of = order[firsts], np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        lowest = np.minimum.reduceat(x.least[owner][order], firsts) if len(order) else x.least[:0]
+        by = ((key[heads] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        parts = (
+            (place[cold], place[owner[heads]]), (left[cold], high[heads]), (right[cold], s.reach - low[heads]),
+            (x.bucket[cold], by), (x.hash[cold], key[heads]), (x.least[cold], lowest),
+        )
+        columns = [np.concatenate(p) for p in parts]
+        order = np.argsort(columns[3], kind="stable")
+        self.place, self.left, self.right, self.bucket, self.key, self.least = (c[order] for c in columns)
+        self.wide = self.left + self.right - s.reach + 1
+        # where the windows of the open classes, end to end, find their values in those of the units, end to end
+        value_at = np.empty(len(order), np.int64)
+        value_at[order] = np.cumsum(self.wide) - self.wide
+        open_ = np.flatnonzero(least < 0)
+        self.base = np.zeros(len(least), np.int64)
+        self.base[open_] = np.cumsum(count[open_]) - count[open_]
+        self.value_of = np.empty(int(count[open_].sum()), np.int64)
+        self.value_of[ranges(self.base[cold], count[cold])] = ranges(value_at[: len(cold)], count[cold])
+        h = np.repeat(np.arange(len(hot)), count[hot])
+        k = left[hot][h] - ranges(np.zeros(len(hot), np.int64), count[hot])
+        unit = (np.cumsum(n) - n)[h] + k // STEP - g[h]
+        self.value_of[ranges(self.base[hot], count[hot])] = value_at[len(cold) :][of[unit]] + high[unit] - k
+
+    def some(self):
+        """Slices of about ``_UNITS`` units; those of a bucket are not parted."""
+        ends = np.append(np.flatnonzero(self.bucket[1:] != self.bucket[:-1]) + 1, len(self.bucket))
+        a = 0
+        while a < len(self.bucket):
+            b = int(ends[np.searchsorted(ends, min(a + _UNITS, len(self.bucket)))])
+            yield slice(a, b)
+            a = b
 
 
 def _agreed(table: pa.Table) -> pa.Table:
@@ -473,15 +534,10 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
         for r in sets_of(batches):
             send, agreed = _Sender(r["s"], most), _Replies(r["agreed"])
             for x in shared(r):
-                of, left, right, bucket, key = x.units(x.agreed(agreed), buckets)
-                ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))  # of runs of a bucket
-                a = 0
-                while a < len(of):
-                    b = int(ends[np.searchsorted(ends, min(a + _UNITS, len(of)))])
-                    k = of[a:b]
-                    rows = windows_of(x.group, x.place[x.firsts[k]], left[a:b], right[a:b])
-                    yield from send.add(bucket[a:b], key[a:b], left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), x.least[k], rows)
-                    a = b
+                u = x.units(x.agreed(agreed), buckets)
+                for k in u.some():
+                    rows = windows_of(x.group, u.place[k], u.left[k], u.right[k])
+                    yield from send.add(u.bucket[k], u.key[k], u.left[k].astype(np.uint8), u.right[k].astype(np.uint8), u.least[k], rows)
             yield send.rows()
 
     def told(sent: pa.Table) -> pa.Table:
@@ -504,21 +560,15 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
                 begin, count = x.place - x.left, x.left + x.right - reach + 1
                 whole = (least[x.of] >= 0) & (least[x.of] < doc)
                 starts = [ranges(begin[whole], count[whole])]
-                # the windows of classes without one answer, end to end, and the least id of each
-                open_ = np.flatnonzero(least < 0)
-                base = np.zeros(len(x.firsts), np.int64)
-                base[open_] = np.cumsum(count[x.firsts[open_]]) - count[x.firsts[open_]]
-                value = np.zeros(int(count[x.firsts[open_]].sum()), np.int64)
-                of, left, right, bucket, _ = x.units(least, buckets)
-                wide = left + right - reach + 1
-                for b, i, j in _runs(bucket):
-                    at = ranges(base[of[i:j]] + x.left[x.firsts[of[i:j]]] - left[i:j], wide[i:j])
-                    value[at] = apart.take(b, int(wide[i:j].sum()), np.int64)
+                # the least id of each window of the classes without one answer, end to end
+                u = x.units(least, buckets)
+                told = [apart.take(u.bucket[k], np.int64, u.wide[k]) for k in u.some()]
+                value = (np.concatenate(told) if told else np.zeros(0, np.int64))[u.value_of]
                 rest = np.flatnonzero(least[x.of] < 0)
                 for a in range(0, len(rest), _UNITS):
                     i = rest[a : a + _UNITS]
                     at = ranges(begin[i], count[i])
-                    starts.append(at[value[ranges(base[x.of[i]], count[i])] < np.repeat(doc[i], count[i])])
+                    starts.append(at[value[ranges(u.base[x.of[i]], count[i])] < np.repeat(doc[i], count[i])])
                 yield finish(group, np.concatenate(starts))
 
     return last.mapInArrow(giving_back(final), schema)
@@ -526,7 +576,8 @@ def resolve(table: DataFrame, masks: DataFrame, scheme: Scheme, buckets: int, wi
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     """Which of ``n`` tokens a window covers that starts at one of ``starts``."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:-1]) > 0
+    begun = np.zeros(n + 1, np.int32)
+    begun[starts + 1] = 1
+    begun = np.cumsum(begun, dtype=np.int32)
+    before = np.concatenate([np.zeros(min(window, n), np.int32), begun[1 : max(n - window, 0) + 1]])
+    return begun[1:] > before

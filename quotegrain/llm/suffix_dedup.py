@@ -22,71 +22,71 @@ WINDOW = 50
 GRAM = 24
 #: Rows of text that are laid out at a time, and whose suffixes are sorted at a time.
 _ROWS = 1 << 14
-_SUFFIX_ROWS = 4000
+_SUFFIX_ROWS = 1000
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
     """The 8 bytes at each place, as a number; the last 7 places are padded."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data),), "<u8", padded.tobytes(), 0, (1,))
+    return np.ascontiguousarray(np.ndarray((len(data),), "<u8", padded, 0, (1,)))
 
 
-_A = np.uint64(0x9E3779B97F4A7C15)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: The low bytes of a number, from none to all.
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    v = _eight(data)
+    v = mix(_eight(data) * _A)
     n = len(data) - GRAM + 1
-    h = mix(v[:n] * _A)
-    h = mix((h ^ v[8 : 8 + n]) * _A)
-    return mix((h ^ v[16 : 16 + n]) * _A)
+    return v[:n] * _A + v[8 : 8 + n] * _B + v[16 : 16 + n] * _C
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place, from 80 before the first."""
+    return _eight(np.concatenate([np.zeros(80, np.uint8), data, np.zeros(80, np.uint8)]))
+
+
+def _words(padded: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row of 10 numbers for each text: the 80 bytes from ``at``, of which those before ``begin`` and from ``end`` are zero."""
+    out = np.empty((len(at), 10), np.uint64)
+    for i in range(10):
+        out[:, i] = padded[at + (80 + 8 * i)] & _BELOW[np.clip(end - 8 * i, 0, 8)] & ~_BELOW[np.clip(begin - 8 * i, 0, 8)]
+    return out
 
 
 def _digests(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of texts of at most ``2 * WINDOW - GRAM`` bytes, shorter ones padded; some at a time, to bound memory."""
-    out = np.empty(len(starts), np.uint64)
+    out, padded = lengths.astype(np.uint64), _padded(data)
     for a in range(0, len(starts), _ROWS):
-        length = lengths[a : a + _ROWS]
-        words = _texts(data, starts[a : a + _ROWS], length, 80).view("<u8")
-        h = length.astype(np.uint64)
-        for i in range(words.shape[1]):
-            h = mix((h ^ words[:, i]) * _A)
-        out[a : a + _ROWS] = h
+        h = out[a : a + _ROWS]
+        for word in _words(padded, starts[a : a + _ROWS], np.zeros(len(h), np.int64), lengths[a : a + _ROWS]).T:
+            h[:] = mix((h ^ word) * _A)
     return out
 
 
-def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    place = np.arange(width)
-    at = np.minimum(starts[:, None] + place, max(len(data) - 1, 0))
-    return np.where(place < lengths[:, None], data[at] if len(data) else np.uint8(0), np.uint8(0))
-
-
 BYTES = Scheme(WINDOW, GRAM, lambda data, offsets: (data, offsets), _grams, _digests)
 
 
 def _rows_of(group, place, left, right) -> np.ndarray:
     """The text around each anchor; the anchor is at the same column in every row."""
-    column = np.arange(80)
-    out = np.empty((len(place), 80), np.uint8)
-    for a in range(0, len(place), _ROWS):
-        part = slice(a, a + _ROWS)
-        at = place[part, None] - BYTES.reach + column
-        inside = (column >= BYTES.reach - left[part, None]) & (column < BYTES.reach + GRAM + right[part, None])
-        out[part] = np.where(inside, group.data[np.clip(at, 0, len(group.data) - 1)], np.uint8(0))
-    return out
+    return _words(_padded(group.data), place - BYTES.reach, BYTES.reach - left, BYTES.reach + GRAM + right).view(np.uint8)
 
 
-def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """New bucket numbers: members of a bucket are sorted by ``later``, the bucket numbers at a later offset.
+def refine(buckets: np.ndarray, later: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """New bucket numbers: members of a bucket are sorted by ``later``, the bucket numbers at a later offset. ``wanted``:
+    places of members that are split, if not all; a bucket's others keep its number, and count no more.
 
     A bucket's number is the place of its first member in sorted order, so numbers of split buckets stay in order and
     buckets of one member keep theirs.
     """
-    count = np.bincount(buckets, minlength=len(buckets))
-    open_ = np.flatnonzero(count[buckets] > 1)
+    of_wanted = buckets if wanted is None else buckets[wanted]
+    several = np.bincount(of_wanted, minlength=len(buckets)) > 1
+    open_ = np.flatnonzero(several[of_wanted])
+    open_ = open_ if wanted is None else wanted[open_]
     out = buckets.copy()
     key = (buckets[open_].astype(np.uint64) << np.uint64(32)) | later[open_].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])[: len(key)]
     place = np.arange(len(key))
@@ -97,18 +97,19 @@ def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket numbers of all suffixes of ``data`` at depth 50 (shorter ones padded): equal numbers, equal 50 bytes."""
+def suffix_buckets(data: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Bucket numbers of all suffixes of ``data`` at depth 50 (shorter ones padded): equal numbers, equal 50 bytes. If only
+    those at ``starts`` count, the last split leaves out all others."""
     n = len(data)
     first = _eight(data).astype(np.uint64)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     new = np.append(True, first[order[1:]] != first[order[:-1]])[:n]
     buckets = np.empty(n, np.int64)
     buckets[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     for offset in (8, 16, 18):  # depths 16, 32 and 50
         later = np.full(n, n, np.int64)
         later[: max(n - offset, 0)] = buckets[offset:]
-        buckets = refine(buckets, later)
+        buckets = refine(buckets, later, starts if offset == 18 else None)
     return buckets
 
 
@@ -144,8 +145,10 @@ def _tell_apart(hashes, rows, left, right, least) -> np.ndarray:
     ends = np.cumsum(count)
     found = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
     for a, b in zip(steps[:-1], steps[1:], strict=True):
-        buckets = suffix_buckets(np.ascontiguousarray(rows[heads[a:b]]).reshape(-1))
-        at = ranges(np.arange(b - a) * rows.shape[1] + begin[a:b], count[a:b])
+        sizes = count[a:b] + WINDOW - 1
+        text = rows[heads[a:b]].reshape(-1)[ranges(np.arange(b - a) * rows.shape[1] + begin[a:b], sizes)]
+        at = ranges(np.cumsum(sizes) - sizes, count[a:b])
+        buckets = suffix_buckets(text, at)
         low = np.full(len(buckets), np.iinfo(np.int64).max)
         np.minimum.at(low, buckets[at], np.repeat(lowest[a:b], count[a:b]))
         found[ends[a] - count[a] : ends[b - 1]] = low[buckets[at]]
@@ -166,16 +169,23 @@ def _shared(table: pa.Table, hot_pieces: int) -> pa.Table:
 
 def _finish(keep_text: bool):
     def finish(group, starts):
-        gone = covered(starts, WINDOW, len(group.data))
+        gone, at = covered(starts, WINDOW, len(group.data)), group.offsets
+        # removed runs end where a document does
+        begins, stops, edge = gone.copy(), gone.copy(), at[:-1][at[:-1] < at[1:]]
+        begins[1:] &= ~gone[:-1]
+        begins[edge] = gone[edge]
+        stops[:-1] &= ~gone[1:]
+        stops[edge[1:] - 1] = gone[edge[1:] - 1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        spans = np.searchsorted(first, at)
+        removed = np.concatenate([[0], np.cumsum(last - first)])[spans]
+        kept, kept_at = group.data[~gone].tobytes(), at - removed
         rows: list[tuple] = []
         for i, doc in enumerate(group.ids.tolist()):
-            a, b = int(group.offsets[i]), int(group.offsets[i + 1])
-            own = gone[a:b]
-            edges = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-            first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            kept = group.data[a:b][~own].tobytes()
-            spans = [{"start": x, "end": y} for x, y in zip(first.tolist(), last.tolist(), strict=True)] if keep_text else None
-            rows.append((doc, b - a, int(own.sum()), len(first), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, spans))
+            own, a = kept[kept_at[i] : kept_at[i + 1]], int(at[i])
+            k = slice(int(spans[i]), int(spans[i + 1]))
+            cuts = [{"start": x - a, "end": y - a} for x, y in zip(first[k].tolist(), last[k].tolist(), strict=True)] if keep_text else None
+            rows.append((doc, int(at[i + 1]) - a, int(removed[i + 1] - removed[i]), k.stop - k.start, hashlib.sha256(own).hexdigest(), own if keep_text else None, cuts))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
         k = 7 if keep_text else 5

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 
 from quotegrain.llm import anchors, bpe, components, decontaminate, fingerprint_index, lang_id, simhash, suffix_dedup, token_count, url_filter, vptree, warc
 
@@ -97,6 +98,82 @@ def test_window_index_small_pieces(spark, corpus, monkeypatch):
     assert got == {i: n for i, n, *_ in byte_removal(corpus)}
 
 
+def test_windows_are_compared_once():
+    """Each window belongs to one anchor, at the same place in equal windows; also where grams repeat, and over blocks."""
+    r = random.Random(5)
+    texts = [bytes(r.choices(b"abcd ", k=n)) for n in (0, 49, 50, 3000, 70_000)] + [b"a" * 300, b"ab" * 200, b"", b"x" * 49]
+    texts += [texts[3][100:900] + texts[3][:500]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    places, hashes, left, right = anchors.find_anchors(suffix_dedup.BYTES, data, offsets)
+    own = {}
+    for p, h, a, b in zip(places.tolist(), hashes.tolist(), left.tolist(), right.tolist(), strict=True):
+        for k in range(a + b - suffix_dedup.BYTES.reach + 1):
+            assert own.setdefault(p - a + k, (a - k, h)) == (a - k, h) and 0 <= a - k <= suffix_dedup.BYTES.reach
+    assert sum(left + right - suffix_dedup.BYTES.reach + 1) == len(own)
+    assert sorted(own) == [i for a, b in zip(offsets[:-1], offsets[1:], strict=True) for i in range(a, b - 49)]
+    at = {}
+    for i, x in own.items():
+        assert at.setdefault(data[i : i + 50].tobytes(), x) == x
+
+
+def test_hot_hashes_send_few_texts():
+    """Of hashes in very many pieces: a few texts for each place where a common line ends, and what repeats once."""
+    r = random.Random(6)
+    line = bytes(r.choices(b"abcdefgh ", k=120))
+    texts = [bytes(r.choices(b"ijklmnop ", k=60)) + line + bytes(r.choices(b"ijklmnop ", k=60)) for _ in range(200)] + [line] * 200
+    piece = anchors._squeeze(np.arange(400), np.array([*map(len, texts)]), np.zeros(0, np.uint8)), zstandard.ZstdCompressor().compress(b"".join(texts))
+    group = anchors.Group(suffix_dedup.BYTES, *piece, 7)
+    x = anchors._Shared(group, group.several * np.uint8(anchors.SHARED | anchors.HOT))
+    u = x.units(np.full(len(x.least), -1), 7)
+    windows = x.left[x.firsts] + x.right[x.firsts] - suffix_dedup.BYTES.reach + 1
+    assert len(u.place) < 0.5 * windows.sum() and len(u.place) < 200 * 2 * 2 * 49 / anchors.STEP
+    rows = suffix_dedup._rows_of(group, u.place, u.left, u.right)
+    assert len({(k, a, b, row.tobytes()) for k, a, b, row in zip(u.key.tolist(), u.left.tolist(), u.right.tolist(), rows, strict=True)}) == len(u.place)
+    # each window of each class finds its own text
+    text = np.concatenate([rows[i, suffix_dedup.BYTES.reach - u.left[i] + k :][:50] for i in range(len(u.place)) for k in range(u.wide[i])]).reshape(-1, 50)
+    for c, first in enumerate(x.firsts.tolist()):
+        for k in range(windows[c]):
+            i = x.place[first] - x.left[first] + k
+            assert (text[u.value_of[u.base[c] + k]] == group.data[i : i + 50]).all()
+
+
+@pytest.mark.parametrize("hot", HOT)
+def test_common_lines_in_small_pieces(spark, monkeypatch, hot):
+    """Lines that many pieces have, between texts of their own, some of which come again."""
+    r = random.Random(7)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    lines, beside = [text(n) for n in (50, 76, 110)], [text(40) for _ in range(30)]
+    rows = [(i, "\n".join(r.choice([r.choice(lines), r.choice(beside), text(30)]) for _ in range(r.randint(1, 9)))) for i in range(150)]
+    pack = anchors.pack
+    monkeypatch.setattr(anchors, "pack", lambda df, i, t, most: pack(df, i, t, 6000, piece_bytes=900))
+    monkeypatch.setattr(anchors, "FLUSH_BYTES", 20_000)
+    got = {x.doc_id: (x.n_removed, bytes(x.kept), [(y.start, y.end) for y in x.spans]) for x in suffix_dedup.remove_repeats(docs(spark, rows), hot_pieces=hot).collect()}
+    for i, gone, kept, n in byte_removal(rows):
+        spans = got[i][2]
+        assert got[i][:2] == (gone, kept) and sum(b - a for a, b in spans) == gone
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:])) and all(0 <= a < b <= n for a, b in spans)  # noqa: B905
+
+
+def test_rows_between_sets_grow_with_the_input(monkeypatch):
+    """Partitions that follow the input don't make sets that are as many times as many buckets."""
+    rows = []
+    for gb in (1, 10, 50):
+        monkeypatch.setattr(anchors, "shuffle_parts", lambda spark, gb=gb: 60 * gb)
+        plan = anchors.layout(None, gb * 10**9)
+        assert plan.set_bytes <= anchors.MOST_SET
+        rows.append(10**9 / plan.set_bytes * plan.buckets)
+    assert rows[1] < 6 * rows[0] and rows[2] < 10 * rows[0]
+
+
+def test_replies_are_unpacked_once(monkeypatch):
+    expand, calls = anchors._expand, []
+    monkeypatch.setattr(anchors, "_expand", lambda *a: calls.append(1) or expand(*a))
+    rows = [{"b": b, "part": part, "reply": anchors._squeeze(np.arange(9) + 100 * b + 1000 * part)} for part in (1, 0) for b in (5, 2)]
+    replies = anchors._Replies(rows)
+    taken = [replies.take(np.array([2, 2, 2, 5, 5, 5]), np.int64).tolist() for _ in range(6)]
+    assert taken[1] == [203, 204, 205, 503, 504, 505] and taken[5] == [1206, 1207, 1208, 1506, 1507, 1508] and len(calls) == 4
+
+
 def test_window_index_opened_again(spark, corpus, tmp_path):
     rows = sorted((i, t) for i, t in corpus)
     index = fingerprint_index.FingerprintIndex.create(spark, str(tmp_path / "index"), 10000)
